@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm, ngram_join, packing, quality, token_codec, warc
+from . import decontam, line_dedup, lm, ngram_join, packing, quality, suffix_dedup, token_codec, warc
 from ._shared import Tables
 
 
@@ -43,6 +43,11 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_passages(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
@@ -54,6 +59,11 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word", 0)
 
@@ -65,7 +75,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_token_codec, op4_quality_ledger, op6_deleted_interpolation, op7_warc_index, op9_best_fit_packing, op10_line_dedup,
+        op1_ngram_jaccard_join, op2_token_codec, op4_quality_ledger, op5_decontamination, op6_deleted_interpolation,
+        op7_warc_index, op8_suffix_array_dedup, op9_best_fit_packing, op10_line_dedup,
     )}
 
 
