@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, lm, ngram_join, packing, quality, suffix_dedup, token_codec, warc
+from . import decontam, line_dedup, lm, ngram_join, packing, pii, quality, suffix_dedup, token_codec, warc
 from ._shared import Tables
 
 
@@ -33,6 +33,15 @@ def op2_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: Only for the registered query; a corpus gets a key of its own.
+DEMONSTRATION_KEY = "demonstration"
+
+
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.pseudonymise(_table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_table(spark, sf_dir, "documents"))
     base = quality.apply_policy(book, quality.BASE).withColumn("base_failed", ~F.col("kept"))
@@ -75,7 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_token_codec, op4_quality_ledger, op5_decontamination, op6_deleted_interpolation,
+        op1_ngram_jaccard_join, op2_token_codec, op3_feistel_pseudonyms, op4_quality_ledger, op5_decontamination, op6_deleted_interpolation,
         op7_warc_index, op8_suffix_array_dedup, op9_best_fit_packing, op10_line_dedup,
     )}
 
