@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
+from ..plans.storage import Tables
+from .graph import components
 
 
 def edges(tris: DataFrame) -> DataFrame:
@@ -53,40 +55,13 @@ def portals(adj: DataFrame, walls: DataFrame) -> DataFrame:
 
 
 def regions(adj: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """(tid, region): connected components over portals, numbered from 0 by their lowest triangle.
-
-    Rounds of hooking and pointer jumping; state is cut from its lineage by checkpoint() each round.
-    """
-    spark = adj.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        from ..plans.storage import checkpoint_dir
-
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    free = portals(adj, wall_edges(adj, closed)).where("nbr < tid").select(F.col("tid").alias("hi_"), F.col("nbr").alias("lo_"))
-    all_tris = adj.select("tid").distinct()
-    root = None
-    graph = free.distinct().checkpoint()
-    while not graph.isEmpty():
-        up = graph.groupBy("hi_").agg(F.min("lo_").alias("p")).withColumnRenamed("hi_", "n").checkpoint()
-        while True:
-            above = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-            jumped = up.join(above, "p", "left").select("n", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")).checkpoint()
-            up = jumped.select("n", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        if root is None:
-            root = up
-        else:
-            later = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-            root = root.join(later, "p", "left").select("n", F.coalesce("pp", "p").alias("p")).unionByName(up).checkpoint()
-        h, l = (up.select(F.col("n").alias(c), F.col("p").alias(f"{c}p")) for c in ("hi_", "lo_"))
-        moved = graph.join(h, "hi_", "left").join(l, "lo_", "left").select(F.coalesce("hi_p", "hi_").alias("a"), F.coalesce("lo_p", "lo_").alias("b")).where("a <> b")
-        graph = moved.select(F.greatest("a", "b").alias("hi_"), F.least("a", "b").alias("lo_")).distinct().checkpoint()
-    if root is None:
-        found = all_tris.select("tid", F.col("tid").alias("r"))
-    else:
-        found = all_tris.join(root.withColumnRenamed("n", "tid"), "tid", "left").select("tid", F.coalesce("p", "tid").alias("r"))
-    # region numbers: an order over roots only
+    """(tid, region): connected components over portals, numbered from 0 by their lowest triangle."""
+    tables = Tables(adj.sparkSession)
+    adj = tables.save(adj)
+    free = portals(adj, wall_edges(adj, closed)).where("nbr < tid").select(F.col("tid").alias("a"), F.col("nbr").alias("b"))
+    root = components(free, tables).withColumnRenamed("node", "tid")
+    found = tables.save(adj.select("tid").distinct().join(root, "tid", "left").select("tid", F.coalesce("root", "tid").alias("r")))
+    # the window orders one row per region
     names = found.select("r").distinct().withColumn("region", F.row_number().over(Window.orderBy("r")) - 1)
     return found.join(names, "r").select("tid", F.col("region").cast("long").alias("region"))
 

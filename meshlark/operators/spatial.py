@@ -18,14 +18,14 @@ def cell_of(v: Column, size: float) -> Column:
 
 
 def bucket_points(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    return points.withColumns({"bx": cell_of(F.col(x), size), "by": cell_of(F.col(y), size)})
+    return points.withColumns({"gx": cell_of(F.col(x), size), "gy": cell_of(F.col(y), size)})
 
 
 def bucket_boxes(boxes: DataFrame, size: float, box: G.Box) -> DataFrame:
     """One row per cell that the box touches; an empty box has none."""
     held = boxes.where(~box.is_empty())
-    across = held.withColumn("bx", F.explode(F.sequence(cell_of(box.x0, size), cell_of(box.x1, size))))
-    return across.withColumn("by", F.explode(F.sequence(cell_of(box.y0, size), cell_of(box.y1, size))))
+    across = held.withColumn("gx", F.explode(F.sequence(cell_of(box.x0, size), cell_of(box.x1, size))))
+    return across.withColumn("gy", F.explode(F.sequence(cell_of(box.y0, size), cell_of(box.y1, size))))
 
 
 def with_box(tris: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def locate(points: DataFrame, tris: DataFrame, size: float, on: list[str] | None
     tris: tid and corners ax..cy.  on: columns (such as a mesh id) that have to be equal as well.
     points need an id column that is unique, named "id".
     """
-    keys = ["bx", "by", *(on or [])]
+    keys = ["gx", "gy", *(on or [])]
     left = bucket_points(points, size)
     cells = bucket_boxes(with_box(tris), size, G.box()).select(*keys, "tid", *[f"{k}{d}" for k in "abc" for d in "xy"])
     a, b, c = (G.point(f"{k}x", f"{k}y") for k in "abc")
@@ -54,8 +54,8 @@ def boxes_meet(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """
     a = bucket_boxes(left.select("id", "x0", "y0", "x1", "y1").withColumnsRenamed({k: f"l_{k}" for k in ("id", "x0", "y0", "x1", "y1")}), size, G.box("l_"))
     b = bucket_boxes(right.select("id", "x0", "y0", "x1", "y1").withColumnsRenamed({k: f"r_{k}" for k in ("id", "x0", "y0", "x1", "y1")}), size, G.box("r_"))
-    low = (cell_of(F.greatest("l_x0", "r_x0"), size) == F.col("bx")) & (cell_of(F.greatest("l_y0", "r_y0"), size) == F.col("by"))
-    return a.join(b, ["bx", "by"]).where(G.box("l_").intersects(G.box("r_")) & low).select("l_id", "r_id")
+    low = (cell_of(F.greatest("l_x0", "r_x0"), size) == F.col("gx")) & (cell_of(F.greatest("l_y0", "r_y0"), size) == F.col("gy"))
+    return a.join(b, ["gx", "gy"]).where(G.box("l_").intersects(G.box("r_")) & low).select("l_id", "r_id")
 
 
 def nearest_triangle(points: DataFrame, tris: DataFrame, size: float, reach: int = 1) -> DataFrame:
@@ -65,7 +65,7 @@ def nearest_triangle(points: DataFrame, tris: DataFrame, size: float, reach: int
     twice as large.  The rounds end when all are settled or the reach covers the triangles' box.
     """
     boxed = with_box(tris)
-    cells = bucket_boxes(boxed, size, G.box()).select("bx", "by", "tid", *[f"{k}{d}" for k in "abc" for d in "xy"])
+    cells = bucket_boxes(boxed, size, G.box()).select("gx", "gy", "tid", *[f"{k}{d}" for k in "abc" for d in "xy"])
     a, b, c = (G.point(f"{k}x", f"{k}y") for k in "abc")
     bounds = boxed.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
     if bounds[0] is None:
@@ -76,9 +76,9 @@ def nearest_triangle(points: DataFrame, tris: DataFrame, size: float, reach: int
     while True:
         side = F.sequence(F.lit(-reach), F.lit(reach))
         around = bucket_points(todo, size).withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
-        around = around.select("id", "x", "y", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
+        around = around.select("id", "x", "y", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
         near = G.nearest_on_triangle(a, b, c, G.point("x", "y"))
-        best = around.join(cells, ["bx", "by"]).select("id", near.alias("n"), "tid").groupBy("id").agg(F.min(F.struct("n.d2", "tid", "n.x", "n.y")).alias("m"))
+        best = around.join(cells, ["gx", "gy"]).select("id", near.alias("n"), "tid").groupBy("id").agg(F.min(F.struct("n.d2", "tid", "n.x", "n.y")).alias("m"))
         best = best.select("id", F.col("m.d2").alias("d2"), F.col("m.tid").alias("tid"), F.col("m.x").alias("qx"), F.col("m.y").alias("qy"))
         found = todo.join(best, "id", "left")
         if reach * size > span:
@@ -112,9 +112,9 @@ def neighbours(agents: DataFrame, size: float, reach: int = 1) -> DataFrame:
     """(id, other) of agents (id, x, y) in cells at most reach apart; cells only, no distance test."""
     side = F.sequence(F.lit(-reach), F.lit(reach))
     a = bucket_points(agents, size).withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
-    a = a.select("id", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
-    b = bucket_points(agents, size).select("bx", "by", F.col("id").alias("other"))
-    return a.join(b, ["bx", "by"]).where("id <> other").select("id", "other")
+    a = a.select("id", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
+    b = bucket_points(agents, size).select("gx", "gy", F.col("id").alias("other"))
+    return a.join(b, ["gx", "gy"]).where("id <> other").select("id", "other")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -1,13 +1,40 @@
-"""Where intermediate tables of iterative operators go."""
+"""Tables of intermediate state in the folder that all executors share."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + tempfile.mkdtemp(prefix="meshlark-")
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="meshlark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/meshlark-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Tables written to the shared folder: they cut lineage and size estimates, and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_dir(spark)
+
+    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        path = f"{self.root}/{name or uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def drop(self) -> None:
+        """Removes all of it; only for tables that no returned DataFrame reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

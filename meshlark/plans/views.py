@@ -110,12 +110,15 @@ SQL = {
     SELECT tid, 0 AS e, vb AS a, vc AS b FROM g_tris UNION ALL SELECT tid, 1, vc, va FROM g_tris UNION ALL SELECT tid, 2, va, vb FROM g_tris)""",
     "adj": """
   SELECT t.*, o.tid AS nbr FROM t_edges t LEFT JOIN t_edges o ON t.lo = o.lo AND t.hi = o.hi AND t.tid <> o.tid""",
-    "cell_reach": f"""
+    "cell_next": f"""
+  SELECT a.cell AS c, b.cell AS n FROM g_cells a JOIN g_cells b ON a.row = b.row AND b.col = a.col + 1 WHERE a.walkable AND b.walkable
+  UNION ALL SELECT b.cell, a.cell FROM g_cells a JOIN g_cells b ON a.row = b.row AND b.col = a.col + 1 WHERE a.walkable AND b.walkable
+  UNION ALL SELECT a.cell, b.cell FROM g_cells a JOIN g_cells b ON a.col = b.col AND b.row = a.row + 1 WHERE a.walkable AND b.walkable
+  UNION ALL SELECT b.cell, a.cell FROM g_cells a JOIN g_cells b ON a.col = b.col AND b.row = a.row + 1 WHERE a.walkable AND b.walkable""",
+    "cell_reach": """
   SELECT cell AS c, cell AS r FROM g_cells WHERE walkable
   UNION
-  SELECT n.cell, q.r FROM cell_reach q JOIN g_cells n ON n.walkable AND (
-      (n.cell = q.c + 1 AND q.c % {WIDTH} < {WIDTH - 1}) OR (n.cell = q.c - 1 AND q.c % {WIDTH} > 0) OR n.cell = q.c + {WIDTH} OR n.cell = q.c - {WIDTH})
-  WHERE n.cell > q.r""",
+  SELECT x.n, q.r FROM cell_reach q JOIN cell_next x ON x.c = q.c WHERE x.n > q.r""",
     "borders": f"""
   SELECT c.col, c.row, d.dir, c.col + d.sx AS x0, c.row + d.sy AS y0, c.col + d.ex AS x1, c.row + d.ey AS y1
   FROM g_cells c CROSS JOIN (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) d(dir, nx, ny, sx, sy, ex, ey)
@@ -123,7 +126,7 @@ SQL = {
 }
 
 #: What each view is made of.
-NEEDS = {"g_tris": ["g_cells"], "ring_edges": ["rings"], "t_edges": ["g_tris"], "adj": ["t_edges"], "cell_reach": ["g_cells"], "borders": ["g_cells"]}
+NEEDS = {"g_tris": ["g_cells"], "ring_edges": ["rings"], "t_edges": ["g_tris"], "adj": ["t_edges"], "cell_next": ["g_cells"], "cell_reach": ["cell_next"], "borders": ["g_cells"]}
 
 
 def sql(views: str, body: str) -> str:
