@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import grid, mesh, rings, spatial
+from ..operators import grid, mesh, navigation, rings, spatial
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +463,58 @@ def ttc_penalty(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("id").agg(F.round(F.max(pen), 6).alias("penalty"))
 
 
+# Graph and triangulation kernels: no SQL; tests/ holds them to their own properties
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each point asks the way to the next one."""
+    p = V.points(spark, d).select("id", "x", "y")
+    goal = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    return p.join(goal, "id").select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), "gx", "gy")
+
+
+@query()
+def astar_paths(spark: SparkSession, d: str) -> DataFrame:
+    found = navigation.find_paths(_questions(spark, d), navigation.load(V.tris(spark, d)))
+    return found.select("id", "status", F.size("points").alias("n_points"), F.size("triangles").alias("n_triangles"))
+
+
+@query()
+def los_batch(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.sight(_questions(spark, d), navigation.load(V.tris(spark, d)))
+
+
+@query()
+def visibility(spark: SparkSession, d: str) -> DataFrame:
+    asked = V.points(spark, d).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return navigation.visibility(asked, navigation.load(V.tris(spark, d)), 12.0, 16)
+
+
+@query()
+def path_clear(spark: SparkSession, d: str) -> DataFrame:
+    m = navigation.load(V.tris(spark, d))
+    return navigation.paths_clear(navigation.find_paths(_questions(spark, d), m), m)
+
+
+@query()
+def cdt_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles of the grid's regions: loops become outer rings and their holes."""
+    loops = grid.trace_loops(V.cells(spark, d), V.WIDTH).drop("grid_id")
+    shape = rings.shoelace(loops)
+    outer = loops.join(shape.where("winding = 'ccw'").select("ring_id"), "ring_id")
+    holes = loops.join(shape.where("winding = 'cw'").select("ring_id"), "ring_id")
+    first = holes.where("seq = 0").select(F.col("ring_id").alias("hole"), "x", "y")
+    parent = rings.parents(first, outer, SIZE).select(F.col("hole").alias("ring_id"), F.col("parent").alias("region_id"))
+    rows = outer.select(F.col("ring_id").alias("region_id"), "ring_id", F.lit(False).alias("hole"), "seq", "x", "y")
+    rows = rows.unionByName(holes.join(parent, "ring_id").select("region_id", "ring_id", F.lit(True).alias("hole"), "seq", "x", "y"))
+    return navigation.triangulate(rings_straight(rows)).select("region_id", "tid", "v", "ax", "ay", "bx", "by", "cx", "cy")
+
+
+def rings_straight(rows: DataFrame) -> DataFrame:
+    """Rings of regions without straight-line points (one pass removes all of a lattice loop's)."""
+    return rings.collinear_pass(rows)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
