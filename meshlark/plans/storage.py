@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ class Tables:
 
     def release(self) -> None:
         """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # references from Python go in the first round, what they held in the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self) -> None:
         """Removes all of it; only for tables that no returned DataFrame reads."""
