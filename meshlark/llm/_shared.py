@@ -1,39 +1,24 @@
-"""Shared tables, file access on executors and connected components."""
+"""Tables in the shared folder, and files of it on executors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="meshlark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+from ..operators.graph import components
+from ..plans.storage import Tables
 
+__all__ = ["Tables", "bounded_batches", "components", "filesystem", "partitions"]
 
-class Tables:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+BATCH_BYTES = 8 << 20
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
 
-    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name or uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def bounded_batches(df: DataFrame) -> SparkSession:
+    """The session, with Arrow batches to Python held to BATCH_BYTES (or one row) instead of a number of rows only.
 
-    def drop(self) -> None:
-        """Removes all of it; only for tables that no returned DataFrame reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    Texts vary in length by orders of magnitude, so a bound in rows alone doesn't bound memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.sparkSession
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,50 +29,6 @@ def filesystem(uri: str):
     """(pyarrow filesystem, path) for a URI of the shared folder, on the driver or an executor."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
-
-
-def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root) for every node of edges (a long, b long); root is the component's smallest node.
-
-    Each round hooks every node to its smallest lower neighbour, compresses the parent
-    chains by pointer jumping and contracts the graph, so a star of any size ends in one
-    round.  All state is in tables; only counts come to the driver.  No edges: no rows.
-    """
-    graph = tables.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    )
-    found: DataFrame | None = None
-    while not graph.isEmpty():
-        parent = tables.save(graph.groupBy("hi").agg(F.min("lo").alias("up")).withColumnRenamed("hi", "node"))
-        while True:
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            jumped = tables.save(
-                parent.join(above, "up", "left").select(
-                    "node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")
-                )
-            )
-            moved = not jumped.where("moved").isEmpty()
-            parent = jumped.select("node", "up")
-            if not moved:
-                break
-        if found is None:
-            found = parent
-        else:
-            later = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            found = tables.save(
-                found.join(later, "up", "left").select("node", F.coalesce("upper", "up").alias("up")).unionByName(parent)
-            )
-        ups = [parent.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up")) for side in ("hi", "lo")]
-        moved_edges = (
-            graph.join(ups[0], "hi", "left")
-            .join(ups[1], "lo", "left")
-            .select(F.coalesce("hi_up", "hi").alias("a"), F.coalesce("lo_up", "lo").alias("b"))
-        )
-        graph = tables.save(
-            moved_edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-        )
-    if found is None:
-        return graph.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    roots = found.select(F.col("up").alias("node")).distinct().withColumn("root", F.col("node"))
-    return found.select("node", F.col("up").alias("root")).unionByName(roots)
+    if "://" not in uri:
+        uri = uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}"
+    return fs.FileSystem.from_uri(uri)

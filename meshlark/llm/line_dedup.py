@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Tables
+from ._shared import Tables, bounded_batches
 
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly; over three standard errors (1.04/sqrt(2**10)).
@@ -110,7 +110,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float =
     more than max_share of the bytes stay whole (n_removed 0), as do null texts; an empty text has one empty line.
     Extra columns are kept; ones named n_lines or n_removed are replaced.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs)
     tables = Tables(spark)
     lines = spread_lines(docs, min_sites, tables, site_col, text_col)
     keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._shared import bounded_batches
 from .tokens import encoder
 
 
@@ -94,6 +95,7 @@ def pack(
                     arrays, names = [*arrays, pa.array(blobs, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    bounded_batches(docs)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, f"_id {kind_of_id}, {SCHEMA}" + ", ids binary" * with_ids).withColumnRenamed("_id", id_col)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._shared import bounded_batches
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct_words")
@@ -128,6 +129,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null or empty text measures 0 everywhere; repeated rows each get a row; other columns are not carried.
     """
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     measured = rows.mapInArrow(_measure, f"_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
@@ -168,6 +170,7 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The documents that the policy keeps, with all their columns; measured and judged in one pass, no shuffle."""
+    bounded_batches(docs)
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
     kind = docs.schema.simpleString()

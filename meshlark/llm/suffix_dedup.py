@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Tables, partitions
+from ._shared import Tables, bounded_batches, partitions
 
 MIN_LEN = 400
 ANCHOR = 128
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, keep_first: bool = T
     """
     if min_len < 64:
         raise ValueError("min_len must be 64 or more")
-    spark = docs.sparkSession
+    spark = bounded_batches(docs)
     tables, buckets = Tables(spark), partitions(spark)
     k = min(ANCHOR, min_len // 2)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Tables, filesystem, partitions
+from ._shared import Tables, bounded_batches, filesystem, partitions
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -112,6 +112,7 @@ def write(pages: DataFrame, folder: str, tables: Tables) -> DataFrame:
     others revisits of it.  Null html is an empty payload, a null URL about:blank; extra columns are left out.
     Archive names are unique to the attempt that wrote them, so a task that runs twice leaves a stray file only.
     """
+    bounded_batches(pages)
     bytes_ = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select("page_id", "url", bytes_.alias("payload")).withColumns({"n": F.length("payload").cast("long"), "digest": F.sha1("payload")})
     sizes = tables.save(rows.select("page_id", "n", "digest"))
