@@ -3,8 +3,9 @@
 Texts and items are sequences of words (A-Z lower-cased, punctuation dropped).  A window
 of an item's size that shares a word trigram with some item on a diagonal is embedded by
 the CGK random walk, which turns edit distance into Hamming distance; repeated samples
-of embedded places are looked up among those of the items of that size.  Matches get an
-exact edit distance.  A window within max_edit of an item of 9 words or more always
+of embedded places are looked up among those of the items of that size.  Around a match,
+the exact edit distance of the nearest part of the text decides, so words put in or left
+out do not count twice for shifting the window's end.  A window within max_edit of an item of 9 words or more always
 shares a trigram with it, so choosing windows by trigrams loses none.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._shared import Tables, bounded_batches
 
 MAX_EDIT = 0.25
 MIN_WORDS = 6
@@ -62,20 +64,27 @@ def embed(words: np.ndarray, seeds: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each pair of padded rows; vectorised over pairs."""
-    n, w = b.shape
+def nearest_part(item: np.ndarray, size: np.ndarray, text: np.ndarray, length: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end) of the part of each text row that is nearest to the item row, the first end on ties.
+
+    Parts start anywhere, or at 0 if anchored.
+    """
+    n, w = text.shape
     steps = np.arange(w + 1)
-    row = np.broadcast_to(steps, (n, w + 1)).astype(np.int64).copy()
-    out = np.where(len_a == 0, len_b, 0)
-    for i in range(a.shape[1]):
+    beyond = steps[None, :] > length[:, None]
+    row = np.broadcast_to(steps if anchored else np.zeros(w + 1, np.int64), (n, w + 1)).astype(np.int64).copy()
+    distance, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(int(size.max()) if n else 0):
         new = np.empty_like(row)
         new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (item[:, i : i + 1] != text))
         row = np.minimum.accumulate(new - steps, axis=1) + steps
-        done = len_a == i + 1
-        out[done] = row[done, len_b[done]]
-    return out
+        done = np.flatnonzero(size == i + 1)
+        if len(done):
+            held = np.where(beyond[done], 1 << 40, row[done])
+            end[done] = held.argmin(1)
+            distance[done] = held[np.arange(len(done)), end[done]]
+    return distance, end
 
 
 class Items:
@@ -142,6 +151,24 @@ class Items:
         start = np.minimum(at - self.gram_at[which], bounds[row + 1] - size)
         return np.unique(np.stack([row, np.maximum(start, bounds[row]), size], 1), axis=0)
 
+    def _nearest(self, words: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray, bounds: np.ndarray, max_edit: float) -> np.ndarray:
+        """Exact verification: the part of the window and its surroundings that is nearest to the item, if near enough."""
+        most = (max_edit * self.size[item]).astype(np.int64)
+        lo, hi = np.maximum(start - most, bounds[row]), np.minimum(start + length + most, bounds[row + 1])
+        cols = np.arange(int((hi - lo).max()) if len(lo) else 0)
+
+        def part(a: np.ndarray, b: np.ndarray, back: bool) -> np.ndarray:
+            at = np.where(back, (b - 1)[:, None] - cols, a[:, None] + cols)
+            inside = cols < (b - a)[:, None]
+            return np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
+
+        distance, end = nearest_part(self.words[item], self.size[item], part(lo, hi, False), hi - lo)
+        end = lo + end
+        turned = np.where(np.arange(self.width) < self.size[item][:, None], self.words[item[:, None], np.maximum(self.size[item][:, None] - 1 - np.arange(self.width), 0)], np.uint64(0))
+        _, back = nearest_part(turned, self.size[item], part(lo, end, True), end - lo, anchored=True)
+        ok = (distance <= most) & (back > 0)
+        return np.stack([row, item, distance, end - back, back], 1)[ok]
+
     def match(self, words: np.ndarray, rows: np.ndarray, n_rows: int, max_edit: float) -> np.ndarray:
         """(row, item, distance, first word, words) of the best window per row and item within max_edit."""
         bounds = np.searchsorted(rows, np.arange(n_rows + 1))
@@ -161,10 +188,7 @@ class Items:
             pairs = np.unique(np.stack([window, item], 1), axis=0)
             pairs = pairs[self.size[pairs[:, 1]] == size[pairs[:, 0]]]
             window, item = pairs.T
-            distance = edit_distances(grid[window], self.words[item], length[window], self.size[item])
-            ok = distance <= (max_edit * self.size[item]).astype(np.int64)
-            window, item = window[ok], item[ok]
-            out.append(np.stack([row[window], item, distance[ok], start[window], length[window]], 1))
+            out.append(self._nearest(words, row[window], start[window], length[window], item, bounds, max_edit))
         found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
         found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
         first = np.ones(len(found), bool)
@@ -204,6 +228,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_E
     Items with fewer than MIN_WORDS words and null texts have no matches; rows that repeat are reported each.
     Items go to the tasks in blocks of BLOCK_ITEMS, so their number is not bounded; no items give no rows.
     """
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, item_id long, distance long, n_words long, start long, end long"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -223,7 +248,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float =
 
     Search and decision are one pass over the rows where the items fit one block, else a semi-join by doc_id.
     """
-    from ._shared import Tables
-
     found = Tables(docs.sparkSession).save(find_passages(docs, benchmark, max_edit).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
