@@ -417,7 +417,7 @@ def test_previous_factors_equal_brute_force(no_docs):
 
 def test_lines(spark, duck, docs, edge_docs, no_docs, monkeypatch):
     same_rows(queries()["op10_line_dedup"](spark, DATA), duck.sql(OP10_SQL))
-    rows = [(i, f"s{i % 7}", f"own text number {i} is long enough\nspread line\n\nnear {i % 3}") for i in range(40)] + [(99, "s1", "spread line"), (98, None, None)]
+    rows = [(i, f"s{i % 7}", f"own text number {i} is long enough\nspread line\n\nnear {i % 7}") for i in range(40)] + [(99, "s1", "spread line"), (98, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
     want = {i: (t if i > 50 else t.replace("\nspread line", "")) for i, _, t in rows}
     one = {r.doc_id: r.text for r in line_dedup.remove_spread_lines(frame, 7).collect()}
