@@ -39,7 +39,7 @@ def rule_columns() -> dict[str, Column]:
     out = {
         "few_words": F.col("n_words") < 50,
         "repeated_windows": F.col("n_repeat_words") * 100 > F.col("n_words") * 50,
-        "symbols": _per_mille("n_symbols", 100, "n_words"),
+        "symbols": _per_mille("n_symbols", 800, "n_words"),
         "duplicate_lines": _per_mille("n_dup_lines", 500, "n_lines"),
         "short_words": F.col("word_chars") < F.col("n_words") * 2,
         "long_words": F.col("word_chars") > F.col("n_words") * 20,

@@ -115,7 +115,7 @@ m AS (
          length(regexp_replace(t, '[^A-Za-z]', '', 'g')) + length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS n_letters, len(list_distinct(w)) AS n_distinct
   FROM d LEFT JOIN p USING (k) LEFT JOIN l USING (k)),
 f AS (
-  SELECT *, (n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 1000 > n_words * 100)::BIGINT
+  SELECT *, (n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 1000 > n_words * 800)::BIGINT
          + 8 * (n_dup_lines * 1000 > n_lines * 500)::BIGINT + 16 * (word_chars < n_words * 2)::BIGINT + 32 * (word_chars > n_words * 20)::BIGINT
          + 64 * (n_letters * 10 < word_chars * 6)::BIGINT + 128 * (n_distinct * 20 < least(n_words, 2000))::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
