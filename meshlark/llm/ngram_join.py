@@ -8,14 +8,15 @@ on one of the short lists left.  Steps:
 2. Shingles are ordered by rarity (a bounded table of frequent ones, then the hash); the
    short lists of a document are those of its first |a| - ceil(t |a|) + 1 shingles.
 3. Buckets of shingles hold short lists.  Merging them gives each document its best
-   partner, one that comes before it on most lists; a list of any length costs one pair
-   per document and no more.
+   partner, the first on most of its lists; a list of any length costs one pair per
+   document and no more.
 4. For each first document with a block of its partners, the lists of all its shingles
    over the block are searched by DivideSkip: short ones are heap-merged with skips, long
    ones probed by binary search, and those that reach the required overlap are linked.
-5. Linked documents form components.  The lists are merged again for pairs from different
-   components, which are searched in the same way; pairs within one need no look.  Every
-   pair that could be linked is thus either searched or already connected.
+5. Linked documents form components.  The lists offer further partners from other
+   components, and are merged once more for all pairs from different components; those on enough short lists together are searched in the same way, and
+   pairs within one component need no look.  Every pair that could be linked is thus
+   either searched or already connected.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Tables, components, partitions
+from ._shared import Tables, bounded_batches, components, partitions
 
 #: Shingles in the table of frequent ones, at most; it only orders shingles, so any table gives the same links.
 HOT_SHINGLES = 1_000_000
 HOT_COUNT = 32
 CHUNK = 2 << 20
 BLOCK = 64
+#: Rounds that offer further partners before all pairs across components are looked at; any number gives the same links.
+FURTHER_ROUNDS = 1
 
 
 def least_overlap(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -216,7 +219,7 @@ def _merge(percent: int):
         else:
             keep = np.zeros(len(token), bool)
         token, doc, size, pos = token[keep], doc[keep], size[keep].astype(np.int64), pos[keep].astype(np.int64)
-        order = np.lexsort((doc, token))
+        order = np.lexsort((doc, pos, token))
         token, doc, size, pos = token[order], doc[order], size[order], pos[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
@@ -250,7 +253,11 @@ def _may_link(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b:
 
 
 def _partners(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(first, member) pairs: on each list the lowest document takes those that may link; the rest try again."""
+    """(first, member) pairs: on each list the first document takes those that may link; the rest try again.
+
+    Lists are ordered by the shingle's place in each document: the first has the fewest rarer shingles, so among near
+    copies it is the one that the others were most likely made from.
+    """
     firsts, members = [], []
     for _ in range(rounds):
         if len(token) < 2:
@@ -265,41 +272,79 @@ def _partners(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndar
     return (np.concatenate(firsts), np.concatenate(members)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _add_up(found: list[np.ndarray]) -> np.ndarray:
+    """(a, b, need, times) rows with the times of equal pairs added."""
+    rows = np.concatenate(found)
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+    out = rows[first].copy()
+    out[:, 3] = np.add.reduceat(rows[:, 3], first)
+    return out
+
+
+def _lists(lists: pa.Table, roots: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, component, size, pos) of each list with documents of several components."""
+    node = roots.column("doc").to_numpy()
+    order = np.argsort(node)
+    node, root = node[order], roots.column("root").to_numpy()[order]
+    for runs, ids, sizes, pos in zip(*[lists.column(c).to_pylist() for c in ("runs", "ids", "sizes", "pos")], strict=True):
+        runs, doc = np.frombuffer(runs, "<u4").astype(np.int64), np.frombuffer(ids, "<i8")
+        size, pos = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(pos, "<u4").astype(np.int64)
+        if not len(runs):
+            continue
+        comp = doc.copy()
+        if len(node):
+            at = np.minimum(np.searchsorted(node, doc), len(node) - 1)
+            comp = np.where(node[at] == doc, root[at], doc)
+        ends = np.cumsum(runs)
+        starts = ends - runs
+        for k in np.flatnonzero(np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)).tolist():
+            yield tuple(x[starts[k] : ends[k]] for x in (doc, comp, size, pos))
+
+
+def _again(percent: int):
+    """A bucket's further partners: on each list the first document takes those of other components that may link."""
+
+    def run(key, lists: pa.Table, roots: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), np.int64)]
+        for d, c, s, p in _lists(lists, roots):
+            hit = np.flatnonzero((c != c[0]) & (np.minimum(p[0], p) + np.minimum(s[0] - p[0], s - p) >= least_overlap(s[0], s, percent)))
+            found.append(np.column_stack([d[hit], np.full(len(hit), d[0])]))
+        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        order = np.lexsort((pairs[:, 1], -times, pairs[:, 0]))
+        pairs, times = pairs[order], times[order]
+        top = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, bool)
+        return pa.table({"member": pairs[top, 0], "first": pairs[top, 1], "times": times[top].astype(np.int64)})
+
+    return run
+
+
 def _cross(percent: int):
-    """Pairs of a bucket's lists from different components that may link."""
+    """Pairs of a bucket's lists from different components: how many short lists they share here, and how many in
+    all a linked pair has to: of its overlap, what the rest of the larger set can't hold."""
 
     def run(key, lists: pa.Table, roots: pa.Table) -> pa.Table:
-        node = roots.column("doc").to_numpy()
-        order = np.argsort(node)
-        node, root = node[order], roots.column("root").to_numpy()[order]
-        out: list[np.ndarray] = []
-        for runs, ids, sizes, pos in zip(*[lists.column(c).to_pylist() for c in ("runs", "ids", "sizes", "pos")], strict=True):
-            runs, doc = np.frombuffer(runs, "<u4").astype(np.int64), np.frombuffer(ids, "<i8")
-            size, pos = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(pos, "<u4").astype(np.int64)
-            comp = doc.copy()
-            if len(node):
-                at = np.minimum(np.searchsorted(node, doc), len(node) - 1)
-                comp = np.where(node[at] == doc, root[at], doc)
-            ends = np.cumsum(runs)
-            starts = ends - runs
-            if not len(runs):
-                continue
-            mixed = np.flatnonzero(np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts))
-            found: list[np.ndarray] = []
-            held = 0
-            for k in mixed.tolist():
-                d, c, s, p = (x[starts[k] : ends[k]] for x in (doc, comp, size, pos))
-                for i in range(len(d) - 1):
-                    hit = np.flatnonzero((c[i + 1 :] != c[i]) & _may_link(s[i], p[i], s[i + 1 :], p[i + 1 :], percent)) + i + 1
-                    if len(hit):
-                        found.append(np.stack([np.full(len(hit), d[i]), d[hit]], 1))
-                        held += len(hit)
-                if held > 2_000_000:
-                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
-            if found:
-                out.append(np.unique(np.concatenate(found), axis=0))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        found: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        held = 0
+        for d, c, s, p in _lists(lists, roots):
+            names, counts = np.unique(c, return_counts=True)
+            main = c == names[counts.argmax()]
+            for i in np.flatnonzero(~main).tolist():  # a pair has one end outside the largest component
+                enough = least_overlap(s[i], s, percent)
+                other = (c != c[i]) & (main | (np.arange(len(d)) > i))
+                hit = np.flatnonzero(other & (np.minimum(p[i], p) + np.minimum(s[i] - p[i], s - p) >= enough))
+                if len(hit):
+                    need = enough[hit] - (-(-percent * np.maximum(s[i], s[hit]) // 100)) + 1
+                    ends = np.sort(np.column_stack([np.full(len(hit), d[i]), d[hit]]), 1)
+                    found.append(np.column_stack([ends, need, np.ones(len(hit), np.int64)]))
+                    held += len(hit)
+            if held > 1_000_000:
+                found = [_add_up(found)]
+                held = len(found[0])
+        pairs = _add_up(found)
+        return pa.table({c: pa.array(pairs[:, k]) for k, c in enumerate(("a", "b", "need", "times"))})
 
     return run
 
@@ -372,6 +417,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tables
     return tables.save(rows.repartition(n, "a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(_search(width, percent), "a long, b long"))
 
 
+def _best(partners: DataFrame) -> DataFrame:
+    """(a, b): for each member b the first a that it met on most lists, the lowest on ties."""
+    met = partners.groupBy("member", "first").agg(F.sum("times").alias("times"))
+    top = met.groupBy("member").agg(F.max(F.struct("times", (-F.col("first")).alias("first"))).alias("top"))
+    return top.select((-F.col("top.first")).alias("a"), F.col("member").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles long, component_id long), a row per row of docs.
 
@@ -382,7 +434,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    spark = docs.sparkSession
+    spark = bounded_batches(docs)
     tables, buckets = Tables(spark), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     seen = tables.save(rows.mapInArrow(_sets(width), "doc_id long, n long, k1 long, k2 long, shingle long, copies long"))
@@ -395,17 +447,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     merged = tables.save(entries.groupBy("bucket").applyInArrow(_merge(percent), _MERGED))
     on_lists = merged.where("docs is not null").select("bucket", F.explode("docs").alias("doc"))
     active = tables.save(on_lists.select(F.col("doc").alias("doc_id")).distinct())
+    del entries
+    tables.release()
     texts = tables.save(rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    best = (
-        merged.where("member is not null").groupBy("member", "first").agg(F.sum("times").alias("times"))
-        .groupBy("member").agg(F.max(F.struct("times", (-F.col("first")).alias("first"))).alias("top"))
-        .select((-F.col("top.first")).alias("a"), F.col("member").alias("b"))
-    )
+    best = _best(merged.where("member is not null"))
     links = _linked(best, texts, width, percent, tables)
-    roots = components(links, tables)
-    located = on_lists.join(tables.save(roots.withColumnRenamed("node", "doc")), "doc").select(F.col("bucket").alias("home"), "doc", "root")
+    tables.release()
     lists = merged.where("docs is not null").select("bucket", "runs", "ids", "sizes", "pos")
-    cross = lists.groupBy("bucket").cogroup(located.groupBy("home")).applyInArrow(_cross(percent), "a long, b long").distinct()
+
+    def located(roots: DataFrame) -> DataFrame:
+        found = on_lists.join(tables.save(roots.withColumnRenamed("node", "doc")), "doc")
+        return found.select(F.col("bucket").alias("home"), "doc", "root")
+
+    for _ in range(FURTHER_ROUNDS):
+        more = lists.groupBy("bucket").cogroup(located(components(links, tables)).groupBy("home")).applyInArrow(_again(percent), "member long, first long, times long")
+        links = tables.save(links.unionByName(_linked(_best(more), texts, width, percent, tables)))
+        tables.release()
+    located_now = located(components(links, tables))
+    cross = lists.groupBy("bucket").cogroup(located_now.groupBy("home")).applyInArrow(_cross(percent), "a long, b long, need long, times long")
+    cross = cross.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     later = _linked(cross, texts, width, percent, tables)
 
     class_of = member.select("doc_id", "class").distinct()
