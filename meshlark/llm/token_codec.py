@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Tables, filesystem, partitions
+from ._shared import Tables, bounded_batches, filesystem, partitions
 from .tokens import encoder
 
 MAGIC = b"MLKTOK1\n"
@@ -47,13 +47,14 @@ _MASK = U64(0xFFFFFFFF)
 class _Models:
     """Models of n blocks, moved ahead together; encoder and decoder hold the same state."""
 
-    def __init__(self, n: int, low_bits: int):
-        self.n, self.low_bits = n, low_bits
+    def __init__(self, n: int, low_bits: int, decoding: bool = False):
+        self.n, self.low_bits, self.decoding = n, low_bits, decoding
         self.lane = np.arange(n)
         self.guess = [np.zeros(n * SLOTS, U32) for _ in range(2)]
         self.sure = [np.zeros(n * SLOTS, np.uint8) for _ in range(2)]
-        self.odds = np.ones((n * 32, 3), U32)
-        self.total = np.ones((n, 3), U32)
+        self.odds = np.ones(n * 96, np.int64)
+        self.total = np.ones(n * 3, np.int64)
+        self.lane3, self.lane96 = self.lane * 3, self.lane * 96
         self.sizes = (256, 1 << low_bits)
         self.seen = [np.ones(n * s, U32) for s in self.sizes]
         self.tables = [None, None]
@@ -69,27 +70,22 @@ class _Models:
             freq = (1 + seen * spare // seen.sum(1, keepdims=True)).astype(U32)
             freq[self.lane, seen.argmax(1)] += (UNIT - freq.sum(1)).astype(U32)
             start = np.cumsum(freq, 1, dtype=U32) - freq
-            inverse = np.zeros((self.n, UNIT), np.int32)
-            rows, cols = np.nonzero(start > 0)
-            inverse[rows, start[rows, cols]] = 1
-            np.cumsum(inverse, 1, out=inverse)
-            self.tables[k] = (start.reshape(-1).astype(U64), freq.reshape(-1).astype(U64), inverse.reshape(-1))
+            inverse = np.repeat(np.tile(np.arange(s, dtype=np.int32), self.n), freq.reshape(-1)) if self.decoding else None
+            self.tables[k] = (start.reshape(-1).astype(U64), freq.reshape(-1).astype(U64), inverse)
 
     def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The two guesses and their shares of UNIT; what is left is the share of neither."""
         (s2, s1), (a, b) = self.slot, self.guess
         self.named = g2, g1 = a[s2], b[s1]
         self.trust = c2, c1 = self.sure[0][s2], self.sure[1][s1]
-        self.context = self.lane * 32 + (c2 * np.uint8(8) + c1 * np.uint8(2) + (g2 == g1))
-        mixed = self.odds[self.context] * U32(4) + self.total
-        whole = mixed.sum(1, dtype=U32)
-        f2 = U32(1) + mixed[:, 0] * U32(UNIT - 3) // whole
-        f1 = U32(1) + mixed[:, 1] * U32(UNIT - 3) // whole
-        return g2, g1, f2.astype(U64), f1.astype(U64)
+        c = self.context = self.lane96 + (c2.astype(np.int64) * 24 + c1.astype(np.int64) * 6 + (g2 == g1) * 3)
+        m2, m1 = self.odds[c] * 4 + self.total[self.lane3], self.odds[c + 1] * 4 + self.total[self.lane3 + 1]
+        scale = (UNIT - 3) / (m2 + m1 + self.odds[c + 2] * 4 + self.total[self.lane3 + 2])
+        return g2, g1, (1 + m2 * scale).astype(U64), (1 + m1 * scale).astype(U64)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.odds[self.context, outcome] += U32(1)
-        self.total[self.lane, outcome] += U32(1)
+        self.odds[self.context + outcome] += 1
+        self.total[self.lane3 + outcome] += 1
         for k in range(2):
             slot, right, trust = self.slot[k], self.named[k] == ids, self.trust[k]
             self.guess[k][slot] = np.where(right | (trust > 0), self.named[k], ids)
@@ -101,11 +97,11 @@ class _Models:
         self.slot = [self.lane * SLOTS + ((mixed ^ (self.prev * U32(0x85EBCA6B))) >> U32(21)), self.lane * SLOTS + (mixed >> U32(21))]
         self.prev = ids
         self.step += 1
-        if self.step & 255 == 0 or self.step in (16, 32, 64, 128):
+        if self.step & 511 == 0 or self.step in (16, 64, 256):
             self._rebuild()
         if self.step & 255 == 0:
-            self.odds = (self.odds >> U32(1)) + U32(1)
-            self.total = (self.total >> U32(1)) + U32(1)
+            self.odds = (self.odds >> 1) + 1
+            self.total = (self.total >> 1) + 1
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> tuple:
@@ -165,7 +161,7 @@ def decode_blocks(blocks: list[bytes], steps: int, low_bits: int) -> np.ndarray:
     for k, b in enumerate(blocks):
         words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
     flat = words.reshape(-1).astype(U64)
-    m = _Models(n, low_bits)
+    m = _Models(n, low_bits, decoding=True)
     at = m.lane * width
     code = (flat[at] << _WORD) | flat[at + 1]
     at = at + 2
@@ -291,7 +287,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
         if ids:
             yield flush()
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(bounded_batches(docs)), "doc_id").sortWithinPartitions("doc_id")
     return tables.save(ranged.mapInArrow(run, "part int, file int, path string, n_docs long, n_tokens long"))
 
 

@@ -9,6 +9,8 @@ kinds are known: "byte" (byte-level BPE, a blank belongs to the word after it) a
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 from . import _text as X
@@ -52,6 +54,14 @@ def byte_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, X.rows_of(starts, offsets)
 
 
+def _byte_names() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
+
+
+BYTE_NAMES = _byte_names()
 PIECES = {"byte": byte_pieces, "word": word_pieces}
 
 
@@ -66,12 +76,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.cache = PIECES[kind], {}
+        self.pieces, self.cache, self.byte = PIECES[kind], {}, kind == "byte"
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
 
     def _learn(self, missing: list[bytes]) -> None:
-        texts = [m.decode("utf-8", "replace") for m in missing]
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(found.ids, "<u4").tobytes()
+        """Most pieces are a word of Latin letters, with a mark behind it at most: one pre-token each, which goes to
+        the library's BPE model directly.  Any other piece goes through the whole tokenizer."""
+        model, rest = self.tokenizer.model, []
+        for piece in missing:
+            text = piece.decode("utf-8", "replace")
+            word, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+            letters = word[1:] if self.byte and word[:1] == " " else word
+            if not letters.isalpha() or max(letters) > "\xff":
+                rest.append((piece, text))
+                continue
+            form = word if self.byte else word.lower()
+            if not form.isascii() or self.byte:
+                form = "".join([BYTE_NAMES[c] for c in form.encode()])
+            ids = [t.id for t in model.tokenize(form)]
+            if mark:
+                ids += self.marks[mark]
+            self.cache[piece] = array("I", ids).tobytes()
+        if rest:
+            found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            for (piece, _), one in zip(rest, found, strict=True):
+                self.cache[piece] = array("I", one.ids).tobytes()
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, rows = self.pieces(buf, offsets)
