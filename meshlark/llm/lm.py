@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Tables, partitions
+from ._shared import Tables, bounded_batches, partitions
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BUCKETS = 48  # of context frequency
+COUNTS = 512  # bins of counts
 RATIOS = 512  # bins of log10(bigram estimate / lower estimate), over LOW..-LOW
 LOW = -9.0
 _END = np.uint64(0x6A09E667F3BCC909)
@@ -64,14 +65,13 @@ class _Chunk:
         trained = self.train[self.rows]
         self.word_count = np.bincount(self.word_at[trained], minlength=len(self.word))
         self.pair_count = np.bincount(self.pair_at[trained], minlength=len(self.pair))
-        hashed = X.mix64(batch.column("key").slice(i, n).to_numpy(zero_copy_only=False).view(np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        self.key = int(hashed.sum(dtype=np.uint64).view(np.int64))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    for batch in batches:
-        for i, j, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
-            yield _Chunk(batch, i, j, buf, offsets)
+def _chunk_key(batch: pa.RecordBatch, i: int, j: int) -> int:
+    """A hash of the chunk's rows in their order."""
+    keys = batch.column("key").slice(i, j - i).to_numpy(zero_copy_only=False).view(np.uint64)
+    hashed = X.mix64(keys + np.arange(j - i, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return int(hashed.sum(dtype=np.uint64).view(np.int64))
 
 
 def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -80,27 +80,32 @@ def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array([int(e) for e in edges], np.uint64)), [len(keys)]])
 
 
+#: Bytes of a key that are sent; the shard adds the bits of its number, and shards grow in number with the input.
+_KEY_BYTES = {1: 8, 2: 5}
+
+
 def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
-            rows = []
-            for kind, keys, counts in ((1, c.word, c.word_count), (2, c.pair, c.pair_count)):
-                cuts = _cuts(keys, shards)
-                small = np.minimum(counts, 255).astype(np.uint8)
-                big = np.flatnonzero(counts >= 255)
-                for s in range(shards):
-                    a, b = cuts[s], cuts[s + 1]
-                    if a < b:
-                        over = big[(big >= a) & (big < b)]
-                        rows.append((kind, s, c.key, (keys[a:b] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), small[a:b].tobytes(), counts[over].astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "chunk", "keys", "counts", "over"])
+        for batch in batches:
+            for i, j, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
+                c, key, rows = _Chunk(batch, i, j, buf, offsets), _chunk_key(batch, i, j), []
+                for kind, keys, counts in ((1, c.word, c.word_count), (2, c.pair, c.pair_count)):
+                    cuts = _cuts(keys, shards)
+                    short = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, : _KEY_BYTES[kind]])
+                    small = np.minimum(counts, 255).astype(np.uint8)
+                    for s in range(shards):
+                        part = slice(cuts[s], cuts[s + 1])
+                        if part.start < part.stop:
+                            over = counts[part][counts[part] >= 255]
+                            rows.append((kind, s, key, short[part].tobytes(), small[part].tobytes(), over.astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "chunk", "keys", "counts", "over"])
 
     return run
 
 
-def _unpack(keys: bytes) -> np.ndarray:
-    wide = np.zeros((len(keys) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+def _unpack(keys: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(keys) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(keys, np.uint8).reshape(-1, width)
     return wide.view(np.uint64).reshape(-1)
 
 
@@ -108,7 +113,8 @@ def _answer(table: pa.Table) -> pa.Table:
     """One shard of one kind: the corpus count of every key asked for, per chunk; and totals in a row without chunk."""
     if not table.num_rows:
         return table.schema.empty_table()
-    keys = [_unpack(k) for k in table.column("keys").to_pylist()]
+    kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+    keys = [_unpack(k, _KEY_BYTES[kind]) for k in table.column("keys").to_pylist()]
     counts = []
     for small, over in zip(table.column("counts").to_pylist(), table.column("over").to_pylist(), strict=True):
         c = np.frombuffer(small, np.uint8).astype(np.int64)
@@ -117,85 +123,72 @@ def _answer(table: pa.Table) -> pa.Table:
     sizes = [len(k) for k in keys]
     known, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-    out, k = [], 0
-    for n in sizes:
-        out.append(total[at[k : k + n]].astype("<u4" if total.max() < 2**32 else "<u8").tobytes())
+    out, k, held = [], 0, np.zeros(COUNTS)
+    for n, own in zip(sizes, counts, strict=True):
+        found = total[at[k : k + n]]
+        out.append(_packed(found.astype("<u4" if total.max() < 2**32 else "<u8").tobytes()))
+        held += np.bincount(_count_bins(found - own), weights=own, minlength=COUNTS)
         k += n
-    kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
     n_rows = len(out) + 1
     return pa.table({
         "kind": pa.array([kind] * n_rows, pa.int32()), "shard": pa.array([shard] * n_rows, pa.int32()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
         "totals": pa.array([*out, None], pa.binary()), "tokens": pa.array([None] * len(out) + [int(total.sum())], pa.int64()), "types": pa.array([None] * len(out) + [int((total > 0).sum())], pa.int64()),
+        "held": pa.array([None] * len(out) + [held.tolist()], pa.list_(pa.float64())),
     })
 
 
-_BODY = "chunk long, ids binary, body binary"
+def _count_bins(count: np.ndarray) -> np.ndarray:
+    return np.minimum((np.log2(count + 1) * 8).astype(np.int64), COUNTS - 1)
 
 
-def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What scoring needs of a chunk besides the answers, in Arrow's stream format with compression."""
-    for c in _chunks(batches):
-        doc = pa.table({"_id": c.ids, "train": pa.array(c.train), "tokens": pa.array(c.tokens)})
-        word = pa.table({"word_count": pa.array(c.word_count, pa.int32())})
-        pair = pa.table({"pair_count": pa.array(c.pair_count, pa.int32()), "word": pa.array(c.pair_word, pa.int32()), "context": pa.array(c.pair_context, pa.int32())})
-        at = pa.table({"at": pa.array(c.pair_at, pa.int32())})
-        yield pa.RecordBatch.from_arrays([pa.array([c.key], pa.int64()), pa.array([_pack(doc)], pa.binary()), pa.array([b"".join(len(x).to_bytes(8, "little") + x for x in map(_pack, (word, pair, at)))], pa.binary())], ["chunk", "ids", "body"])
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _pack(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _load(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
-
-
-def _parts(body: bytes) -> list[pa.Table]:
-    out, k = [], 0
-    while k < len(body):
-        n = int.from_bytes(body[k : k + 8], "little")
-        out.append(_load(body[k + 8 : k + 8 + n]))
-        k += 8 + n
-    return out
+def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk, compressed."""
+    for batch in batches:
+        for i, j, _, _ in X.text_chunks(batch.column("text"), CHUNK):
+            rows, sink = batch.select(["_id", "text", "train"]).slice(i, j - i), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                w.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([_chunk_key(batch, i, j)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
 
 
 def _meet(key, bodies: pa.Table, answers: pa.Table) -> pa.Table:
     """Bodies and answers of one chunk; equal chunks (copied rows) may be there more than once."""
     if not bodies.num_rows or not answers.num_rows:
         raise ValueError("the documents changed between two passes: texts and counts don't belong together")
-    joined = {}
+    joined: dict[int, list[bytes]] = {1: [], 2: []}
     seen = set()
     for kind, shard, totals in sorted(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda x: x[:2]):
         if (kind, shard) not in seen:
             seen.add((kind, shard))
-            joined.setdefault(kind, []).append(totals)
-    wide = [b"".join(joined[k]) for k in (1, 2)]
+            joined[kind].append(_unpacked(totals))
     n = bodies.num_rows
-    return pa.table({"ids": bodies.column("ids"), "body": bodies.column("body"), "words": pa.array([wide[0]] * n, pa.binary()), "pairs": pa.array([wide[1]] * n, pa.binary())})
+    return pa.table({"body": bodies.column("body"), **{name: pa.array([_packed(b"".join(joined[k]))] * n, pa.binary()) for k, name in ((1, "words"), (2, "pairs"))}})
 
 
 class _Counts:
-    """Counts of a chunk's words and pairs in the corpus (all) and without the chunk (rest)."""
+    """Counts of a chunk's words and pairs in the corpus (all) and without the chunk (own)."""
 
     def __init__(self, row: dict, docs: int):
-        self.doc = _load(row["ids"])
-        word, pair, at = _parts(row["body"])
-        self.at = at.column("at").to_numpy()
-        self.word_own = word.column("word_count").to_numpy().astype(np.int64)
-        self.pair_own = pair.column("pair_count").to_numpy().astype(np.int64)
-        self.word = self._wide(row["words"], len(self.word_own))
-        self.pair = self._wide(row["pairs"], len(self.pair_own))
-        self.w, v = pair.column("word").to_numpy(), pair.column("context").to_numpy()
-        own = int(self.doc.column("train").to_numpy(zero_copy_only=False).sum())
-        self.context = np.where(v < 0, docs, self.word[v])
-        self.context_own = np.where(v < 0, own, self.word_own[v])
+        batch = pa.ipc.open_stream(row["body"]).read_next_batch()
+        _, n, buf, offsets = next(X.text_chunks(batch.column("text"), 1 << 62))
+        c = self.chunk = _Chunk(batch, 0, n, buf, offsets)
+        self.word, self.pair = self._wide(row["words"], len(c.word)), self._wide(row["pairs"], len(c.pair))
+        own = int(c.train.sum())
+        self.context = np.where(c.pair_context < 0, docs, self.word[c.pair_context])
+        self.context_own = np.where(c.pair_context < 0, own, c.word_count[c.pair_context])
 
     @staticmethod
     def _wide(data: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8").astype(np.int64)
+        raw = _unpacked(data)
+        return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -232,24 +225,20 @@ def bin_ratios() -> np.ndarray:
     return np.concatenate([[0.0], mid])
 
 
-def _statistics(totals: dict, u: float | None):
-    """Histograms of held-out tokens by context bucket and ratio of estimates; without u those of words (bucket 0)."""
+def _statistics(totals: dict, u: float):
+    """Histogram of held-out tokens by context bucket and ratio of the estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros((BUCKETS, RATIOS))
         for batch in batches:
             for row in batch.to_pylist():
-                c = _Counts(row, totals["docs"])
-                n_rest = max(totals["tokens"] - int(c.word_own.sum()), 1)
-                rest = c.word - c.word_own
-                if u is None:
-                    ratio = rest / n_rest * (totals["types"] + 1)
-                    bins[0] += np.bincount(_bins(ratio), weights=c.word_own, minlength=RATIOS)
-                else:
-                    context = c.context - c.context_own
-                    ratio = (c.pair - c.pair_own) / np.maximum(context, 1) / (u * rest[c.w] / n_rest + (1 - u) / (totals["types"] + 1))
-                    flat = _bucket(context) * RATIOS + _bins(ratio)
-                    bins += np.bincount(flat, weights=c.pair_own, minlength=BUCKETS * RATIOS).reshape(BUCKETS, RATIOS)
+                k = _Counts(row, totals["docs"])
+                c, context = k.chunk, k.context - k.context_own
+                n_rest = max(totals["tokens"] - int(c.word_count.sum()), 1)
+                lower = _lower((k.word - c.word_count)[c.pair_word], n_rest, totals["types"], u)
+                ratio = (k.pair - c.pair_count) / np.maximum(context, 1) / lower
+                flat = _bucket(context) * RATIOS + _bins(ratio)
+                bins += np.bincount(flat, weights=c.pair_count, minlength=BUCKETS * RATIOS).reshape(BUCKETS, RATIOS)
         b, r = np.nonzero(bins)
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(r, pa.int32()), pa.array(bins[b, r], pa.float64())], ["bucket", "bin", "mass"])
 
@@ -261,19 +250,14 @@ def _scores(totals: dict, u: float, a: np.ndarray):
         n, v = totals["tokens"], totals["types"]
         for batch in batches:
             for row in batch.to_pylist():
-                c = _Counts(row, totals["docs"])
-                weight = a[_bucket(c.context)]
-                weight = np.where(c.context > 0, weight, 0.0)
-                p = weight * c.pair / np.maximum(c.context, 1) + (1 - weight) * _lower(c.word[c.w], n, v, u)
-                base = np.log10((c.word + 1) / (n + v + 1))
-                tokens = c.doc.column("tokens").to_numpy()
-                stops = np.cumsum(tokens)
-                rows = np.repeat(np.arange(len(tokens)), tokens)
-                w = c.w[c.at]
-                sums = [np.bincount(rows, weights=x, minlength=len(tokens)) for x in (base[w], np.log10(p)[c.at], c.word[w] > 0)]
-                assert stops[-1] == len(c.at)
+                k = _Counts(row, totals["docs"])
+                c = k.chunk
+                weight = np.where(k.context > 0, a[_bucket(k.context)], 0.0)
+                p = weight * k.pair / np.maximum(k.context, 1) + (1 - weight) * _lower(k.word[c.pair_word], n, v, u)
+                base = np.log10((k.word + 1) / (n + v + 1))
+                sums = [np.bincount(c.rows, weights=x, minlength=len(c.tokens)) for x in (base[c.word_at], np.log10(p)[c.pair_at], (k.word > 0)[c.word_at])]
                 yield pa.RecordBatch.from_arrays(
-                    [c.doc.column("_id").combine_chunks(), pa.array(~c.doc.column("train").to_numpy(zero_copy_only=False)), pa.array(tokens, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(tokens), n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
+                    [c.ids, pa.array(~c.train), pa.array(c.tokens, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(c.tokens), n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
                     ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -288,7 +272,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None, id_col:
     token is unknown and the uniform part decides.  Repeated rows are counted and scored each; no rows give none.
     docs must give the same rows in the same order twice, as files do.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs)
     tables = Tables(spark)
     shards = shards or max(8, partitions(spark))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -296,22 +280,25 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None, id_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), train, F.xxhash64(F.col(id_col), F.length(text_col)).alias("key"))
     n_docs = docs.where(F.coalesce(~held_out, F.lit(False))).count()
     asked = rows.mapInArrow(_ask(shards), "kind int, shard int, chunk long, keys binary, counts binary, over binary")
-    answers = tables.save(asked.groupBy("kind", "shard").applyInArrow(_answer, "kind int, shard int, chunk long, totals binary, tokens long, types long"))
-    summed = answers.where("chunk is null and kind = 1").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    answers = tables.save(asked.groupBy("kind", "shard").applyInArrow(_answer, "kind int, shard int, chunk long, totals binary, tokens long, types long, held array<double>"))
+    del asked
+    tables.release()
+    about = answers.where("chunk is null and kind = 1")
+    summed = about.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     totals = {"tokens": summed.tokens or 0, "types": summed.types or 0, "docs": n_docs}
-    bodies = rows.mapInArrow(_body, _BODY)
     replies = answers.where("chunk is not null").select("chunk", "kind", "shard", "totals")
-    met = tables.save(bodies.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_meet, "ids binary, body binary, words binary, pairs binary"))
-
-    def histogram(u: float | None) -> np.ndarray:
-        out = np.zeros((BUCKETS, RATIOS))
-        found = met.mapInArrow(_statistics(totals, u), "bucket int, bin int, mass double").groupBy("bucket", "bin").agg(F.sum("mass").alias("mass"))
-        for r in found.collect():  # BUCKETS x RATIOS rows at most
-            out[r.bucket, r.bin] = r.mass
-        return out
-
-    u = em_weight(histogram(None)[0], bin_ratios())
-    a = np.array([em_weight(m, bin_ratios()) for m in histogram(u)])
+    bodies = rows.mapInArrow(_body, "chunk long, body binary")
+    met = tables.save(bodies.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_meet, "body binary, words binary, pairs binary"))
+
+    held = np.zeros(COUNTS)
+    for r in about.select(F.posexplode("held").alias("bin", "mass")).groupBy("bin").agg(F.sum("mass").alias("mass")).collect():  # COUNTS rows
+        held[r.bin] = r.mass
+    count = 2 ** (np.arange(COUNTS) / 8) - 1
+    u = em_weight(held, count / max(totals["tokens"], 1) * (totals["types"] + 1))
+    bins = np.zeros((BUCKETS, RATIOS))
+    for r in met.mapInArrow(_statistics(totals, u), "bucket int, bin int, mass double").groupBy("bucket", "bin").agg(F.sum("mass").alias("mass")).collect():  # BUCKETS x RATIOS rows at most
+        bins[r.bucket, r.bin] = r.mass
+    a = np.array([em_weight(m, bin_ratios()) for m in bins])
     a[0] = 0.0
     return met.mapInArrow(_scores(totals, u, a), f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_id", id_col)
 
