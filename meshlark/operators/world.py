@@ -118,7 +118,9 @@ class TiledMesh:
         n = self.locate(p)
         if n is None:
             return OUTSIDE, None
-        for _ in range(2 * sum(len(m.tris) for m in self.tiles.values()) + 8):
+        seen: set[tuple[int, int]] = set()
+        while n not in seen:
+            seen.add(n)
             m, t = self.tiles[n[0]], n[1]
             if m.locate(q) == t:
                 return CLEAR, None
