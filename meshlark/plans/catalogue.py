@@ -137,12 +137,29 @@ def ring_contains(spark: SparkSession, d: str) -> DataFrame:
     return rings.containing(V.points(spark, d), V.rings(spark, d).where("ring_id % 50 = 0"), SIZE)
 
 
+@query()
+def ring_contains_all(spark: SparkSession, d: str) -> DataFrame:
+    """Points in the rings of all customers."""
+    return rings.containing(V.points(spark, d), V.rings(spark, d), SIZE)
+
+
+def _winding(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    e = rings.ring_edges(asked).select("ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
+    return spatial.winding_numbers(V.points(spark, d).select("id", "x", "y"), e, SIZE, ["ring_id"])
+
+
 @query(_with("pts ring_edges", _SOME_RINGS, """
 SELECT id, ring_id, sum(CASE WHEN ay <= y AND by_ > y AND (bx-ax)*(y-ay)-(by_-ay)*(x-ax) > 0 THEN 1 WHEN by_ <= y AND ay > y AND (bx-ax)*(y-ay)-(by_-ay)*(x-ax) < 0 THEN -1 ELSE 0 END) AS winding
 FROM pts CROSS JOIN r GROUP BY id, ring_id HAVING winding <> 0"""))
 def winding_numbers(spark: SparkSession, d: str) -> DataFrame:
-    e = rings.ring_edges(V.rings(spark, d).where("ring_id % 50 = 0")).select("ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
-    return spatial.winding_numbers(V.points(spark, d).select("id", "x", "y"), e, SIZE, ["ring_id"])
+    """Winding numbers about the rings of every 50th customer."""
+    return _winding(spark, d, V.rings(spark, d).where("ring_id % 50 = 0"))
+
+
+@query()
+def winding_numbers_all(spark: SparkSession, d: str) -> DataFrame:
+    """Winding numbers about the rings of all customers."""
+    return _winding(spark, d, V.rings(spark, d))
 
 
 @query(V.sql("rings", """
@@ -344,7 +361,17 @@ def _edge_d2(s: str, e: str) -> str:
 SELECT id, arg_min(tid, (round(d2, 6), tid)) AS tid, round(sqrt(min(d2)), 6) AS distance FROM near GROUP BY id"""))
 def nearest_triangle(spark: SparkSession, d: str) -> DataFrame:
     """For every 20th point (the points asked about) the nearest triangle and its distance."""
-    found = spatial.nearest_triangle(V.points(spark, d).where("id % 20 = 0").select("id", "x", "y"), V.tris(spark, d), 4.0)
+    return _nearest(spark, d, V.points(spark, d).where("id % 20 = 0"))
+
+
+@query()
+def nearest_triangle_all(spark: SparkSession, d: str) -> DataFrame:
+    """For every point the nearest triangle and its distance."""
+    return _nearest(spark, d, V.points(spark, d))
+
+
+def _nearest(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    found = spatial.nearest_triangle(asked.select("id", "x", "y"), V.tris(spark, d), 4.0)
     return found.select("id", "tid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
@@ -436,9 +463,14 @@ _AGENTS = "agents AS (SELECT id, x, y, (id % 5) - 2 AS vx, (id % 7) - 3 AS vy FR
 _NEIGHBOURS = "near AS (SELECT a.id, b.id AS other FROM agents a JOIN agents b ON a.id <> b.id AND abs(a.x // 4 - b.x // 4) <= 1 AND abs(a.y // 4 - b.y // 4) <= 1)"
 
 
+def _all_agents(spark: SparkSession, d: str) -> DataFrame:
+    """Every point moves."""
+    return V.points(spark, d).select("id", "x", "y", (F.col("id") % 5 - 2).alias("vx"), (F.col("id") % 7 - 3).alias("vy"))
+
+
 def _agents(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth point moves (the agents of the scene)."""
-    return V.points(spark, d).where("id % 10 = 0").select("id", "x", "y", (F.col("id") % 5 - 2).alias("vx"), (F.col("id") % 7 - 3).alias("vy"))
+    return _all_agents(spark, d).where("id % 10 = 0")
 
 
 @query(_with("pts", f"{_AGENTS}, {_NEIGHBOURS}", "SELECT id, other FROM near"))
@@ -446,6 +478,12 @@ def crowd_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return spatial.neighbours(_agents(spark, d).select("id", "x", "y"), 4.0)
 
 
+@query()
+def crowd_neighbors_all(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours among all points."""
+    return spatial.neighbours(_all_agents(spark, d).select("id", "x", "y"), 4.0)
+
+
 @query(_with("pts", f"{_AGENTS}, {_NEIGHBOURS}", """
 , q AS (SELECT n.id, (b.x-a.x) AS px, (b.y-a.y) AS py, (a.vx-b.vx) AS wx, (a.vy-b.vy) AS wy FROM near n JOIN agents a ON a.id = n.id JOIN agents b ON b.id = n.other),
  s AS (SELECT id, px*px+py*py-1 AS c, px*wx+py*wy AS b, wx*wx+wy*wy AS a FROM q),
@@ -453,7 +491,16 @@ def crowd_neighbors(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, round(max(p), 6) AS penalty FROM t GROUP BY id""").replace("\n\n, q", ", q"))
 def ttc_penalty(spark: SparkSession, d: str) -> DataFrame:
     """Largest time-to-contact penalty among neighbours, radius 1/2 each, over two seconds."""
-    a = _agents(spark, d)
+    return _penalty(_agents(spark, d))
+
+
+@query()
+def ttc_penalty_all(spark: SparkSession, d: str) -> DataFrame:
+    """The penalty with every point moving."""
+    return _penalty(_all_agents(spark, d))
+
+
+def _penalty(a: DataFrame) -> DataFrame:
     b = a.select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x", "y", "vx", "vy")])
     near = spatial.neighbours(a.select("id", "x", "y"), 4.0).join(a, "id").join(b, "other")
     p, w = G.point("ox", "oy") - G.point("x", "y"), G.point("vx", "vy") - G.point("ovx", "ovy")
