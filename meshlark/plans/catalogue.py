@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 SIZE = 8.0  # bucket of the lattice joins
+SEGMENT_SIZE = 32.0  # bucket of the segments, which are longer
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -84,6 +85,16 @@ def _segment_pairs(spark: SparkSession, d: str) -> DataFrame:
     return left.join(right, left.ax == right.cy).where("i < j and m1 <= m2")
 
 
+def _near_segments(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs i < j of segments whose boxes touch."""
+    s = V.segments(spark, d).drop("mark")
+    boxed = s.select("id", F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    met = spatial.boxes_meet(boxed, boxed, SEGMENT_SIZE).where("l_id < r_id").select(F.col("l_id").alias("i"), F.col("r_id").alias("j"))
+    left = s.withColumnRenamed("id", "i")
+    right = s.withColumnsRenamed({"id": "j", "ax": "cx", "ay": "cy", "bx": "dx", "by": "dy"})
+    return met.join(left, "i").join(right, "j")
+
+
 @query(_with("segs", f"{_PAIRS}, {_ORIENTS}", f"""
 SELECT kind, count(*) AS n, sum(i % 1009) AS check_i, sum(j % 1009) AS check_j FROM (
   SELECT i, j, CASE WHEN o1 = 0 AND o2 = 0 AND o3 = 0 AND o4 = 0 THEN
@@ -91,8 +102,18 @@ SELECT kind, count(*) AS n, sum(i % 1009) AS check_i, sum(j % 1009) AS check_j F
          WHEN sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0 OR o1 = 0 AND {_BOX('a', 'b', 'c')} OR o2 = 0 AND {_BOX('a', 'b', 'd')}
               OR o3 = 0 AND {_BOX('c', 'd', 'a')} OR o4 = 0 AND {_BOX('c', 'd', 'b')} THEN 'point' ELSE 'none' END AS kind FROM o) GROUP BY kind"""))
 def orient_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(_segment_pairs(spark, d))
+
+
+@query()
+def orient_classify_all(spark: SparkSession, d: str) -> DataFrame:
+    """How all pairs of segments with touching boxes meet; the pairs that are left out are of kind none."""
+    return _kinds(_near_segments(spark, d))
+
+
+def _kinds(pairs: DataFrame) -> DataFrame:
     kind = G.segments_meet(G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
-    return _segment_pairs(spark, d).select("i", "j", kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("i") % 1009).alias("check_i"), F.sum(F.col("j") % 1009).alias("check_j"))
+    return pairs.select("i", "j", kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("i") % 1009).alias("check_i"), F.sum(F.col("j") % 1009).alias("check_j"))
 
 
 @query(_with("segs", _PAIRS, """
@@ -100,8 +121,18 @@ def orient_classify(spark: SparkSession, d: str) -> DataFrame:
 SELECT i, j, round(tn::DOUBLE / den, 6) AS t, round(un::DOUBLE / den, 6) AS u FROM q
 WHERE den <> 0 AND tn::DOUBLE / den BETWEEN 0 AND 1 AND un::DOUBLE / den BETWEEN 0 AND 1""").replace("\n\n, q", ", q"))
 def segment_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(_segment_pairs(spark, d))
+
+
+@query()
+def segment_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    """The crossings of all pairs of segments."""
+    return _hits(_near_segments(spark, d))
+
+
+def _hits(pairs: DataFrame) -> DataFrame:
     hit = G.crossing(G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
-    found = _segment_pairs(spark, d).withColumn("h", hit).where("h is not null")
+    found = pairs.withColumn("h", hit).where("h is not null")
     return found.select("i", "j", F.round("h.t", 6).alias("t"), F.round("h.u", 6).alias("u"))
 
 
@@ -113,7 +144,16 @@ SELECT id, s, round(qx, 6) AS qx, round(qy, 6) AS qy FROM (
     FROM pts p JOIN segs s ON p.x = s.ax AND p.id % 16 = s.id % 16))"""))
 def nearest_on_segment(spark: SparkSession, d: str) -> DataFrame:
     p, s = V.points(spark, d), V.segments(spark, d).withColumnRenamed("id", "s")
-    met = p.join(s, (p.x == s.ax) & (p.id % 16 == s.s % 16))
+    return _projected(p.join(s, (p.x == s.ax) & (p.id % 16 == s.s % 16)))
+
+
+@query()
+def nearest_on_segment_all(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest place on every segment to every point: a row per pair, so points times segments."""
+    return _projected(V.points(spark, d).crossJoin(V.segments(spark, d).withColumnRenamed("id", "s")))
+
+
+def _projected(met: DataFrame) -> DataFrame:
     q = G.nearest_on_segment(G.point("ax", "ay"), G.point("bx", "by"), G.point("x", "y"))
     return met.select("id", "s", F.round(q.x, 6).alias("qx"), F.round(q.y, 6).alias("qy"))
 
