@@ -14,7 +14,7 @@ from meshlark.llm.queries import tokenizer_file
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy rejects go."""
-    return quality.filter_documents(docs, quality.STRICT)
+    return quality.filter_documents(docs, quality.STRICT_2)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

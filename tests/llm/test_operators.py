@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -266,6 +267,26 @@ def test_policies_and_ablation(spark, docs):
     assert quality.filter_documents(docs).columns == docs.columns
 
 
+def test_rows_of_symbols_are_rejected(spark):
+    rng = random.Random(2)
+    line = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    split = " ".join(w + (" |" if k % 2 else "") for k, w in enumerate(line))  # 1 symbol to 3 words of the text
+    few = " ".join(line[:90]) + " | | |"
+    frame = spark.createDataFrame([(1, split), (2, few), (3, " ".join(line))], "doc_id long, text string")
+    assert {r.doc_id for r in quality.filter_documents(frame).collect()} == {2, 3}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, frame, DATA).collect()} == {2, 3}
+
+
+def test_strict_2_ledger_equals_brute_force(spark, docs):
+    was = {r.doc_id: r for r in queries()["op4_quality_ledger"](spark, DATA).collect()}
+    now = {r.doc_id: r for r in queries()["op4_quality_ledger_strict_2"](spark, DATA).collect()}
+    assert set(was) == set(now)
+    for i, r in now.items():
+        many = r.n_symbols * 1000 > r.n_words * 100
+        assert (r.kept, r.fail_bits) == (was[i].kept and not many, was[i].fail_bits + 256 * many)
+    assert any(was[i].kept and not r.kept for i, r in now.items())
+
+
 # 5
 
 
