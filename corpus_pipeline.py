@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines spread over many sources go; n_chars follows the text, no document goes."""
-    clean = line_dedup.remove_spread_lines(docs)
+    clean = line_dedup.remove_spread_lines(docs, only_copies=True)
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -2,9 +2,10 @@
 
 A HyperLogLog sketch of sites per line hash is built by aggregation, so a line on any
 number of pages costs one sketch per task.  Lines whose estimate is near the threshold
-get an exact distinct count.  A document most of whose bytes are spread lines is a
-copied document rather than a page with boilerplate; it is left whole, for the
-near-duplicate operators to judge.
+get an exact distinct count.  A document most of whose bytes are spread lines may be a
+copied document rather than a page with boilerplate; such texts are left whole, for the
+near-duplicate operators to judge, or with only_copies just those of them that are
+found on two sites or more.
 """
 
 from __future__ import annotations
@@ -60,20 +61,23 @@ def spread_lines(docs: DataFrame, min_sites: int, tables: Tables, site_col: str
     return tables.save(clear.unionByName(exact.select("line")))
 
 
-def _strip(text: bytes, spans: list[tuple[int, int]], bad: list[bool], max_share: float) -> tuple[bytes, int]:
-    gone = sum(hi - lo for (lo, hi), b in zip(spans, bad, strict=True) if b)
-    if gone > max_share * len(text):
-        return text, 0
+def _strip(text: bytes, spans: list[tuple[int, int]], bad: list[bool]) -> tuple[bytes, int]:
     return b"\n".join(text[lo:hi] for (lo, hi), b in zip(spans, bad, strict=True) if not b), sum(bad)
 
 
 def _remover(known: np.ndarray | None, max_share: float):
-    """mapInArrow function on (_row, text) or, without known hashes, (_row, text, bad array<long>)."""
+    """mapInArrow function on (_row, text) or, without known hashes, (_row, text, bad array<long>).
+
+    Texts with more than max_share of spread lines stay whole and are marked as over; with a column copied
+    (boolean) only those of them that it says.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines_of, removed = batch.column("text").to_pylist(), [], []
             bad_column = None if known is not None else batch.column("bad")
+            copied = batch.column("copied").to_pylist() if "copied" in batch.schema.names else None
+            over_of = []
             for i, j, buf, offsets in X.text_chunks(batch.column("text")):
                 lo, hi, rows, lines, has = _hashes(buf, offsets)
                 if known is not None:
@@ -89,25 +93,30 @@ def _remover(known: np.ndarray | None, max_share: float):
                 cuts = np.searchsorted(rows, np.arange(j - i + 1))
                 touched = np.unique(rows[bad])
                 lines_of.append(np.diff(cuts))
-                count = np.zeros(j - i, np.int64)
+                count, over = np.zeros(j - i, np.int64), np.zeros(j - i, bool)
                 for r in touched.tolist():
                     part = slice(cuts[r], cuts[r + 1])
                     spans = list(zip((lo[part] - offsets[r]).tolist(), (hi[part] - offsets[r]).tolist(), strict=True))
-                    text, count[r] = _strip(texts[i + r].encode(), spans, bad[part].tolist(), max_share)
-                    texts[i + r] = text.decode()
+                    text = texts[i + r].encode()
+                    over[r] = (hi[part] - lo[part])[bad[part]].sum() > max_share * len(text)
+                    if not over[r] or copied is not None and not copied[i + r]:
+                        text, count[r] = _strip(text, spans, bad[part].tolist())
+                        texts[i + r] = text.decode()
                 removed.append(count)
+                over_of.append(over)
             if lines_of:
-                columns = [batch.column("_row"), pa.array(texts, pa.string()), pa.array(np.concatenate(lines_of), pa.int64()), pa.array(np.concatenate(removed), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "text", "n_lines", "n_removed"])
+                columns = [batch.column("_row"), pa.array(texts, pa.string()), pa.array(np.concatenate(lines_of), pa.int64()), pa.array(np.concatenate(removed), pa.int64()), pa.array(np.concatenate(over_of))]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "text", "n_lines", "n_removed", "over"])
 
     return run
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site_col: str = "source", text_col: str = "text", only_copies: bool = False) -> DataFrame:
     """docs with the text rid of spread lines, and n_lines, n_removed (long) after the other columns.
 
     A line is spread if it has a word and is on min_sites distinct sites or more.  Texts of which spread lines are
     more than max_share of the bytes stay whole (n_removed 0), as do null texts; an empty text has one empty line.
+    only_copies: of the texts above max_share, only those that equal a text of another site stay whole.
     Extra columns are kept; ones named n_lines or n_removed are replaced.
     """
     spark = bounded_batches(docs)
@@ -116,12 +125,21 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float =
     keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     held = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("text"))
     kind = held.schema["_row"].dataType.simpleString()
-    out = f"_row {kind}, text string, n_lines long, n_removed long"
-    if lines.count() <= BROADCAST_LINES:
-        known = np.sort(lines.toPandas()["line"].to_numpy(np.int64))
-        clean = held.mapInArrow(_remover(known, max_share), out)
-    else:
-        clean = _joined(held, lines, max_share, out)
+    known = np.sort(lines.toPandas()["line"].to_numpy(np.int64)) if lines.count() <= BROADCAST_LINES else None
+
+    def strip(rows: DataFrame, kind: str) -> DataFrame:
+        out = f"_row {kind}, text string, n_lines long, n_removed long, over boolean"
+        return _joined(rows, lines, max_share, out) if known is None else rows.mapInArrow(_remover(known, max_share), out)
+
+    if only_copies:
+        # a first pass lists the texts above max_share by hash, a second one strips those that no other site has
+        asked = docs.select(F.struct(F.xxhash64(text_col).alias("key"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))).alias("site")).alias("_row"), F.col(text_col).alias("text"))
+        over = strip(asked, asked.schema["_row"].dataType.simpleString()).where("over").select("_row.key", "_row.site")
+        copies = tables.save(over.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select(F.col("key").alias("_key"), F.lit(True).alias("_copied")))
+        copies = F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies
+        marked = held.join(copies, F.xxhash64(held["text"]) == copies["_key"], "left")
+        held = marked.select("_row", "text", F.coalesce("_copied", F.lit(False)).alias("copied"))
+    clean = strip(held, kind)
     order = [F.col(f"_row.`{c}`") if c in keep else F.col("text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return clean.select(*order, "n_lines", "n_removed")
 
@@ -139,4 +157,4 @@ def _joined(held: DataFrame, lines: DataFrame, max_share: float, out: str) -> Da
     keyed = held.withColumn("key", F.xxhash64("text"))
     pairs = keyed.select("key", "text").mapInArrow(own_lines, "key long, line long").distinct()
     bad = pairs.join(lines, "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("bad"))
-    return keyed.join(bad, "key", "left").select("_row", "text", "bad").mapInArrow(_remover(None, max_share), out)
+    return keyed.join(bad, "key", "left").drop("key").mapInArrow(_remover(None, max_share), out)

@@ -88,7 +88,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = line_dedup.remove_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    """As in the SQL, any text with more than half its bytes in spread lines stays whole."""
+    return _stripped(spark, sf_dir, False)
+
+
+def op10_line_dedup_only_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in the pipeline, only texts that other sites have as well stay whole."""
+    return _stripped(spark, sf_dir, True)
+
+
+def _stripped(spark: SparkSession, sf_dir: str, only_copies: bool) -> DataFrame:
+    clean = line_dedup.remove_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), only_copies=only_copies)
     return clean.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
@@ -96,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_token_codec, op3_feistel_pseudonyms, op4_quality_ledger, op4_quality_ledger_strict_2, op5_decontamination, op6_deleted_interpolation,
         op7_warc_index, op8_suffix_array_dedup, op9_best_fit_packing, op10_line_dedup,
+        op10_line_dedup_only_copies,
     )}
 
 

@@ -448,3 +448,18 @@ def test_lines(spark, duck, docs, edge_docs, no_docs, monkeypatch):
     out = line_dedup.remove_spread_lines(edge_docs, 2)
     assert out.count() == edge_docs.count() and out.columns == ["doc_id", "text", "source", "_id", "n_lines", "n_removed"]
     assert line_dedup.remove_spread_lines(no_docs).count() == 0
+
+
+def test_mostly_spread_texts_lose_their_lines_unless_copied(spark, edge_docs, no_docs, monkeypatch):
+    rows = [(i, f"s{i}", f"own text number {i} is long enough\nspread line") for i in range(10)]
+    rows += [(20, "s1", "short\nspread line"), (21, "s1", "spread line"), (22, "s1", "copy\nspread line"), (23, "s2", "copy\nspread line"), (24, "s3", "twice here\nspread line\nspread line"), (25, "s3", "twice here\nspread line\nspread line"), (26, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {i: t and t.replace("\nspread line", "") for i, _, t in rows} | {21: "", 22: rows[12][2], 23: rows[13][2]}
+    assert {r.doc_id: r.text for r in line_dedup.remove_spread_lines(frame, 7, only_copies=True).collect()} == want
+    staged = {r.doc_id: r.text for r in corpus_pipeline.STAGES[1][1](spark, frame.withColumn("n_chars", F.length("text").cast("long")), DATA).collect()}
+    assert staged == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert {r.doc_id: r.text for r in line_dedup.remove_spread_lines(frame, 7, only_copies=True).collect()} == want
+    out = line_dedup.remove_spread_lines(edge_docs, 2, only_copies=True)
+    assert out.count() == edge_docs.count() and out.columns == ["doc_id", "text", "source", "_id", "n_lines", "n_removed"]
+    assert line_dedup.remove_spread_lines(no_docs, only_copies=True).count() == 0
