@@ -1,12 +1,14 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
-
-Texts and items are sequences of words (A-Z lower-cased, punctuation dropped).  A window
-of an item's size that shares a word trigram with some item on a diagonal is embedded by
-the CGK random walk, which turns edit distance into Hamming distance; repeated samples
-of embedded places are looked up among those of the items of that size.  Around a match,
-the exact edit distance of the nearest part of the text decides, so words put in or left
-out do not count twice for shifting the window's end.  A window within max_edit of an item of 9 words or more always
-shares a trigram with it, so choosing windows by trigrams loses none.
+"""Benchmark decontamination by counted trigrams and exact edit distances.
+
+Texts and items are sequences of words (A-Z lower-cased, punctuation dropped).  An item
+of w words has w - 2 trigrams and an edit changes three of them at most, so a part of a
+text within e edits keeps w - 2 - 3e of them, on diagonals (place in the text less place
+in the item) that differ by e at most, as each word put in or left out moves them by
+one.  Every text and item with so many shared trigrams on so near diagonals (one at
+least) goes to exact verification: the edit distance of the nearest part of the text
+around them decides.  With e a quarter of the words, no part of a text is missed for
+items of 9 words or more (and of 6 and 7), whatever the edits; at 8 words two edits may
+leave no trigram.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from ._shared import Tables, bounded_batches
 
 MAX_EDIT = 0.25
 MIN_WORDS = 6
-RECALL = 0.995
-#: Least share of embedded places that agree at MAX_EDIT, on which the number of repetitions rests.
-AGREE = 0.5
-SAMPLE = 2
 #: Items sent to all tasks at once; more are searched in blocks of so many.
 BLOCK_ITEMS = 20_000
+#: Words of items that are verified at once.
+BLOCK_CELLS = 400_000
 Q = 3
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -37,10 +37,6 @@ _WORD_BYTE[48:58] = _WORD_BYTE[65:91] = _WORD_BYTE[97:123] = True
 _WORD_BYTE[0x80:] = True
 
 
-def repetitions(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLE))
-
-
 def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, rows and hashes of the words that are compared."""
     lowered = X.LOWER[buf]
@@ -49,21 +45,6 @@ def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, rows, X.hash_spans(X.prefix_hash(lowered), starts, ends)
 
 
-def embed(words: np.ndarray, seeds: np.ndarray, steps: int) -> np.ndarray:
-    """CGK: words (n, w) padded with 0 -> (n, repetitions, steps).  Each step copies a word and moves on by a
-    random bit of it; repetition and step choose the bit."""
-    n, w = words.shape
-    padded = np.concatenate([words, np.zeros((n, 1), np.uint64)], 1)
-    at = np.zeros((n, len(seeds)), np.int64)
-    rows = np.arange(n)[:, None]
-    out = np.empty((n, len(seeds), steps), np.uint64)
-    for t in range(steps):
-        x = padded[rows, np.minimum(at, w)]
-        out[:, :, t] = x
-        at += (X.mix64(x ^ seeds[None, :] ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(1)).astype(np.int64)
-    return out
-
-
 def nearest_part(item: np.ndarray, size: np.ndarray, text: np.ndarray, length: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(distance, end) of the part of each text row that is nearest to the item row, the first end on ties.
 
@@ -90,7 +71,7 @@ def nearest_part(item: np.ndarray, size: np.ndarray, text: np.ndarray, length: n
 class Items:
     """The lookup tables of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], recall: float):
+    def __init__(self, ids: list[int], texts: list[str]):
         found: dict[int, np.ndarray] = {}
         for i, _, buf, offsets in X.text_chunks(pa.array(texts, pa.string())):
             _, _, rows, words = plain_words(buf, offsets)
@@ -105,10 +86,6 @@ class Items:
         self.words = np.zeros((len(order), self.width), np.uint64)
         for row, k in enumerate(order):
             self.words[row, : len(found[k])] = found[k]
-        rng = np.random.default_rng(20240229)
-        self.reps = repetitions(recall)
-        self.seeds = rng.integers(0, 2**64, self.reps, np.uint64)
-        self.draws = rng.random((self.reps, SAMPLE))
         grams, owners, places = [], [], []
         for row in range(len(order)):
             g = X.window_hash(self.words[row, : self.size[row]], Q)
@@ -120,36 +97,31 @@ class Items:
         self.gram, self.gram_item, self.gram_at = self.gram[order], self.gram_item[order], self.gram_at[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.gram >> np.uint64(44)).astype(np.int64)] = True
-        keys = self.samples(self.words, self.size)
-        self.key = np.sort(keys.reshape(-1)) if len(order) and self.width else np.zeros(0, np.uint64)
-        self.key_item = np.repeat(np.arange(len(self.ids)), self.reps)[np.argsort(keys.reshape(-1))] if len(self.key) else np.zeros(0, np.int64)
-
-    def samples(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """(n, repetitions) keys of sampled places of the embeddings, with the repetition and size in them."""
-        if not len(words):
-            return np.zeros((0, self.reps), np.uint64)
-        walked = embed(words, self.seeds, 3 * self.width)
-        rows, reps = np.arange(len(words))[:, None], np.arange(self.reps)[None, :]
-        key = X.mix64(size[:, None].astype(np.uint64) * np.uint64(1009) + reps.astype(np.uint64))
-        for s in range(SAMPLE):
-            # within 2w steps a walk passes its w words, so places beyond hold padding only
-            at = (self.draws[None, :, s] * (2 * size[:, None])).astype(np.int64)
-            key = X.mix64(key * np.uint64(0x9E3779B97F4A7C15) + walked[rows, reps, at])
-        return key
-
-    def windows(self, words: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (row, first word, size) on the diagonals of shared trigrams."""
+    def windows(self, words: np.ndarray, rows: np.ndarray, max_edit: float) -> np.ndarray:
+        """Distinct (row, item, first word, words) of the windows that share enough trigrams with an item.
+
+        Diagonals are rounded down to multiples of the item's edits and windows are longer by as much.
+        """
         grams = X.window_hash(words, Q)
         if not len(grams) or not len(self.gram):
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 4), np.int64)
         near = np.flatnonzero(self.maybe[(grams >> np.uint64(44)).astype(np.int64)] & (rows[: len(grams)] == rows[Q - 1 :]))
         lo, hi = np.searchsorted(self.gram, grams[near], "left"), np.searchsorted(self.gram, grams[near], "right")
         count = hi - lo
         at, row = np.repeat(near, count), np.repeat(rows[near], count)
         which = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
-        size = self.size[self.gram_item[which]]
-        start = np.minimum(at - self.gram_at[which], bounds[row + 1] - size)
-        return np.unique(np.stack([row, np.maximum(start, bounds[row]), size], 1), axis=0)
+        item = self.gram_item[which]
+        diagonal = at - self.gram_at[which]
+        order = np.lexsort((diagonal, item, row))
+        row, item, diagonal = row[order], item[order], diagonal[order]
+        size = self.size[item]
+        most = (max_edit * size).astype(np.int64)
+        least = np.maximum(size - (Q - 1) - Q * most, 1)
+        last = np.arange(len(row)) + least - 1
+        held = np.minimum(last, len(row) - 1)
+        enough = (last < len(row)) & (row[held] == row) & (item[held] == item) & (diagonal[held] - diagonal <= most)
+        step = np.maximum(most, 1)[enough]
+        return np.unique(np.stack([row[enough], item[enough], diagonal[enough] // step * step, size[enough] + step], 1), axis=0)
 
     def _nearest(self, words: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray, bounds: np.ndarray, max_edit: float) -> np.ndarray:
         """Exact verification: the part of the window and its surroundings that is nearest to the item, if near enough."""
@@ -172,23 +144,12 @@ class Items:
     def match(self, words: np.ndarray, rows: np.ndarray, n_rows: int, max_edit: float) -> np.ndarray:
         """(row, item, distance, first word, words) of the best window per row and item within max_edit."""
         bounds = np.searchsorted(rows, np.arange(n_rows + 1))
-        spans = self.windows(words, rows, bounds)
+        spans = self.windows(words, rows, max_edit)
         out = []
-        for k in range(0, len(spans), 4096):
-            row, start, size = spans[k : k + 4096].T
-            length = np.minimum(size, bounds[row + 1] - start)
-            cols = np.arange(self.width)
-            held = cols < length[:, None]
-            grid = np.where(held, words[np.minimum(start[:, None] + cols, len(words) - 1)], np.uint64(0))
-            keys = self.samples(grid, size)
-            lo, hi = np.searchsorted(self.key, keys.reshape(-1), "left"), np.searchsorted(self.key, keys.reshape(-1), "right")
-            count = hi - lo
-            window = np.repeat(np.repeat(np.arange(len(row)), self.reps), count)
-            item = self.key_item[np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)]
-            pairs = np.unique(np.stack([window, item], 1), axis=0)
-            pairs = pairs[self.size[pairs[:, 1]] == size[pairs[:, 0]]]
-            window, item = pairs.T
-            out.append(self._nearest(words, row[window], start[window], length[window], item, bounds, max_edit))
+        block = max(1, BLOCK_CELLS // max(self.width, 1))
+        for k in range(0, len(spans), block):
+            row, item, start, length = spans[k : k + block].T
+            out.append(self._nearest(words, row, start, length, item, bounds, max_edit))
         found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
         found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
         first = np.ones(len(found), bool)
@@ -221,7 +182,7 @@ def _find(items: Items, max_edit: float):
     return run
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance long, n_words long, start long, end long): documents with a window within max_edit
     of an item's words, a row per document and item, with the nearest window's bytes.
 
@@ -237,7 +198,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_E
     out = None
     for k in range(blocks):
         block = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        items = Items([r.item_id for r in block], [r.text for r in block], recall)
+        items = Items([r.item_id for r in block], [r.text for r in block])
         found = rows.mapInArrow(_find(items, max_edit), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("_id", id_col)
