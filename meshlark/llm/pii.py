@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 EPOCH, DAYS = "1900-01-01", 270 * 270  # 1900-01-01 to 2099-08-05
+BEFORE, AFTER = 245 * 2831, 44 * 65581  # days from 0001-01-01 to the day before, and from the day after to 9999-12-31
+#: Month-first dates that cannot be day-first: month and day in all years, and leap years with a 29 February.
+_SLOTS = ",".join(f"{m:02}/{d:02}" for m in range(1, 13) for d in range(13, 32) if d <= (28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31))
+_LEAP = ",".join(f"{y:04}" for y in range(1, 10000) if y % 4 == 0 and (y % 100 or y % 400 == 0) and not 1900 <= y <= 2099)
 
 #: Kind -> pattern; the first that matches wins. No pattern can restart inside a run of its own characters.
 PATTERNS: dict[str, str] = {
@@ -105,14 +109,19 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area code and exchange start with 2 to 9; a leading 1 stays."""
+    """A leading 1 stays. Where area code and exchange start with 2 to 9 they do so after; other numbers stay among
+    those of an area code below 200, or else of an exchange below 200."""
 
     def make(d: Column) -> Column:
         n = F.length(d)
         area, rest = F.substr(d, n - 9, F.lit(3)).cast("long"), F.substr(d, n - 6, F.lit(7)).cast("long")
-        pair = feistel(area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000), F.lit("phone"), key)
-        new = _let(pair, lambda p: F.concat(F.substr(d, F.lit(1), n - 10), (p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))
-        return F.when((area >= 200) & (rest >= 2_000_000), _fill(m, new, "[0-9]")).otherwise(m)
+        odd_area, odd_rest = area < 200, (area >= 200) & (rest < 2_000_000)
+        least_a, size_a = F.when(odd_area, 0).otherwise(200), F.when(odd_area, 200).otherwise(800)
+        least_b = F.when(odd_area | odd_rest, 0).otherwise(2_000_000)
+        size_b = F.when(odd_area, 10_000_000).when(odd_rest, 2_000_000).otherwise(8_000_000)
+        pair = feistel(area - least_a, rest - least_b, size_a, size_b, F.lit("phone"), key)
+        new = _let(pair, lambda p: F.concat(F.substr(d, F.lit(1), n - 10), _text(p["a"] + least_a, F.lit(3)), _text(p["b"] + least_b, F.lit(7))))
+        return _fill(m, new, "[0-9]")
 
     return _let(_digits(m), make)
 
@@ -150,12 +159,34 @@ def _ssn(m: Column, key: str) -> Column:
     return _let(_digits(m), make)
 
 
+def _month_first(m: Column, key: str) -> Column:
+    """A date such as 12/31/1999, of which the second number is above 12: again such a date.
+
+    Years of 1900 to 2099 stay among themselves, as do other years, and 29 February among leap years.
+    """
+    slots, leap = F.split(F.lit(_SLOTS), ","), F.split(F.lit(_LEAP), ",")
+    year, day = F.substring(m, 7, 4).cast("long"), F.substring(m, 1, 5)
+    near = year.between(1900, 2099)
+    place = F.array_position(slots, day) - 1
+    of_year = F.when(near, year - 1900).when(year < 1900, year - 1).otherwise(year - 201)
+    pair = feistel(of_year, place, F.when(near, 200).otherwise(9799), F.lit(len(_SLOTS.split(","))), F.lit("month"), key)
+    year_of = lambda k: F.when(near, k + 1900).when(k < 1899, k + 1).otherwise(k + 201)
+    usual = _let(pair, lambda p: F.concat(F.get(slots, p["b"].cast("int")), F.lit("/"), _text(year_of(p["a"]), F.lit(4))))
+    at = F.when(near, (year - 1904) / 4).otherwise(F.array_position(leap, F.substring(m, 7, 4)) - 1).cast("long")
+    small, big = F.when(near, 7).otherwise(25), F.when(near, 7).otherwise(95)
+    rare = _let(feistel(F.floor(at / big), at % big, small, big, F.lit("leap"), key), lambda p: _let(p["a"] * big + p["b"], lambda k: F.concat(F.lit("02/29/"), F.when(near, (k * 4 + 1904).cast("string")).otherwise(F.get(leap, k.cast("int"))))))
+    return F.when(day == "02/29", rare).otherwise(usual)
+
+
 def _date(m: Column, key: str) -> Column:
     def moved(form: str) -> Callable[[Column], Column]:
+        def part(n: Column, first: int, big: int, small: int, tweak: str) -> Column:
+            pair = feistel(F.floor((n - first) / small), (n - first) % small, F.lit(big), F.lit(small), F.lit(tweak), key)
+            return _let(pair, lambda p: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (p["a"] * small + p["b"] + first).cast("int")), form))
+
         def make(n: Column) -> Column:
-            pair = feistel(F.floor(n / 270), n % 270, F.lit(270), F.lit(270), F.lit("date"), key)
-            new = _let(pair, lambda p: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (p["a"] * 270 + p["b"]).cast("int")), form))
-            return F.when(n.between(0, DAYS - 1), new).otherwise(m)
+            usual = F.when(n.between(0, DAYS - 1), part(n, 0, 270, 270, "date"))
+            return usual.when(n.between(-BEFORE, -1), part(n, -BEFORE, 245, 2831, "before")).when(n.between(DAYS, DAYS + AFTER - 1), part(n, DAYS, 44, 65581, "after")).otherwise(m)
 
         return make
 
@@ -163,7 +194,8 @@ def _date(m: Column, key: str) -> Column:
     for shape, form in _DATES.items():
         day = F.datediff(F.try_to_date(m, form), F.lit(EPOCH).cast("date"))
         out = F.when(m.rlike(shape), _let(day, moved(form))).otherwise(out)
-    return out
+    month_first = m.rlike("^[0-9]{2}/(1[3-9]|[23])") & ~m.endswith("0000") & F.try_to_date(m, "MM/dd/yyyy").isNotNull()
+    return F.when(month_first, _month_first(m, key)).otherwise(out)
 
 
 def _email(m: Column, key: str) -> Column:

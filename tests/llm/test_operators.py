@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on edge cases."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -232,6 +233,28 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame.limit(0), "k").count() == 0
 
 
+def test_numbers_and_dates_beyond_the_usual_range_are_masked(spark):
+    rng = random.Random(3)
+    phones = [f"+1 ({a}) {e}-{n}" for a, e, n in (("068", "555", "2748"), ("168", "155", "0000"), ("988", "055", "2485"), ("000", "000", "0000"), ("234", "567", "8901"))]
+    dates = ["1899-12-31", "0001-01-01", "9999-12-31", "2099-08-06", "31.12.1850", "05/06/1750", "12/31/1999", "02/29/2024", "02/29/1600", "02/29/2400", "01/13/0001", "12/31/9999", "10/31/1850"]
+    many = [f"{rng.randint(1, 12):02}/{rng.randint(13, 28)}/{rng.randint(1, 9999):04}" for _ in range(300)] + [f"02/29/{y}" for y in range(1904, 2100, 4)] + [f"({rng.randint(0, 199):03}) {rng.randint(0, 999):03}-{rng.randint(0, 9999):04}" for _ in range(300)]
+    values = phones + dates + sorted(set(many))
+    stay = ["13/13/1999", "02/29/2023", "02/30/2024", "12/31/0000"]
+    frame = spark.createDataFrame(list(enumerate(values + stay)), "doc_id int, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(frame, "k").collect()}
+    new = [out[k] for k in range(len(values))]
+    assert [out[len(values) + k] for k in range(len(stay))] == stay
+    assert sum(a == b for a, b in zip(values, new, strict=True)) <= 3  # a permutation may have fixed points, 29 February of 49 years
+    assert all(a != b for a, b in zip(phones + dates, new, strict=False)) and len(set(new)) == len(set(values))
+    assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) for a, b in zip(values, new, strict=True))
+    for old, b in zip(values, new, strict=True):
+        if re.fullmatch(r"\d\d/(1[3-9]|[23]\d)/\d{4}", old):
+            month, day, year = map(int, b.split("/"))
+            assert day > 12 and datetime.date(year, month, day) and (1900 <= year <= 2099) == (1900 <= int(old[6:]) <= 2099)
+        elif "-" in old[4:5] or "." in old[2:3]:
+            datetime.date(*(map(int, b.split("-") if "-" in b else reversed(b.split(".")))))
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(77).select(pii.feistel(F.floor(F.col("id") / 11), F.col("id") % 11, F.lit(7), F.lit(11), F.lit("t"), "k").alias("p"))
     assert pairs.select(F.col("p.a") * 11 + F.col("p.b")).distinct().count() == 77
