@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Packing and the edit-distance search are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Packing and the edit-distance search are beyond SQL; tests/llm/test_pipeline.py compares run() with plain Python on planted documents.
 ORACLE_SQL = None
 
 
