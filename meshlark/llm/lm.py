@@ -80,8 +80,8 @@ def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array([int(e) for e in edges], np.uint64)), [len(keys)]])
 
 
-#: Bytes of a key that are sent; the shard adds the bits of its number, and shards grow in number with the input.
-_KEY_BYTES = {1: 8, 2: 5}
+#: Bytes of a key that are sent; the shard adds the bits of its number. Seven and eight shards or more leave 59 bits.
+_KEY_BYTES = {1: 8, 2: 7}
 
 
 def _ask(shards: int):

@@ -407,6 +407,15 @@ def test_model_scores(spark, docs, edge_docs, no_docs):
     assert lm.score(no_docs, held).count() == 0
 
 
+def test_pairs_that_differ_above_40_bits_are_counted_apart():
+    keys = np.array([5, 5 + (1 << 41), 5 + (1 << 55)], np.uint64)
+    width = lm._KEY_BYTES[2]
+    sent = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    row = {"kind": [2], "shard": [0], "chunk": [1], "keys": [sent], "counts": [bytes([1, 2, 3])], "over": [b""]}
+    totals = lm._answer(pa.table(row)).column("totals")[0].as_py()
+    assert np.frombuffer(lm._unpacked(totals), "<u4").tolist() == [1, 2, 3]
+
+
 def test_em_finds_the_best_weight():
     rng = np.random.default_rng(6)
     ratio, mass = np.exp(rng.normal(0, 2, 50)), rng.random(50)
