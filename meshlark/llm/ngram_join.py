@@ -4,24 +4,27 @@ Two sets with Jaccard similarity of at least t share T = t/(1+t) (|a|+|b|) shing
 many as T-1 of a set's inverted lists, its longest, can be put aside: a partner must be
 on one of the short lists left.  Steps:
 
-1. Each document's distinct shingles are hashed; equal sets form a class.
+1. Each document's distinct shingles are hashed; equal sets form a class, known by a hash
+   of the set, and one document stands for it.
 2. Shingles are ordered by rarity (a bounded table of frequent ones, then the hash); the
-   short lists of a document are those of its first |a| - ceil(t |a|) + 1 shingles.
-3. Buckets of shingles hold short lists.  Merging them gives each document its best
-   partner, the first on most of its lists; a list of any length costs one pair per
-   document and no more.
-4. For each first document with a block of its partners, the lists of all its shingles
-   over the block are searched by DivideSkip: short ones are heap-merged with skips, long
-   ones probed by binary search, and those that reach the required overlap are linked.
-5. Linked documents form components.  The lists offer further partners from other
-   components, and are merged once more for all pairs from different components; those on enough short lists together are searched in the same way, and
-   pairs within one component need no look.  Every pair that could be linked is thus
-   either searched or already connected.
+   short lists of a set are those of its first |a| - ceil(t |a|) + 1 shingles.
+3. Buckets of shingles, of bounded bytes each, merge short lists and keep those with two
+   sets or more; lists of very frequent shingles need no merging and skip that.
+4. The first set of each list is offered to the others on it, one pair per set and list.
+   For each first set with a block of its partners, the lists of all its shingles over the
+   block are searched by DivideSkip: short ones are heap-merged with skips, long ones
+   probed by binary search, and those that reach the required overlap are linked.
+5. Linked sets form components.  A set outside the component of a list's first set is a
+   query: it gets the entries of other components on its short lists.  They are counted
+   over all lists of the query in one place, before any pair is written; those on enough
+   lists together are searched as in 4.  Pairs within one component need no look, so every
+   pair that could be linked is either searched or already connected.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
@@ -36,10 +39,17 @@ from ._shared import Tables, bounded_batches, components, partitions
 #: Shingles in the table of frequent ones, at most; it only orders shingles, so any table gives the same links.
 HOT_SHINGLES = 1_000_000
 HOT_COUNT = 32
+#: Sets in the table of copied ones, at most: of these one row enters the lists, of others one of each batch.
+DUP_SETS = 1_000_000
+#: Shingles of this rank (1 + log2 of their number) are not merged in a bucket: their lists have sets enough.
+DIRECT_RANK = 18
+BUCKET_BYTES = 8 << 20
+#: Entries of a list that are looked at together.
+LIST = 100_000
+#: Up to so many sets, a list of those whose texts are wanted (8 bytes each) is sent to all tasks; beyond it, texts are joined.
+BROADCAST_NODES = 2_000_000
 CHUNK = 2 << 20
 BLOCK = 64
-#: Rounds that offer further partners before all pairs across components are looked at; any number gives the same links.
-FURTHER_ROUNDS = 1
 
 
 def least_overlap(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -135,39 +145,49 @@ def _sets(width: int):
     return run
 
 
-def _hot_table(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and a rank of their frequency; HOT_SHINGLES at most."""
-    totals = shared.groupBy("shingle").agg(F.sum("copies").alias("n")).where(F.col("n") >= HOT_COUNT)
-    sizes = totals.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()  # 64 rows at most
-    floor, room = 64, HOT_SHINGLES
+def _frequent(counted: DataFrame, room: int) -> dict[str, np.ndarray]:
+    """The columns of the rows (key long, n long, ...) with the largest n, room rows at most, by ascending key."""
+    sizes = counted.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()  # 64 rows at most
+    floor = 64
     for r in sorted(sizes, key=lambda r: -r.b):
         if r["count"] > room:
             break
         room -= r["count"]
         floor = r.b
-    found = totals.where(F.col("n") >= float(2**floor)).toArrow() if floor < 64 else None
-    if found is None or not found.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    keys = found.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (1 + np.log2(found.column("n").to_numpy()[order])).astype(np.uint8)
+    found = counted.where(F.col("n") >= float(2**floor)).toArrow()
+    columns = {c: found.column(c).to_numpy() for c in found.column_names}
+    order = np.argsort(columns["key"].view(np.uint64) if "id" not in columns else columns["key"])
+    return {c: v[order] for c, v in columns.items()}
 
 
-def _postings(width: int, percent: int, buckets: int, hot: np.ndarray, rank: np.ndarray):
-    """Short lists' entries by bucket of shingles; sets equal to an earlier one of the batch are left out."""
+def _standing(ids: np.ndarray, key: np.ndarray, known: np.ndarray, dup_key: np.ndarray, dup_id: np.ndarray) -> np.ndarray:
+    """Rows that stand for their set: the first of the batch, and of a set in the table of copied ones only that with its id."""
+    _, first = np.unique(key, return_index=True)
+    fresh = np.zeros(len(key), bool)
+    if len(dup_key):
+        at = np.minimum(np.searchsorted(dup_key, key), len(dup_key) - 1)
+        out = (dup_key[at] == key) & (dup_id[at] != ids)
+        own = np.flatnonzero(~out)
+        first = own[np.unique(key[own], return_index=True)[1]]
+    fresh[first] = True
+    return fresh & ~np.isin(key, known)
+
+
+_SHORT = "token long, node long, size int, pos int"
+
+
+def _postings(width: int, percent: int, buckets: int, direct_rank: int, hot: np.ndarray, rank: np.ndarray, dup_key: np.ndarray, dup_id: np.ndarray):
+    """Short lists' entries: by bucket of shingles, or for shingles of rank direct_rank and more as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             known = np.zeros(0, np.int64)
-            for i, _, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
+            for i, j, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
                 bounds, tokens = X.shingle_sets(buf, offsets, width)
                 n = np.diff(bounds)
                 key, _ = _class_keys(bounds, tokens)
-                _, first = np.unique(key, return_index=True)
-                fresh = np.zeros(len(n), bool)
-                fresh[first] = True
-                fresh &= (n > 0) & ~np.isin(key, known)
+                fresh = _standing(ids[i:j], key, known, dup_key, dup_id) & (n > 0)
                 known = np.concatenate([known, key[fresh]])
                 rows = np.repeat(np.arange(len(n)), n)
                 weight = np.zeros(len(tokens), np.uint8)
@@ -177,174 +197,162 @@ def _postings(width: int, percent: int, buckets: int, hot: np.ndarray, rank: np.
                 order = np.lexsort((tokens, weight, rows))
                 place = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
                 keep = fresh[rows] & (place < (n - -(-percent * n // 100) + 1)[rows])
-                token, row, pos = tokens[order][keep], rows[keep], place[keep].astype("<u4")
+                token, row, pos, weight = tokens[order][keep], rows[keep], place[keep].astype("<u4"), weight[order][keep]
+                direct = weight >= direct_rank
+                token_d, row_d, pos_d = token[direct].view(np.int64), row[direct], pos[direct].astype(np.int32)
+                token, row, pos = token[~direct], row[~direct], pos[~direct]
                 order = np.argsort(token, kind="stable")
                 token, row, pos = token[order], row[order].astype("<u4"), pos[order]
                 edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
                 cuts = np.concatenate([[0], np.searchsorted(token, edges), [len(token)]])
-                own, sizes = ids[i : i + len(n)].astype("<i8").tobytes(), n.astype("<u4").tobytes()
-                used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                columns: list[list] = [[], [], [], [], [], []]
+                used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+                columns: list[list] = [[], [], [], [], []]
                 for b in used:
                     part = slice(cuts[b], cuts[b + 1])
                     held, local = np.unique(row[part], return_inverse=True)
-                    for c, v in zip(columns, (b, token[part].tobytes(), local.astype("<u4").tobytes(), pos[part].tobytes(), np.frombuffer(own, "<i8")[held].tobytes(), np.frombuffer(sizes, "<u4")[held].tobytes()), strict=True):
+                    for c, v in zip(columns, (token[part].tobytes(), local.astype("<u2").tobytes() if len(held) < 1 << 16 else local.astype("<u4").tobytes(), pos[part].tobytes(), key[held].astype("<i8").tobytes(), n[held].astype("<u4").tobytes()), strict=True):
                         c.append(v)
-                if used:
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "tokens", "rows", "pos", "ids", "sizes"])
-
-    return run
-
-
-def _pack(*arrays: np.ndarray) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
-
-
-def _merge(percent: int):
-    """One bucket: its lists with two documents or more, the documents on them, and each document's best partner."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for t, r, p, i, s in zip(*[table.column(c).to_pylist() for c in ("tokens", "rows", "pos", "ids", "sizes")], strict=True):
-            at = np.frombuffer(r, "<u4")
-            parts.append((np.frombuffer(t, "<u8"), np.frombuffer(i, "<i8")[at], np.frombuffer(s, "<u4")[at], np.frombuffer(p, "<u4")))
-        bucket = table.column("bucket")[0].as_py()
-        token, doc, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        ranked = np.sort(token)
-        shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        if len(shared):
-            at = np.minimum(np.searchsorted(shared, token), len(shared) - 1)
-            keep = shared[at] == token
-        else:
-            keep = np.zeros(len(token), bool)
-        token, doc, size, pos = token[keep], doc[keep], size[keep].astype(np.int64), pos[keep].astype(np.int64)
-        order = np.lexsort((doc, pos, token))
-        token, doc, size, pos = token[order], doc[order], size[order], pos[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc, size, pos = token[fresh], doc[fresh], size[fresh], pos[fresh]
-        first, member = _partners(token, doc, size, pos, percent)
-        best = np.zeros((0, 3), np.int64)
-        if len(member):
-            pairs, count = np.unique(np.stack([member, first], 1), axis=0, return_counts=True)
-            order = np.lexsort((pairs[:, 1], -count, pairs[:, 0]))
-            pairs, count = pairs[order], count[order]
-            top = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
-            best = np.column_stack([pairs[top], count[top]])
-        runs = np.diff(np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))) if len(token) else np.zeros(0, np.int64)
-        blobs = _pack(runs.astype("<u4"), doc.astype("<i8"), size.astype("<u4"), pos.astype("<u4"))
-        n = len(best)
-        return pa.table({
-            "bucket": pa.array([bucket] * (n + 1), pa.int32()), "member": pa.array([*best[:, 0].tolist(), None], pa.int64()), "first": pa.array([*best[:, 1].tolist(), None], pa.int64()),
-            "times": pa.array([*best[:, 2].tolist(), None], pa.int64()), "docs": pa.array([None] * n + [np.unique(doc).tolist()], pa.list_(pa.int64())),
-            **{name: pa.array([None] * n + [b], pa.binary()) for name, b in zip(("runs", "ids", "sizes", "pos"), blobs, strict=True)},
-        })
+                m, d = len(used), len(token_d)
+                if m + d:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([*used, *[None] * d], pa.int32()), *[pa.array(c + [None] * d, pa.binary()) for c in columns]]
+                        + [pa.concat_arrays([pa.nulls(m, t), pa.array(x, t)]) for x, t in ((token_d, pa.int64()), (key[row_d], pa.int64()), (n[row_d].astype(np.int32), pa.int32()), (pos_d, pa.int32()))],
+                        ["bucket", "tokens", "rows", "places", "ids", "sizes", "token", "node", "size", "pos"],
+                    )
 
     return run
 
 
-_MERGED = "bucket int, member long, first long, times long, docs array<long>, runs binary, ids binary, sizes binary, pos binary"
+def _merge(table: pa.Table) -> pa.Table:
+    """One bucket: the entries of its lists with two sets or more."""
+    parts = []
+    for t, r, p, i, s in zip(*[table.column(c).to_pylist() for c in ("tokens", "rows", "places", "ids", "sizes")], strict=True):
+        at = np.frombuffer(r, "<u2" if 4 * len(r) == len(t) else "<u4")
+        parts.append((np.frombuffer(t, "<u8"), np.frombuffer(i, "<i8")[at], np.frombuffer(s, "<u4")[at], np.frombuffer(p, "<u4")))
+    token, node, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.argsort(token, kind="stable")
+    ranked = token[order]
+    same = ranked[1:] == ranked[:-1]
+    shared = np.zeros(len(token), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    order = order[shared]
+    token, node, size, pos = token[order], node[order], size[order], pos[order]
+    order = np.lexsort((node, token))
+    token, node, size, pos = token[order], node[order], size[order], pos[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, size, pos = token[fresh], node[fresh], size[fresh], pos[fresh]
+    _, at, counts = np.unique(token, return_inverse=True, return_counts=True)
+    many = counts[at] > 1
+    return pa.table({"token": token[many].view(np.int64), "node": node[many], "size": size[many].astype(np.int32), "pos": pos[many].astype(np.int32)})
+
+
+def _reach(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with one shingle at these places can overlap enough: what is before and from there on in both."""
+    return np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b) >= least_overlap(size_a, size_b, percent)
+
+
+def _offered(percent: int) -> str:
+    """The same for an entry and the first entry of its list, as SQL."""
+    return f"node <> l.node AND least(pos, l.pos) + least(size - pos, l.size - l.pos) >= ({percent} * (size + l.size) + {99 + percent}) DIV {100 + percent}"
+
+
+def _queries(percent: int):
+    """Rows sorted by (token, part): for each query the entries of other components on the list, added up over the
+    lists of a batch: (q, q_size, nodes, sizes, times)."""
+
+    def add_up(found: list[tuple]) -> tuple:
+        q, e, qs, es, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((e, q))
+        q, e, qs, es, times = q[order], e[order], qs[order], es[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (e[1:] != e[:-1])]))
+        return q[first], e[first], qs[first], es[first], np.add.reduceat(times, first)
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        q, e, qs, es, times = add_up(found)
+        cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        ends = np.append(cut[1:], len(q))
+        blobs = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)] for x in (e.astype("<i8"), es.astype("<u4"), times.astype("<u4"))]
+        return pa.RecordBatch.from_arrays([pa.array(q[cut]), pa.array(qs[cut].astype(np.int64)), *[pa.array(b, pa.binary()) for b in blobs]], ["q", "q_size", "nodes", "sizes", "times"])
+
+    def pairs(one: dict[str, np.ndarray]) -> Iterator[tuple]:
+        queries = np.flatnonzero(one["query"])
+        home = np.flatnonzero(one["home"])
+        step = max(1, 1_000_000 // max(len(home), 1))
+        for k in range(0, len(queries), step):
+            qi = np.repeat(queries[k : k + step], len(home))
+            ei = np.tile(home, len(queries[k : k + step]))
+            ok = (one["root"][qi] != one["root"][ei]) & (~one["query"][ei] | (one["node"][ei] < one["node"][qi]))
+            qi, ei = qi[ok], ei[ok]
+            ok = _reach(one["size"][qi], one["pos"][qi], one["size"][ei], one["pos"][ei], percent)
+            qi, ei = qi[ok], ei[ok]
+            if len(qi):
+                yield one["node"][qi], one["node"][ei], one["size"][qi], one["size"][ei], np.ones(len(qi), np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "part", "node", "size", "pos", "root", "query", "home")
+        left: dict[str, np.ndarray] | None = None
+        found: list[tuple] = []
+        held = 0
+        for batch in _then_none(batches):
+            new = None if batch is None else {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if new is not None and not len(new["token"]):
+                continue
+            cols = left if new is None else new if left is None else {c: np.concatenate([left[c], new[c]]) for c in names}
+            if cols is None:
+                break
+            start = np.flatnonzero(np.concatenate([[True], (cols["token"][1:] != cols["token"][:-1]) | (cols["part"][1:] != cols["part"][:-1])]))
+            stop = np.append(start[1:], len(cols["token"]))
+            last = len(start) if new is None else len(start) - 1  # the last list may go on in the next batch
+            some = np.add.reduceat(cols["query"].astype(np.int64), start)
+            for k in np.flatnonzero(some[:last]).tolist():
+                for p in pairs({c: cols[c][start[k] : stop[k]] for c in names}):
+                    found.append(p)
+                    held += len(p[0])
+                    if held > 2_000_000:
+                        found = [add_up(found)]
+                        if len(found[0][0]) > 1_000_000:
+                            yield rows_of(found)
+                            found = []
+                        held = len(found[0][0]) if found else 0
+            left = None if new is None else {c: cols[c][start[-1] :] for c in names}
+        if found:
+            yield rows_of(found)
 
-def _may_link(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the overlap can be reached if the shingle at these places is the first in common."""
-    return 1 + np.minimum(size_a - pos_a, size_b - pos_b) - 1 >= least_overlap(size_a, size_b, percent)
+    return run
 
 
-def _partners(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(first, member) pairs: on each list the first document takes those that may link; the rest try again.
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    Lists are ordered by the shingle's place in each document: the first has the fewest rarer shingles, so among near
-    copies it is the one that the others were most likely made from.
-    """
-    firsts, members = [], []
-    for _ in range(rounds):
-        if len(token) < 2:
-            break
-        start = np.concatenate([[True], token[1:] != token[:-1]])
-        head = np.flatnonzero(start)[np.cumsum(start) - 1]
-        fits = ~start & _may_link(size[head], pos[head], size, pos, percent)
-        firsts.append(doc[head[fits]])
-        members.append(doc[fits])
-        left = ~start & ~fits
-        token, doc, size, pos = token[left], doc[left], size[left], pos[left]
-    return (np.concatenate(firsts), np.concatenate(members)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _add_up(found: list[np.ndarray]) -> np.ndarray:
-    """(a, b, need, times) rows with the times of equal pairs added."""
-    rows = np.concatenate(found)
-    if not len(rows):
-        return rows
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-    out = rows[first].copy()
-    out[:, 3] = np.add.reduceat(rows[:, 3], first)
-    return out
-
-
-def _lists(lists: pa.Table, roots: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc, component, size, pos) of each list with documents of several components."""
-    node = roots.column("doc").to_numpy()
-    order = np.argsort(node)
-    node, root = node[order], roots.column("root").to_numpy()[order]
-    for runs, ids, sizes, pos in zip(*[lists.column(c).to_pylist() for c in ("runs", "ids", "sizes", "pos")], strict=True):
-        runs, doc = np.frombuffer(runs, "<u4").astype(np.int64), np.frombuffer(ids, "<i8")
-        size, pos = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(pos, "<u4").astype(np.int64)
-        if not len(runs):
-            continue
-        comp = doc.copy()
-        if len(node):
-            at = np.minimum(np.searchsorted(node, doc), len(node) - 1)
-            comp = np.where(node[at] == doc, root[at], doc)
-        ends = np.cumsum(runs)
-        starts = ends - runs
-        for k in np.flatnonzero(np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)).tolist():
-            yield tuple(x[starts[k] : ends[k]] for x in (doc, comp, size, pos))
-
-
-def _again(percent: int):
-    """A bucket's further partners: on each list the first document takes those of other components that may link."""
-
-    def run(key, lists: pa.Table, roots: pa.Table) -> pa.Table:
-        found = [np.zeros((0, 2), np.int64)]
-        for d, c, s, p in _lists(lists, roots):
-            hit = np.flatnonzero((c != c[0]) & (np.minimum(p[0], p) + np.minimum(s[0] - p[0], s - p) >= least_overlap(s[0], s, percent)))
-            found.append(np.column_stack([d[hit], np.full(len(hit), d[0])]))
-        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        order = np.lexsort((pairs[:, 1], -times, pairs[:, 0]))
-        pairs, times = pairs[order], times[order]
-        top = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, bool)
-        return pa.table({"member": pairs[top, 0], "first": pairs[top, 1], "times": times[top].astype(np.int64)})
 
-    return run
+def _enough(percent: int):
+    """Rows sorted by q: the pairs (a, b) of a query and a set that share as many short lists as a linked pair has to:
+    of its overlap, what the rest of the larger set can't hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, size = None, 0
+        held: list[tuple[np.ndarray, ...]] = []
 
-def _cross(percent: int):
-    """Pairs of a bucket's lists from different components: how many short lists they share here, and how many in
-    all a linked pair has to: of its overlap, what the rest of the larger set can't hold."""
+        def flush() -> pa.RecordBatch:
+            node, sizes, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            known, first, at = np.unique(node, return_index=True, return_inverse=True)
+            total, sizes = np.bincount(at, weights=times, minlength=len(known)), sizes[first].astype(np.int64)
+            hit = known[total >= least_overlap(size, sizes, percent) - (-(-percent * np.maximum(size, sizes) // 100)) + 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), current, np.int64)), pa.array(hit)], ["a", "b"])
 
-    def run(key, lists: pa.Table, roots: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
-        held = 0
-        for d, c, s, p in _lists(lists, roots):
-            names, counts = np.unique(c, return_counts=True)
-            main = c == names[counts.argmax()]
-            for i in np.flatnonzero(~main).tolist():  # a pair has one end outside the largest component
-                enough = least_overlap(s[i], s, percent)
-                other = (c != c[i]) & (main | (np.arange(len(d)) > i))
-                hit = np.flatnonzero(other & (np.minimum(p[i], p) + np.minimum(s[i] - p[i], s - p) >= enough))
-                if len(hit):
-                    need = enough[hit] - (-(-percent * np.maximum(s[i], s[hit]) // 100)) + 1
-                    ends = np.sort(np.column_stack([np.full(len(hit), d[i]), d[hit]]), 1)
-                    found.append(np.column_stack([ends, need, np.ones(len(hit), np.int64)]))
-                    held += len(hit)
-            if held > 1_000_000:
-                found = [_add_up(found)]
-                held = len(found[0])
-        pairs = _add_up(found)
-        return pa.table({c: pa.array(pairs[:, k]) for k, c in enumerate(("a", "b", "need", "times"))})
+        for batch in batches:
+            for q, s, *blobs in zip(*[batch.column(c).to_pylist() for c in ("q", "q_size", "nodes", "sizes", "times")], strict=True):
+                if q != current:
+                    if held:
+                        yield flush()
+                    current, size, held = q, s, []
+                held.append(tuple(np.frombuffer(b, t) for b, t in zip(blobs, ("<i8", "<u4", "<u4"), strict=True)))
+        if held:
+            yield flush()
 
     return run
 
@@ -405,23 +413,80 @@ def _search(width: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    n = partitions(pairs.sparkSession)
-    pairs = tables.save(pairs)
-    sizes = tables.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    blocked = tables.save(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
-    queries = blocked.select("a", "block").distinct().select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"))
-    wanted = queries.unionByName(blocked.select("a", "block", F.lit(1).alias("role"), "b"))
-    rows = wanted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "role", "b", "text")
-    return tables.save(rows.repartition(n, "a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(_search(width, percent), "a long, b long"))
+def _texts(width: int, nodes: np.ndarray | None, dup_key: np.ndarray, dup_id: np.ndarray):
+    """(node, text) of the rows that stand for a set; with nodes, ascending, only for sets among them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, known = batch.column("doc_id").to_numpy(zero_copy_only=False), np.zeros(0, np.int64)
+            for i, j, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
+                bounds, tokens = X.shingle_sets(buf, offsets, width)
+                key, _ = _class_keys(bounds, tokens)
+                fresh = _standing(ids[i:j], key, known, dup_key, dup_id) & (np.diff(bounds) > 0)
+                known = np.concatenate([known, key[fresh]])
+                if nodes is not None:
+                    fresh &= nodes[np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)] == key
+                at = np.flatnonzero(fresh)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column("text").take(pa.array(at + i))], ["node", "text"])
 
-def _best(partners: DataFrame) -> DataFrame:
-    """(a, b): for each member b the first a that it met on most lists, the lowest on ties."""
-    met = partners.groupBy("member", "first").agg(F.sum("times").alias("times"))
-    top = met.groupBy("member").agg(F.max(F.struct("times", (-F.col("first")).alias("first"))).alias("top"))
-    return top.select((-F.col("top.first")).alias("a"), F.col("member").alias("b"))
+    return run
+
+
+class _Search:
+    """Searches pairs of sets by their texts."""
+
+    def __init__(self, rows: DataFrame, width: int, percent: int, dup: tuple[np.ndarray, np.ndarray], tables: Tables):
+        self.rows, self.width, self.percent, self.dup, self.tables = rows, width, percent, dup, tables
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """The texts of the sets (node): the scan leaves out all others where the list of nodes is short, else a join does."""
+        if nodes.count() <= BROADCAST_NODES:
+            listed = np.sort(nodes.toArrow().column("node").to_numpy())
+            if not len(listed):
+                return self.rows.sparkSession.createDataFrame([], "node long, text string")
+            return self.rows.mapInArrow(_texts(self.width, listed, *self.dup), "node long, text string")
+        return self.rows.mapInArrow(_texts(self.width, None, *self.dup), "node long, text string").join(nodes.hint("merge"), "node", "left_semi")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked."""
+        tables, n = self.tables, partitions(self.rows.sparkSession)
+        pairs = tables.save(pairs)
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        blocked = tables.save(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
+        queries = blocked.select("a", "block").distinct().select("a", "block", F.lit(0).alias("role"), F.col("a").alias("node"))
+        wanted = tables.save(queries.unionByName(blocked.select("a", "block", F.lit(1).alias("role"), F.col("b").alias("node"))))
+        texts = self.texts(tables.save(wanted.select("node").distinct()))
+        rows = wanted.hint("merge").join(texts, "node").select("a", "block", "role", F.col("node").alias("b"), "text")
+        return tables.save(rows.repartition(n, "a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(_search(self.width, self.percent), "a long, b long"))
+
+
+def _short_lists(rows: DataFrame, total: int, width: int, percent: int, hot: tuple, dup: tuple, tables: Tables) -> DataFrame:
+    """The saved entries (token, node, size, pos) of short lists with two sets or more; total: shingles of all sets."""
+    buckets = max(partitions(rows.sparkSession), math.ceil(total * (100 - percent) / 100 * 16 / BUCKET_BYTES))
+    entries = rows.mapInArrow(_postings(width, percent, buckets, DIRECT_RANK, *hot, *dup), f"bucket int, tokens binary, rows binary, places binary, ids binary, sizes binary, {_SHORT}")
+    merged = entries.where("bucket is not null").select("bucket", "tokens", "rows", "places", "ids", "sizes").groupBy("bucket").applyInArrow(_merge, _SHORT)
+    if not (hot[1] >= DIRECT_RANK).any():
+        return tables.save(merged)
+    direct = entries.where("token is not null").select("token", "node", "size", "pos")
+    return tables.save(merged.unionByName(direct.distinct()))
+
+
+def _candidates(short: DataFrame, first: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different components that share enough short lists.
+
+    A list of more than LIST entries is dealt over parts, and its queries go to each.
+    """
+    n = partitions(short.sparkSession)
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    heads = first.hint("merge").join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), first["l.node"] == F.col("head"), "left")
+    heads = heads.select("token", F.coalesce("head_root", "l.node").alias("head_root"), F.ceil(F.col("n") / LIST).alias("parts"))
+    located = short.join(roots.hint("merge"), "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+    marked = located.hint("merge").join(heads, "token").withColumn("query", F.col("root") != F.col("head_root"))
+    dealt = marked.withColumn("part", F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))))
+    lists = dealt.select("token", "part", "node", "size", "pos", "root", "query", (F.col("part") == part).alias("home"))
+    found = lists.repartition(n, "token", "part").sortWithinPartitions("token", "part").mapInArrow(_queries(percent), "q long, q_size long, nodes binary, sizes binary, times binary")
+    return found.repartition(n, "q").sortWithinPartitions("q").mapInArrow(_enough(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,54 +494,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct shingles of width words
     (A-Z lower-cased); component_id is the smallest id that links reach.  Fewer words make one shingle; null, empty
-    and blank texts have none and are alone.  Ids are whole numbers, and rows of one id are one document; rows with
-    a null id are left out, and so are other columns.  Shingles are 64-bit hashes, classes 128-bit ones.
+    and blank texts have none and are alone.  Ids are whole numbers.  Rows of one id are one document with several
+    sets: each row has the size of its own, and the document links with whatever any of them links with.  A row with
+    a null id links nothing; it gets the component of its set if a row with an id has the same, else null.  Other
+    columns are left out.  Shingles and sets are known by 64-bit hashes.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = bounded_batches(docs)
-    tables, buckets = Tables(spark), partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    tables = Tables(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = tables.save(rows.mapInArrow(_sets(width), "doc_id long, n long, k1 long, k2 long, shingle long, copies long"))
-    sets = seen.where("doc_id is not null").select("doc_id", "n", "k1", "k2")
-    hot, rank = _hot_table(seen.where("shingle is not null").select("shingle", "copies"))
-    classes = tables.save(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class")))
-    member = tables.save(sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class")))
-
-    entries = rows.mapInArrow(_postings(width, percent, buckets, hot, rank), "bucket int, tokens binary, rows binary, pos binary, ids binary, sizes binary")
-    merged = tables.save(entries.groupBy("bucket").applyInArrow(_merge(percent), _MERGED))
-    on_lists = merged.where("docs is not null").select("bucket", F.explode("docs").alias("doc"))
-    active = tables.save(on_lists.select(F.col("doc").alias("doc_id")).distinct())
-    del entries
+    sets = seen.where("n is not null").select("doc_id", "n", F.col("k1").alias("node"))
+    hot = _frequent(seen.where("shingle is not null").groupBy(F.col("shingle").alias("key")).agg(F.sum("copies").alias("n")).where(F.col("n") >= HOT_COUNT), HOT_SHINGLES)
+    classes = tables.save(sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("size")))
+    dup = _frequent(classes.where("copies > 1").select(F.col("node").alias("key"), F.col("copies").alias("n"), "id"), DUP_SETS)
+    total = classes.agg(F.sum("size").alias("n")).first().n or 0
+    known = rows.where("doc_id is not null")
+    ranks = (1 + np.log2(hot["n"])).astype(np.uint8) if len(hot["n"]) else np.zeros(0, np.uint8)
+    short = _short_lists(known, total, width, percent, (hot["key"].view(np.uint64), ranks), (dup["key"], dup["id"]), tables)
     tables.release()
-    texts = tables.save(rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    best = _best(merged.where("member is not null"))
-    links = _linked(best, texts, width, percent, tables)
+    first = tables.save(short.groupBy("token").agg(F.min(F.struct("pos", "size", "node")).alias("l"), F.count("*").alias("n")))
+    met = short.hint("merge").join(first, "token").where(_offered(percent)).groupBy("node", F.col("l.node").alias("first")).count()
+    best = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("first")).alias("first"))).alias("top")).select((-F.col("top.first")).alias("a"), F.col("node").alias("b"))
+    search = _Search(known, width, percent, (dup["key"], dup["id"]), tables)
+    links = search.linked(best)
+    tables.release()
+    roots = components(links, tables)
+    later = search.linked(_candidates(short, first, roots, percent))
     tables.release()
-    lists = merged.where("docs is not null").select("bucket", "runs", "ids", "sizes", "pos")
-
-    def located(roots: DataFrame) -> DataFrame:
-        found = on_lists.join(tables.save(roots.withColumnRenamed("node", "doc")), "doc")
-        return found.select(F.col("bucket").alias("home"), "doc", "root")
-
-    for _ in range(FURTHER_ROUNDS):
-        more = lists.groupBy("bucket").cogroup(located(components(links, tables)).groupBy("home")).applyInArrow(_again(percent), "member long, first long, times long")
-        links = tables.save(links.unionByName(_linked(_best(more), texts, width, percent, tables)))
-        tables.release()
-    located_now = located(components(links, tables))
-    cross = lists.groupBy("bucket").cogroup(located_now.groupBy("home")).applyInArrow(_cross(percent), "a long, b long, need long, times long")
-    cross = cross.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
-    later = _linked(cross, texts, width, percent, tables)
 
-    class_of = member.select("doc_id", "class").distinct()
-    edges = tables.save(links.unionByName(later))
-    ends = edges.join(class_of.withColumnsRenamed({"doc_id": "a", "class": "ca"}), "a").join(class_of.withColumnsRenamed({"doc_id": "b", "class": "cb"}), "b")
-    merged_classes = tables.save(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tables).withColumnRenamed("node", "class"))
-    out = member.join(merged_classes, "class", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component_id"))
+    several = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
+    same_id = sets.join(several, "doc_id").where("n > 0 and node <> a").select("a", F.col("node").alias("b"))
+    edges = links.unionByName(later).unionByName(same_id)
+    joined = classes.join(tables.save(components(edges, tables)), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("id").alias("component"))
+    of_class = tables.save(joined.join(lowest, "root").select("node", "component"))
+    full = sets.where("n > 0").join(of_class, "node", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    out = full.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    kept = Tables(spark).save(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+    tables.drop()
+    return kept
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text, ...) with one document of each component, that with the smallest id; columns stay."""
-    found = Tables(docs.sparkSession).save(near_duplicates(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs (doc_id, text, ...) with one document of each component, that with the smallest id; columns stay.
+
+    Rows of one id stay or go together, so repeated rows of the kept one stay; rows with a null id stay.
+    """
+    found = near_duplicates(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(Tables(docs.sparkSession).save(found), "doc_id", "left_anti").select(*docs.columns)

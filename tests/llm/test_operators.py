@@ -114,6 +114,23 @@ def test_join_edges(spark, edge_docs, no_docs):
     assert ngram_join.keep_first(edge_docs).columns == edge_docs.columns
 
 
+@pytest.mark.parametrize("limits", [{"BROADCAST_NODES": 0}, {"DIRECT_RANK": 1, "HOT_COUNT": 2}, {"LIST": 3}, {"DUP_SETS": 0, "BUCKET_BYTES": 64}, {"BLOCK": 2}])
+def test_join_gives_the_same_at_any_limits(spark, monkeypatch, limits):
+    rows = near_copies(random.Random(3))
+    rows += [(10**9 + k, t) for k, (_, t) in enumerate(rows[:40])]
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {i: (n, c) for i, n, c in collect(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))}
+    assert got == brute_components(rows)
+
+
+def test_join_of_rows_with_one_id_and_without(spark):
+    w, v, x = (" ".join(f"{c}{k}" for k in range(30)) for c in "wvx")
+    rows = [(1, w), (1, v), (2, w + " end"), (3, v + " end"), (None, v), (None, x), (5, ""), (None, ""), (6, x + " y"), (6, x + " y")]
+    got = sorted(collect(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))), key=str)
+    assert got == sorted([(1, 26, 1), (1, 26, 1), (2, 27, 1), (3, 27, 1), (None, 26, 1), (None, 26, None), (5, 0, 5), (None, 0, None), (6, 27, 6), (6, 27, 6)], key=str)
+
+
 def test_divide_skip():
     rng = random.Random(1)
     for _ in range(500):
