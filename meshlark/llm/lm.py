@@ -9,7 +9,7 @@ counts without its own.
 Exchange.  A chunk asks for its distinct n-grams once, whatever their number in it; the
 keys go to buckets by hash together with the chunk's training counts, a bucket adds the
 counts of all chunks and answers each.  A frequent word is one key per chunk, so no key
-is hot.  A chunk is known by a hash of its ids, so answers meet the texts of the same
+is hot.  A chunk is known by a hash of its rows, so answers meet the texts of the same
 chunk in a second pass; if passes differ, that is an error.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from . import _text as X
 from ._shared import Tables, bounded_batches, partitions
 
 CHUNK = 2 << 20
+SHARD_BYTES = 64 << 20  # of text, whose n-grams a shard holds
 BUCKETS = 48  # of context frequency
 COUNTS = 512  # bins of counts
 RATIOS = 512  # bins of log10(bigram estimate / lower estimate), over LOW..-LOW
@@ -264,28 +266,34 @@ def _scores(totals: dict, u: float, a: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Trains on the rows where held_out is false and scores all; one row per document:
-    id, held_out, n_tokens, n_known, train_tokens (N), base_score (add-one words), score (log10 of the model).
+@dataclass(frozen=True)
+class Model:
+    """Training tokens, types and documents; the unigram weight u and the weights a of the context buckets; and the
+    texts with the corpus counts of their n-grams, by chunk."""
 
-    Null or empty text is the end token alone; a null held_out counts as held out.  Without training rows every
-    token is unknown and the uniform part decides.  Repeated rows are counted and scored each; no rows give none.
-    docs must give the same rows in the same order twice, as files do.
-    """
+    tokens: int
+    types: int
+    docs: int
+    unigram: float
+    weights: np.ndarray
+    met: DataFrame
+
+
+def fit(docs: DataFrame, held_out: Column, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the rows where held_out is false."""
     spark = bounded_batches(docs)
     tables = Tables(spark)
-    shards = shards or max(8, partitions(spark))
-    kind = docs.schema[id_col].dataType.simpleString()
     train = F.coalesce(~held_out, F.lit(False)).alias("train")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), train, F.xxhash64(F.col(id_col), F.length(text_col)).alias("key"))
-    n_docs = docs.where(F.coalesce(~held_out, F.lit(False))).count()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), train, F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    size = docs.agg(F.count(F.when(F.coalesce(~held_out, F.lit(False)), 1)).alias("train"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    shards = shards or max(8, partitions(spark), math.ceil((size.bytes or 0) / SHARD_BYTES))
     asked = rows.mapInArrow(_ask(shards), "kind int, shard int, chunk long, keys binary, counts binary, over binary")
     answers = tables.save(asked.groupBy("kind", "shard").applyInArrow(_answer, "kind int, shard int, chunk long, totals binary, tokens long, types long, held array<double>"))
     del asked
     tables.release()
     about = answers.where("chunk is null and kind = 1")
     summed = about.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    totals = {"tokens": summed.tokens or 0, "types": summed.types or 0, "docs": n_docs}
+    totals = {"tokens": summed.tokens or 0, "types": summed.types or 0, "docs": size.train}
     replies = answers.where("chunk is not null").select("chunk", "kind", "shard", "totals")
     bodies = rows.mapInArrow(_body, "chunk long, body binary")
     met = tables.save(bodies.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_meet, "body binary, words binary, pairs binary"))
@@ -300,7 +308,22 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None, id_col:
         bins[r.bucket, r.bin] = r.mass
     a = np.array([em_weight(m, bin_ratios()) for m in bins])
     a[0] = 0.0
-    return met.mapInArrow(_scores(totals, u, a), f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_id", id_col)
+    return Model(**totals, unigram=u, weights=a, met=met)
+
+
+def score(docs: DataFrame, held_out: Column, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Trains on the rows where held_out is false and scores all; one row per document:
+    id, held_out, n_tokens, n_known, train_tokens (N), base_score (add-one words), score (log10 of the model).
+
+    Null or empty text is the end token alone; a null held_out counts as held out.  Without training rows every
+    token is unknown and the uniform part decides.  Repeated rows are counted and scored each, as are rows of one id
+    with different texts; no rows give none.  docs must give the same rows in the same order twice, as files do.
+    """
+    model = fit(docs, held_out, shards, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    totals = {"tokens": model.tokens, "types": model.types, "docs": model.docs}
+    found = model.met.mapInArrow(_scores(totals, model.unigram, model.weights), f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return found.withColumnRenamed("_id", id_col)
 
 
 def perplexity(scored: DataFrame) -> float:

@@ -30,16 +30,22 @@ DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=page_id & (2**128 - 1))}>"
+#: Stands for a null page_id; no whole number of 64 bits has this form.
+_NO_PAGE = 1 << 100
 
 
-def _page(urn: str) -> int:
+def _urn(page_id: int | None) -> str:
+    return f"<urn:uuid:{uuid.UUID(int=_NO_PAGE if page_id is None else page_id & (2**128 - 1))}>"
+
+
+def _page(urn: str) -> int | None:
     value = uuid.UUID(urn[10:-1]).int
+    if value == _NO_PAGE:
+        return None
     return value - 2**128 if value >> 127 else value
 
 
-def record(page_id: int, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
     """One gzip member.  A revisit (refers_to is set) keeps the HTTP head and not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -109,7 +115,8 @@ def write(pages: DataFrame, folder: str, tables: Tables) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) and returns the saved index.
 
     Of rows with equal payloads of REVISIT_BYTES or more, those with the largest page_id are responses and the
-    others revisits of it.  Null html is an empty payload, a null URL about:blank; extra columns are left out.
+    others revisits of it; rows with a null page_id are all responses and come back as null.  Null html is an empty
+    payload, a null URL about:blank; extra columns are left out.  No rows: no archives and no records.
     Archive names are unique to the attempt that wrote them, so a task that runs twice leaves a stray file only.
     """
     bounded_batches(pages)
