@@ -2,10 +2,10 @@
 
 A HyperLogLog sketch of sites per line hash is built by aggregation, so a line on any
 number of pages costs one sketch per task.  Lines whose estimate is near the threshold
-get an exact distinct count.  A document most of whose bytes are spread lines may be a
-copied document rather than a page with boilerplate; such texts are left whole, for the
-near-duplicate operators to judge, or with only_copies just those of them that are
-found on two sites or more.
+get an exact distinct count.  A document that is found word for word on two sites or
+more, and most of whose bytes are spread lines, is a copied document rather than a page
+with boilerplate; its lines are spread by its own copies, so it is left whole, for the
+near-duplicate operators to judge.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from . import _text as X
 from ._shared import Tables, bounded_batches
 
 LG_K = 10
-#: Estimates within this share of the threshold are counted exactly; over three standard errors (1.04/sqrt(2**10)).
-NEAR = 0.1
+#: Estimates within this share of the threshold are counted exactly; over six standard errors (1.04/sqrt(2**10)).
+NEAR = 0.2
 #: Up to so many spread lines their hashes (8 bytes each) are sent to all tasks; beyond it they are joined.
 BROADCAST_LINES = 2_000_000
 
@@ -68,15 +68,15 @@ def _strip(text: bytes, spans: list[tuple[int, int]], bad: list[bool]) -> tuple[
 def _remover(known: np.ndarray | None, max_share: float):
     """mapInArrow function on (_row, text) or, without known hashes, (_row, text, bad array<long>).
 
-    Texts with more than max_share of spread lines stay whole and are marked as over; with a column copied
-    (boolean) only those of them that it says.
+    Texts with more than max_share of spread lines are marked as over; those that a column copied (boolean) names
+    stay whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines_of, removed = batch.column("text").to_pylist(), [], []
             bad_column = None if known is not None else batch.column("bad")
-            copied = batch.column("copied").to_pylist() if "copied" in batch.schema.names else None
+            copied = batch.column("copied").to_pylist() if "copied" in batch.schema.names else [True] * batch.num_rows
             over_of = []
             for i, j, buf, offsets in X.text_chunks(batch.column("text")):
                 lo, hi, rows, lines, has = _hashes(buf, offsets)
@@ -99,7 +99,7 @@ def _remover(known: np.ndarray | None, max_share: float):
                     spans = list(zip((lo[part] - offsets[r]).tolist(), (hi[part] - offsets[r]).tolist(), strict=True))
                     text = texts[i + r].encode()
                     over[r] = (hi[part] - lo[part])[bad[part]].sum() > max_share * len(text)
-                    if not over[r] or copied is not None and not copied[i + r]:
+                    if not over[r] or not copied[i + r]:
                         text, count[r] = _strip(text, spans, bad[part].tolist())
                         texts[i + r] = text.decode()
                 removed.append(count)
@@ -111,13 +111,13 @@ def _remover(known: np.ndarray | None, max_share: float):
     return run
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site_col: str = "source", text_col: str = "text", only_copies: bool = False) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with the text rid of spread lines, and n_lines, n_removed (long) after the other columns.
 
     A line is spread if it has a word and is on min_sites distinct sites or more.  Texts of which spread lines are
-    more than max_share of the bytes stay whole (n_removed 0), as do null texts; an empty text has one empty line.
-    only_copies: of the texts above max_share, only those that equal a text of another site stay whole.
-    Extra columns are kept; ones named n_lines or n_removed are replaced.
+    more than max_share of the bytes and that equal a text of another site stay whole (n_removed 0), as do null
+    texts; an empty text has one empty line.  Repeated rows are treated each; ids are not looked at.  Extra columns
+    are kept; ones named n_lines or n_removed are replaced.
     """
     spark = bounded_batches(docs)
     tables = Tables(spark)
@@ -131,14 +131,13 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float =
         out = f"_row {kind}, text string, n_lines long, n_removed long, over boolean"
         return _joined(rows, lines, max_share, out) if known is None else rows.mapInArrow(_remover(known, max_share), out)
 
-    if only_copies:
-        # a first pass lists the texts above max_share by hash, a second one strips those that no other site has
-        asked = docs.select(F.struct(F.xxhash64(text_col).alias("key"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))).alias("site")).alias("_row"), F.col(text_col).alias("text"))
-        over = strip(asked, asked.schema["_row"].dataType.simpleString()).where("over").select("_row.key", "_row.site")
-        copies = tables.save(over.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select(F.col("key").alias("_key"), F.lit(True).alias("_copied")))
-        copies = F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies
-        marked = held.join(copies, F.xxhash64(held["text"]) == copies["_key"], "left")
-        held = marked.select("_row", "text", F.coalesce("_copied", F.lit(False)).alias("copied"))
+    # a first pass lists the texts above max_share by hash, a second one strips those that no other site has
+    asked = docs.select(F.struct(F.xxhash64(text_col).alias("key"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))).alias("site")).alias("_row"), F.col(text_col).alias("text"))
+    over = strip(asked, asked.schema["_row"].dataType.simpleString()).where("over").select("_row.key", "_row.site")
+    copies = tables.save(over.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select(F.col("key").alias("_key"), F.lit(True).alias("_copied")))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies
+    marked = held.join(copies, F.xxhash64(held["text"]) == copies["_key"], "left")
+    held = marked.select("_row", "text", F.coalesce("_copied", F.lit(False)).alias("copied"))
     clean = strip(held, kind)
     order = [F.col(f"_row.`{c}`") if c in keep else F.col("text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return clean.select(*order, "n_lines", "n_removed")

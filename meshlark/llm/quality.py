@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import bounded_batches
+from ._shared import Tables, bounded_batches
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct_words")
@@ -64,7 +64,6 @@ class Policy:
 
 
 BASE = Policy("base-1", ("few_words", "repeated_windows"))
-#: The eight rules of op4's SQL.
 STRICT = Policy("strict-1", tuple(RULES)[:8])
 #: Texts with more than 0.1 symbols a word, such as rows of words split by |, are rejected as well.
 STRICT_2 = Policy("strict-2", tuple(RULES))
@@ -128,18 +127,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["_id", *MEASURES])
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fail_bits() -> Column:
+    """The bits of the failed rules, from the measurements."""
+    bits = [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(rule_columns().values())]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """One row per document: the id, fail_bits long and MEASURES (long).
 
-    Null or empty text measures 0 everywhere; repeated rows each get a row; other columns are not carried.
+    With tables the ledger is written there, so that policies and ablations read it and no text again; without, it is
+    a plan, for a caller that uses it once.  Null or empty text measures 0 everywhere; repeated rows each get a row;
+    other columns are not carried.
     """
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     measured = rows.mapInArrow(_measure, f"_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(rule_columns().values())]
-    fail = reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
-    return measured.select(F.col("_id").alias(id_col), fail.alias("fail_bits"), *MEASURES)
+    book = measured.select(F.col("_id").alias(id_col), fail_bits().alias("fail_bits"), *MEASURES)
+    return book if tables is None else tables.save(book)
 
 
 def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
@@ -173,11 +179,15 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = STRICT_2) -> DataFrame:
-    """The documents that the policy keeps, with all their columns; measured and judged in one pass, no shuffle."""
+    """The documents that the policy keeps, with all their columns, and no shuffle.
+
+    Each row travels with its own ledger entry: the rules are evaluated once into fail_bits, and the policy is
+    applied to the bits.  Null and empty texts have no words and are judged as such; repeated rows are judged each;
+    rows with a null id are kept or not like any other; columns of any name stay as they are.
+    """
     bounded_batches(docs)
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    kind = docs.schema.simpleString()
+    held = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    kind = held.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +197,5 @@ def filter_documents(docs: DataFrame, policy: Policy = STRICT_2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["_row", *MEASURES])
 
     measured = held.mapInArrow(run, f"_row {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    conditions = rule_columns()
-    failed = reduce(lambda a, b: a | b, [conditions[r] for r in policy.rules])
-    return measured.where(~failed).select("_row.*")
+    book = measured.select("_row", fail_bits().alias("fail_bits"))
+    return apply_policy(book, policy).where("kept").select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -42,7 +42,8 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
 
 
-def _judged(spark: SparkSession, sf_dir: str, policy: quality.Policy) -> DataFrame:
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = quality.STRICT_2
     book = quality.ledger(_table(spark, sf_dir, "documents"))
     base = quality.apply_policy(book, quality.BASE).withColumn("base_failed", ~F.col("kept"))
     judged = quality.apply_policy(base, policy)
@@ -52,16 +53,6 @@ def _judged(spark: SparkSession, sf_dir: str, policy: quality.Policy) -> DataFra
     )
 
 
-def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy of the SQL, which allows 0.8 symbols a word."""
-    return _judged(spark, sf_dir, quality.STRICT)
-
-
-def op4_quality_ledger_strict_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy of the pipeline, which allows 0.1 symbols a word."""
-    return _judged(spark, sf_dir, quality.STRICT_2)
-
-
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.find_passages(docs, _table(spark, sf_dir, "benchmark"))
@@ -88,25 +79,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in the SQL, any text with more than half its bytes in spread lines stays whole."""
-    return _stripped(spark, sf_dir, False)
-
-
-def op10_line_dedup_only_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in the pipeline, only texts that other sites have as well stay whole."""
-    return _stripped(spark, sf_dir, True)
-
-
-def _stripped(spark: SparkSession, sf_dir: str, only_copies: bool) -> DataFrame:
-    clean = line_dedup.remove_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), only_copies=only_copies)
+    clean = line_dedup.remove_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return clean.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_token_codec, op3_feistel_pseudonyms, op4_quality_ledger, op4_quality_ledger_strict_2, op5_decontamination, op6_deleted_interpolation,
-        op7_warc_index, op8_suffix_array_dedup, op9_best_fit_packing, op10_line_dedup,
-        op10_line_dedup_only_copies,
+        op1_ngram_jaccard_join, op2_token_codec, op3_feistel_pseudonyms, op4_quality_ledger, op5_decontamination,
+        op6_deleted_interpolation, op7_warc_index, op8_suffix_array_dedup, op9_best_fit_packing, op10_line_dedup,
     )}
 
 
@@ -138,7 +118,8 @@ m AS (
 f AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 1000 > n_words * 800)::BIGINT
          + 8 * (n_dup_lines * 1000 > n_lines * 500)::BIGINT + 16 * (word_chars < n_words * 2)::BIGINT + 32 * (word_chars > n_words * 20)::BIGINT
-         + 64 * (n_letters * 10 < word_chars * 6)::BIGINT + 128 * (n_distinct * 20 < least(n_words, 2000))::BIGINT AS fail_bits FROM m)
+         + 64 * (n_letters * 10 < word_chars * 6)::BIGINT + 128 * (n_distinct * 20 < least(n_words, 2000))::BIGINT
+         + 256 * (n_symbols * 1000 > n_words * 100)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
@@ -161,8 +142,9 @@ s AS (
   SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
   GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
 m AS (SELECT l.*, s.line IS NOT NULL AS bad FROM l LEFT JOIN s ON l.line = s.line),
+c AS (SELECT text AS copied FROM documents GROUP BY text HAVING count(DISTINCT coalesce(source, chr(1))) >= 2),
 w AS (
-  SELECT doc_id, text, 2 * coalesce(sum(strlen(line)) FILTER (bad), 0) > strlen(coalesce(text, '')) AS whole,
+  SELECT doc_id, text, text IN (SELECT copied FROM c WHERE copied IS NOT NULL) AND 2 * coalesce(sum(strlen(line)) FILTER (bad), 0) > strlen(coalesce(text, '')) AS whole,
          count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS rest
   FROM m GROUP BY doc_id, text)
 SELECT doc_id, n_lines, CASE WHEN whole THEN 0 ELSE n_bad END AS n_removed,
