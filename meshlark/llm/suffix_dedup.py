@@ -11,6 +11,7 @@ positions in suffix order give each position's longest earlier (and later) match
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,13 @@ from . import _text as X
 from ._shared import Tables, bounded_batches, partitions
 
 MIN_LEN = 400
+CHUNK = 1 << 19
 ANCHOR = 128
 #: Bytes of which one suffix array is built.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
+#: Bytes of runs in a bucket, and about how many of them a byte of text has.
+BUCKET_BYTES = 4 << 20
+RUN_SHARE = 0.4
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -79,26 +84,32 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray, least: int, later: bool
     """(lpf, source) by position: the longest match of least bytes or more that starts earlier (later: later).
 
     The nearest smaller positions before and after a suffix in suffix order hold its longest earlier match; the
-    match with each is the least lcp on the way, so a way ends where that falls below least.  0 and -1: none.
+    match with each is the least lcp on the way, so a way ends where that falls below least.  All suffixes look for
+    theirs at once: one that is larger passes on how far it has come itself.  0 and -1: none.
     """
     n = len(order)
     key = -order if later else order
     best, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    for step in (-1, 1):
-        at = np.arange(n)
-        there, match = at.copy(), np.full(n, np.iinfo(np.int64).max)
+    reach = np.concatenate([lcp[1:], [0]]) if n else lcp  # lcp with the suffix after
+    for turned in (False, True):
+        k, low = (key[::-1], reach[::-1].copy()) if turned else (key, lcp.copy())
+        to = np.arange(n) - 1  # nearest smaller one so far looked for; all between it and the suffix are larger
+        at = np.flatnonzero((to >= 0) & (low >= least))
         while len(at):
-            edge = there if step < 0 else there + 1
-            inside = (edge > 0) & (edge < n)
-            at, there, match, edge = at[inside], there[inside], match[inside], edge[inside]
-            match = np.minimum(match, lcp[edge])
-            long = match >= least
-            at, there, match = at[long], there[long] + step, match[long]
-            found = key[there] < key[at]
-            p = order[at[found]]
-            better = match[found] > best[p]
-            best[p[better]], source[p[better]] = match[found][better], order[there[found]][better]
-            at, there, match = at[~found], there[~found], match[~found]
+            at = at[k[to[at]] > k[at]]
+            ahead = to[at]
+            match = np.minimum(low[at], low[ahead])
+            far = to[ahead]
+            open_ = (far >= 0) & (match >= least)
+            low[at], to[at] = match, np.where(open_, far, -1)
+            at = at[open_]
+        found = np.flatnonzero((to >= 0) & (low >= least))
+        there, match = to[found], low[found]
+        if turned:
+            found, there = n - 1 - found, n - 1 - there
+        p = order[found]
+        better = match > best[p]
+        best[p[better]], source[p[better]] = match[better], order[there][better]
     return best, source
 
 
@@ -177,7 +188,7 @@ def _runs(min_len: int, k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch.column("doc_id").to_numpy(zero_copy_only=False), []
-            for i, _, buf, offsets in X.text_chunks(batch.column("text")):
+            for i, _, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
                 r = anchor_runs(buf, offsets, min_len, k)
                 one = np.zeros(len(r["row"]), _RUN)
                 for name in ("anchor", "whole", "left", "right"):
@@ -366,8 +377,9 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, keep_first: bool = T
     if min_len < 64:
         raise ValueError("min_len must be 64 or more")
     spark = bounded_batches(docs)
-    tables, buckets = Tables(spark), partitions(spark)
     k = min(ANCHOR, min_len // 2)
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    tables, buckets = Tables(spark), max(partitions(spark), math.ceil(size * RUN_SHARE / BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.where("doc_id is not null").mapInArrow(_runs(min_len, k, buckets), "bucket int, runs binary, doc long, lo long, end long")
     found = tables.save(found)
@@ -376,7 +388,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, keep_first: bool = T
     asked = met.where("group is not null").groupBy("doc").agg(F.collect_list(F.struct("group", "many", "lo", "end")).alias("asked"))
     texts = rows.join(tables.save(asked.withColumnRenamed("doc", "doc_id")), "doc_id")
     cut = texts.mapInArrow(_cut, "group long, many long, doc long, lo long, bytes binary")
-    sorted_ = cut.repartition(buckets, "group").sortWithinPartitions("group")
+    sorted_ = cut.repartition(partitions(spark), "group").sortWithinPartitions("group")
     matched = sorted_.mapInArrow(_compare(min_len, keep_first), "doc long, lo long, end long")
     spans = found.where("runs is null").select("doc", "lo", "end").unionByName(met.where("group is null").select("doc", "lo", "end")).unionByName(matched)
     per_doc = tables.save(spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "end")).alias("spans")).withColumnRenamed("doc", "doc_id"))
