@@ -107,11 +107,16 @@ def segments_meet(a: P, b: P, c: P, d: P) -> Column:
     return F.when(flat, F.when(overlap, "collinear").otherwise("none")).when(proper | reduce(lambda p, q: p | q, touch), "point").otherwise("none")
 
 
+def crossing_terms(a: P, b: P, c: P, d: P) -> tuple[Column, Column, Column]:
+    """The denominator of the crossing's parameters and the numerators of those along ab and cd; exact on a lattice."""
+    r, s = b - a, d - c
+    return r.cross(s), (c - a).cross(s), (c - a).cross(r)
+
+
 def crossing(a: P, b: P, c: P, d: P) -> Column:
     """struct<t,u,x,y> of the crossing of ab and cd with both parameters in [0,1]; null if none or parallel."""
-    r, s = b - a, d - c
-    below = r.cross(s).cast("double")
-    t, u = F.try_divide((c - a).cross(s), below), F.try_divide((c - a).cross(r), below)
+    below, along_ab, along_cd = crossing_terms(a, b, c, d)
+    t, u = (F.try_divide(v.cast("double"), below.cast("double")) for v in (along_ab, along_cd))
     at = P(a.x.cast("double"), a.y.cast("double")).lerp(P(b.x.cast("double"), b.y.cast("double")), t)
     return F.when(t.between(0, 1) & u.between(0, 1), F.struct(t.alias("t"), u.alias("u"), at.x.alias("x"), at.y.alias("y")))
 

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..kernels import triangulate as T
 from ..kernels.search import Mesh
+from . import spatial
 
 MAX_TRIANGLES = 1_000_000
 
 
 def load(tris: DataFrame, closed: DataFrame | None = None, cell: float = 4.0) -> Mesh:
-    """The mesh of (tid, v, ax..cy) as one object; ValueError beyond MAX_TRIANGLES."""
+    """The mesh of (tid, v, ax..cy) as one object; ValueError beyond MAX_TRIANGLES, for which per_mesh() is."""
     if tris.count() > MAX_TRIANGLES:
         raise ValueError("the mesh is too large for one task: give it mesh ids and use per_mesh()")
     return build(tris.select("tid", "v", *[f"{k}{d}" for k in "abc" for d in "xy"]).toArrow().to_pylist(), closed.select("lo", "hi").collect() if closed is not None else (), cell)
@@ -30,6 +31,34 @@ def build(rows: list[dict], closed=(), cell: float = 4.0) -> Mesh:
     return Mesh(vertices, {r["tid"]: tuple(r["v"]) for r in rows}, closed={(e[0], e[1]) for e in closed}, cell=cell)
 
 
+def per_mesh(questions: DataFrame, tris: DataFrame, ask: Callable[[Mesh, dict], dict], schema: pa.Schema, ddl: str, key: str = "mesh", cell: float = 4.0) -> DataFrame:
+    """The answers of ask to the questions about each of many meshes: triangles (key, tid, v, ax..cy) and questions
+    (key, id, ...) of one mesh meet in one task, so meshes of any number take no room on the driver.
+
+    Questions about a mesh that is not there have no answer; a mesh itself has to fit into a task.
+    """
+
+    def run(_, asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        m = build(held.to_pylist(), cell=cell)
+        return pa.Table.from_pylist([ask(m, r) for r in asked.to_pylist()], schema)
+
+    return questions.groupBy(key).cogroup(tris.groupBy(key)).applyInArrow(run, ddl)
+
+
+def find_paths_per_mesh(questions: DataFrame, tris: DataFrame, clearance: float = 0.0, key: str = "mesh") -> DataFrame:
+    """As find_paths, for questions (key, id, sx, sy, gx, gy) about many meshes (key, tid, v, ax..cy)."""
+
+    def ask(m: Mesh, r: dict) -> dict:
+        status, points, way = m.path((r["sx"], r["sy"]), (r["gx"], r["gy"]), clearance)
+        return {key: r[key], "id": r["id"], "status": status, "points": _xy(points), "triangles": way}
+
+    schema = pa.schema([(key, pa.int64()), ("id", pa.int64()), ("status", pa.string()), ("points", _POINTS), ("triangles", pa.list_(pa.int64()))])
+    rows = questions.select(key, "id", *[F.col(c).cast("double") for c in ("sx", "sy", "gx", "gy")])
+    return per_mesh(rows, tris, ask, schema, f"{key} long, id long, status string, points array<struct<x:double,y:double>>, triangles array<long>", key)
+
+
 def _each(mesh: Mesh, ask: Callable[[Mesh, dict], dict], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +83,7 @@ def find_paths(questions: DataFrame, mesh: Mesh, clearance: float = 0.0) -> Data
 
     schema = pa.schema([("id", pa.int64()), ("status", pa.string()), ("points", _POINTS), ("triangles", pa.list_(pa.int64()))])
     rows = questions.select("id", *[F.col(c).cast("double") for c in ("sx", "sy", "gx", "gy")])
-    return rows.mapInArrow(_each(mesh, ask, schema), "id long, status string, points array<struct<x:double,y:double>>, triangles array<long>")
+    return spatial.dealt(rows).mapInArrow(_each(mesh, ask, schema), "id long, status string, points array<struct<x:double,y:double>>, triangles array<long>")
 
 
 def sight(questions: DataFrame, mesh: Mesh) -> DataFrame:
@@ -66,7 +95,7 @@ def sight(questions: DataFrame, mesh: Mesh) -> DataFrame:
 
     schema = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("x", pa.float64()), ("y", pa.float64())])
     rows = questions.select("id", *[F.col(c).cast("double") for c in ("sx", "sy", "gx", "gy")])
-    return rows.mapInArrow(_each(mesh, ask, schema), "id long, kind string, x double, y double")
+    return spatial.dealt(rows).mapInArrow(_each(mesh, ask, schema), "id long, kind string, x double, y double")
 
 
 def visibility(questions: DataFrame, mesh: Mesh, radius: float, samples: int) -> DataFrame:
@@ -74,13 +103,13 @@ def visibility(questions: DataFrame, mesh: Mesh, radius: float, samples: int) ->
     ask = lambda m, r: {"id": r["id"], "points": _xy(m.visible((r["sx"], r["sy"]), radius, samples))}
     schema = pa.schema([("id", pa.int64()), ("points", _POINTS)])
     rows = questions.select("id", F.col("sx").cast("double"), F.col("sy").cast("double"))
-    return rows.mapInArrow(_each(mesh, ask, schema), "id long, points array<struct<x:double,y:double>>")
+    return spatial.dealt(rows).mapInArrow(_each(mesh, ask, schema), "id long, points array<struct<x:double,y:double>>")
 
 
 def paths_clear(paths: DataFrame, mesh: Mesh) -> DataFrame:
     """(id, clear boolean) of (id, points): every leg in sight; a path of one point or none is clear."""
     ask = lambda m, r: {"id": r["id"], "clear": m.path_clear([(p["x"], p["y"]) for p in r["points"] or ()])}
-    return paths.select("id", "points").mapInArrow(_each(mesh, ask, pa.schema([("id", pa.int64()), ("clear", pa.bool_())])), "id long, clear boolean")
+    return spatial.dealt(paths.select("id", "points")).mapInArrow(_each(mesh, ask, pa.schema([("id", pa.int64()), ("clear", pa.bool_())])), "id long, clear boolean")
 
 
 def keep_off_walls(points: DataFrame, mesh: Mesh, radius: float) -> DataFrame:
@@ -91,7 +120,7 @@ def keep_off_walls(points: DataFrame, mesh: Mesh, radius: float) -> DataFrame:
         return {"id": r["id"], "x": x, "y": y}
 
     schema = pa.schema([("id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
-    return points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(_each(mesh, ask, schema), "id long, x double, y double")
+    return spatial.dealt(points.select("id", F.col("x").cast("double"), F.col("y").cast("double"))).mapInArrow(_each(mesh, ask, schema), "id long, x double, y double")
 
 
 def _region(table: pa.Table) -> pa.Table:

@@ -32,8 +32,10 @@ def shoelace(rings: DataFrame) -> DataFrame:
 def containing(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(id, ring_id): rings that hold the point by the even-odd rule, border included.
 
-    A point meets the edges of its y-bucket only; crossings are counted per pair.
+    A point meets the edges of its y-bucket only; crossings are counted per pair.  Points are dealt by id, which
+    the count per point and ring keeps to.
     """
+    points = spatial.dealt(points)
     e = ring_edges(rings).select("ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
     lo, hi = spatial.cell_of(F.least("ay", "by"), size), spatial.cell_of(F.greatest("ay", "by"), size)
     spread = e.withColumn("bucket", F.explode(F.sequence(lo, hi)))

@@ -33,6 +33,11 @@ def with_box(tris: DataFrame) -> DataFrame:
     return tris.withColumns(dict(zip(("x0", "y0", "x1", "y1"), G.Box.of(a, b, c), strict=True)))
 
 
+def dealt(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows over all tasks by key: a small file is one partition, whatever the work that each of its rows is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def locate(points: DataFrame, tris: DataFrame, size: float, on: list[str] | None = None) -> DataFrame:
     """points with tid, the lowest triangle that holds the point (border included), null outside.
 
@@ -72,7 +77,7 @@ def nearest_triangle(points: DataFrame, tris: DataFrame, size: float, reach: int
         return points.withColumns({"tid": F.lit(None).cast("long"), "d2": F.lit(None).cast("double"), "qx": F.lit(None).cast("double"), "qy": F.lit(None).cast("double")})
     low = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     span = max(abs(float(v)) for v in [*bounds, *[x for x in low if x is not None]]) * 2
-    todo, done = points.select("id", "x", "y"), None
+    todo, done = dealt(points.select("id", "x", "y")), None
     while True:
         side = F.sequence(F.lit(-reach), F.lit(reach))
         around = bucket_points(todo, size).withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
@@ -102,7 +107,7 @@ def winding_numbers(points: DataFrame, edges: DataFrame, size: float, by: list[s
     a, b = G.point("ax", "ay"), G.point("bx", "by")
     lo, hi = cell_of(F.least("ay", "by"), size), cell_of(F.greatest("ay", "by"), size)
     spread = edges.where("ay <> by").withColumn("row", F.explode(F.sequence(lo, hi)))
-    rows = points.withColumn("row", cell_of(F.col("y"), size))
+    rows = dealt(points).withColumn("row", cell_of(F.col("y"), size))
     part = G.winding_part(a, b, G.point("x", "y"))
     out = rows.join(spread, "row").groupBy("id", *(by or [])).agg(F.sum(part).alias("winding"))
     return out.where("winding <> 0")

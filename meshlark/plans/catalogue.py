@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import grid, mesh, navigation, rings, spatial
+from ..operators import crowd, doors, grid, mesh, navigation, paths, rings, spatial, world
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 SIZE = 8.0  # bucket of the lattice joins
-SEGMENT_SIZE = 32.0  # bucket of the segments, which are longer
+SEGMENT_SIZE = 32.0  # bucket of the short segments and agents
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -73,21 +73,14 @@ def tri_scalars(spark: SparkSession, d: str) -> DataFrame:
     return V.tris(spark, d).select("tid", area.alias("area2"), (A.x + B.x + C.x).alias("sx"), (A.y + B.y + C.y).alias("sy"), (area > 0).alias("ccw"), *[v.alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
 
 
-_PAIRS = "pairs AS (SELECT a.id AS i, b.id AS j, a.ax, a.ay, a.bx, a.by_, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.by_ AS dy FROM segs a JOIN segs b ON a.id < b.id AND a.ax = b.ay AND a.mark <= b.mark)"
-_ORIENTS = "o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM pairs)"
+_ORIENTS = "o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM line_pairs)"
 _BOX = lambda a, b, p: f"({p}x BETWEEN least({a}x,{b}x) AND greatest({a}x,{b}x) AND {p}y{'_' if p == 'b' else ''} BETWEEN least({a}y,{b}y{'_' if b == 'b' else ''}) AND greatest({a}y,{b}y{'_' if b == 'b' else ''}))"
+_four = lambda: (G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
 
 
-def _segment_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = V.segments(spark, d)
-    left = s.select(F.col("id").alias("i"), "ax", "ay", "bx", "by", F.col("mark").alias("m1"))
-    right = s.select(F.col("id").alias("j"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"), F.col("mark").alias("m2"))
-    return left.join(right, left.ax == right.cy).where("i < j and m1 <= m2")
-
-
-def _near_segments(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs i < j of segments whose boxes touch."""
-    s = V.segments(spark, d).drop("mark")
+def _near_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs i < j of lines whose boxes touch; only those can meet."""
+    s = V.lines(spark, d)
     boxed = s.select("id", F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
     met = spatial.boxes_meet(boxed, boxed, SEGMENT_SIZE).where("l_id < r_id").select(F.col("l_id").alias("i"), F.col("r_id").alias("j"))
     left = s.withColumnRenamed("id", "i")
@@ -95,65 +88,39 @@ def _near_segments(spark: SparkSession, d: str) -> DataFrame:
     return met.join(left, "i").join(right, "j")
 
 
-@query(_with("segs", f"{_PAIRS}, {_ORIENTS}", f"""
-SELECT kind, count(*) AS n, sum(i % 1009) AS check_i, sum(j % 1009) AS check_j FROM (
-  SELECT i, j, CASE WHEN o1 = 0 AND o2 = 0 AND o3 = 0 AND o4 = 0 THEN
+@query(_with("line_pairs", _ORIENTS, f"""
+SELECT i, j, CASE WHEN o1 = 0 AND o2 = 0 AND o3 = 0 AND o4 = 0 THEN
            CASE WHEN {_BOX('a', 'b', 'c')} OR {_BOX('a', 'b', 'd')} OR {_BOX('c', 'd', 'a')} OR {_BOX('c', 'd', 'b')} THEN 'collinear' ELSE 'none' END
          WHEN sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0 OR o1 = 0 AND {_BOX('a', 'b', 'c')} OR o2 = 0 AND {_BOX('a', 'b', 'd')}
-              OR o3 = 0 AND {_BOX('c', 'd', 'a')} OR o4 = 0 AND {_BOX('c', 'd', 'b')} THEN 'point' ELSE 'none' END AS kind FROM o) GROUP BY kind"""))
+              OR o3 = 0 AND {_BOX('c', 'd', 'a')} OR o4 = 0 AND {_BOX('c', 'd', 'b')} THEN 'point' ELSE 'none' END AS kind FROM o"""))
 def orient_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _kinds(_segment_pairs(spark, d))
-
-
-@query()
-def orient_classify_all(spark: SparkSession, d: str) -> DataFrame:
-    """How all pairs of segments with touching boxes meet; the pairs that are left out are of kind none."""
-    return _kinds(_near_segments(spark, d))
+    """How all lines with touching boxes meet."""
+    return _near_lines(spark, d).select("i", "j", G.segments_meet(*_four()).alias("kind"))
 
 
-def _kinds(pairs: DataFrame) -> DataFrame:
-    kind = G.segments_meet(G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
-    return pairs.select("i", "j", kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("i") % 1009).alias("check_i"), F.sum(F.col("j") % 1009).alias("check_j"))
-
-
-@query(_with("segs", _PAIRS, """
-, q AS (SELECT i, j, (bx-ax)*(dy-cy)-(by_-ay)*(dx-cx) AS den, (cx-ax)*(dy-cy)-(cy-ay)*(dx-cx) AS tn, (cx-ax)*(by_-ay)-(cy-ay)*(bx-ax) AS un FROM pairs)
-SELECT i, j, round(tn::DOUBLE / den, 6) AS t, round(un::DOUBLE / den, 6) AS u FROM q
-WHERE den <> 0 AND tn::DOUBLE / den BETWEEN 0 AND 1 AND un::DOUBLE / den BETWEEN 0 AND 1""").replace("\n\n, q", ", q"))
+@query(V.sql("line_pairs", """
+SELECT i, j, abs(den) AS den, tn * sign(den)::BIGINT AS tn, un * sign(den)::BIGINT AS un FROM (
+  SELECT i, j, (bx-ax)*(dy-cy)-(by_-ay)*(dx-cx) AS den, (cx-ax)*(dy-cy)-(cy-ay)*(dx-cx) AS tn, (cx-ax)*(by_-ay)-(cy-ay)*(bx-ax) AS un FROM line_pairs)
+WHERE den <> 0 AND tn * sign(den) BETWEEN 0 AND abs(den) AND un * sign(den) BETWEEN 0 AND abs(den)"""))
 def segment_hits(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(_segment_pairs(spark, d))
-
-
-@query()
-def segment_hits_all(spark: SparkSession, d: str) -> DataFrame:
-    """The crossings of all pairs of segments."""
-    return _hits(_near_segments(spark, d))
+    """The crossings of all lines, their parameters as exact fractions tn/den and un/den."""
+    den, tn, un = G.crossing_terms(*_four())
+    turn = F.when(den < 0, -1).otherwise(1)
+    return _near_lines(spark, d).where(G.crossing(*_four()).isNotNull()).select("i", "j", F.abs(den).alias("den"), (tn * turn).alias("tn"), (un * turn).alias("un"))
 
 
-def _hits(pairs: DataFrame) -> DataFrame:
-    hit = G.crossing(G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
-    found = pairs.withColumn("h", hit).where("h is not null")
-    return found.select("i", "j", F.round("h.t", 6).alias("t"), F.round("h.u", 6).alias("u"))
-
-
-@query(V.sql("pts segs", """
-SELECT id, s, round(qx, 6) AS qx, round(qy, 6) AS qy FROM (
-  SELECT id, s, ax + (bx-ax)*t AS qx, ay + (by_-ay)*t AS qy FROM (
-    SELECT p.id, s.id AS s, ax, ay, bx, by_, CASE WHEN ax = bx AND ay = by_ THEN 0.0::DOUBLE ELSE
+@query(V.sql("spots lines", """
+SELECT id, s, round(ax + (bx-ax)*t, 6) AS qx, round(ay + (by_-ay)*t, 6) AS qy FROM (
+  SELECT DISTINCT p.id, l.id AS s, ax, ay, bx, by_, CASE WHEN ax = bx AND ay = by_ THEN 0.0::DOUBLE ELSE
       least(greatest(((x-ax)*(bx-ax)+(y-ay)*(by_-ay))::DOUBLE / ((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)), 0), 1) END AS t
-    FROM pts p JOIN segs s ON p.x = s.ax AND p.id % 16 = s.id % 16))"""))
+  FROM (SELECT *, x // 32 AS gx, y // 32 AS gy FROM spots) p
+  JOIN (SELECT *, unnest(range((least(ay, by_) - 16) // 32, (greatest(ay, by_) + 16) // 32 + 1)) AS gy FROM (SELECT *, unnest(range((least(ax, bx) - 16) // 32, (greatest(ax, bx) + 16) // 32 + 1)) AS gx FROM lines)) l
+    ON p.gx = l.gx AND p.gy = l.gy AND x BETWEEN least(ax, bx) - 16 AND greatest(ax, bx) + 16 AND y BETWEEN least(ay, by_) - 16 AND greatest(ay, by_) + 16)"""))
 def nearest_on_segment(spark: SparkSession, d: str) -> DataFrame:
-    p, s = V.points(spark, d), V.segments(spark, d).withColumnRenamed("id", "s")
-    return _projected(p.join(s, (p.x == s.ax) & (p.id % 16 == s.s % 16)))
-
-
-@query()
-def nearest_on_segment_all(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest place on every segment to every point: a row per pair, so points times segments."""
-    return _projected(V.points(spark, d).crossJoin(V.segments(spark, d).withColumnRenamed("id", "s")))
-
-
-def _projected(met: DataFrame) -> DataFrame:
+    """The nearest place to every spot on each line whose box, grown by 16, holds it."""
+    p, s = V.spots(spark, d), V.lines(spark, d).withColumnRenamed("id", "s")
+    box = G.Box.of(G.point("ax", "ay"), G.point("bx", "by")).grow(16)
+    met = spatial.bucket_points(p, SEGMENT_SIZE).join(spatial.bucket_boxes(s, SEGMENT_SIZE, box), ["gx", "gy"]).where(box.contains(G.point("x", "y")))
     q = G.nearest_on_segment(G.point("ax", "ay"), G.point("bx", "by"), G.point("x", "y"))
     return met.select("id", "s", F.round(q.x, 6).alias("qx"), F.round(q.y, 6).alias("qy"))
 
@@ -177,12 +144,6 @@ def ring_contains(spark: SparkSession, d: str) -> DataFrame:
     return rings.containing(V.points(spark, d), V.rings(spark, d).where("ring_id % 50 = 0"), SIZE)
 
 
-@query()
-def ring_contains_all(spark: SparkSession, d: str) -> DataFrame:
-    """Points in the rings of all customers."""
-    return rings.containing(V.points(spark, d), V.rings(spark, d), SIZE)
-
-
 def _winding(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     e = rings.ring_edges(asked).select("ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
     return spatial.winding_numbers(V.points(spark, d).select("id", "x", "y"), e, SIZE, ["ring_id"])
@@ -196,12 +157,6 @@ def winding_numbers(spark: SparkSession, d: str) -> DataFrame:
     return _winding(spark, d, V.rings(spark, d).where("ring_id % 50 = 0"))
 
 
-@query()
-def winding_numbers_all(spark: SparkSession, d: str) -> DataFrame:
-    """Winding numbers about the rings of all customers."""
-    return _winding(spark, d, V.rings(spark, d))
-
-
 @query(V.sql("rings", """
 SELECT ring_id, seq, x, y FROM (
   SELECT ring_id, seq, x, y, coalesce(lag(x) OVER w, last_value(x) OVER a) AS px, coalesce(lag(y) OVER w, last_value(y) OVER a) AS py,
@@ -288,15 +243,7 @@ def _edge_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _door_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that each door's line crosses: a box join and an exact test."""
-    box = lambda df, key: df.select(key.alias("id"), F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
-    edges, lines = _edge_boxes(spark, d), _door_lines(spark)
-    key = F.struct("lo", "hi")
-    near = spatial.boxes_meet(box(lines, F.col("door")), box(edges, key), SIZE)
-    q = edges.withColumnsRenamed({"ax": "cx", "ay": "cy", "bx": "dx", "by": "dy"})
-    met = near.select(F.col("l_id").alias("door"), "r_id.lo", "r_id.hi").join(lines, "door").join(q, ["lo", "hi"])
-    hit = G.crossing(G.point("ax", "ay"), G.point("bx", "by"), G.point("cx", "cy"), G.point("dx", "dy"))
-    return met.where(hit.isNotNull()).select("door", "lo", "hi").distinct()
+    return doors.edges(_door_lines(spark), _edge_boxes(spark, d), SIZE)
 
 
 @query(_with("adj", f"{_LINES}, {_EDGE_XY}, {_CUT}", "SELECT door, lo, hi FROM cut"))
@@ -304,25 +251,6 @@ def door_edges(spark: SparkSession, d: str) -> DataFrame:
     return _door_edges(spark, d)
 
 
-def _door_state(events: DataFrame) -> DataFrame:
-    """(door, state, generation): open doors to start with; an event that changes nothing leaves the generation.
-
-    An opening or closing sets the state whatever came before, and toggles flip it: so the state after an event is
-    that of the last setting with the parity of the toggles since, all from window sums.
-    """
-    w = Window.partitionBy("door").orderBy("ts", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    flips = F.sum((F.col("action") == "toggle").cast("int")).over(upto)
-    e = events.withColumn("flips", flips)
-    at = F.when(F.col("action") != "toggle", F.struct(F.col("action").alias("a"), F.col("flips").alias("f")))
-    e = e.withColumn("set", F.last(at, ignorenulls=True).over(upto))
-    closed = (F.coalesce((F.col("set.a") == "close").cast("int"), F.lit(0)) + F.col("flips") - F.coalesce("set.f", F.lit(0))) % 2
-    e = e.withColumn("closed", closed)
-    changed = F.col("closed") != F.coalesce(F.lag("closed").over(w), F.lit(0))
-    e = e.withColumn("changed", changed.cast("long"))
-    return e.groupBy("door").agg(F.max_by("closed", F.struct("ts", "seq")).alias("c"), F.sum("changed").alias("generation")).select("door", F.when(F.col("c") == 1, "closed").otherwise("open").alias("state"), "generation")
-
-
 _FOLD = """f AS (SELECT *, sum(CASE WHEN action = 'toggle' THEN 1 ELSE 0 END) OVER w AS flips, max(CASE WHEN action <> 'toggle' THEN k END) OVER w AS lastset FROM
    (SELECT *, row_number() OVER (PARTITION BY door ORDER BY ts, seq) AS k FROM door_events) WINDOW w AS (PARTITION BY door ORDER BY k ROWS UNBOUNDED PRECEDING)),
  s AS (SELECT a.door, a.k, (CASE WHEN b.action = 'close' THEN 1 ELSE 0 END + a.flips - coalesce(b.flips, 0)) % 2 AS closed FROM f a LEFT JOIN f b ON a.door = b.door AND a.lastset = b.k),
@@ -332,14 +260,14 @@ _FOLD = """f AS (SELECT *, sum(CASE WHEN action = 'toggle' THEN 1 ELSE 0 END) OV
 
 @query(_with("door_events", _FOLD, "SELECT door, state, generation FROM doors"))
 def door_state(spark: SparkSession, d: str) -> DataFrame:
-    return _door_state(V.door_events(spark, d))
+    return doors.state(V.door_events(spark, d))
 
 
 _WALL_SQL = "walls AS (SELECT DISTINCT lo, hi FROM adj WHERE nbr IS NULL UNION SELECT lo, hi FROM cut JOIN doors USING (door) WHERE state = 'closed')"
 
 
 def _walls(spark: SparkSession, d: str) -> DataFrame:
-    closed = _door_edges(spark, d).join(_door_state(V.door_events(spark, d)).where("state = 'closed'"), "door")
+    closed = _door_edges(spark, d).join(doors.state(V.door_events(spark, d)).where("state = 'closed'"), "door")
     return mesh.wall_edges(mesh.adjacency(V.tris(spark, d)), closed)
 
 
@@ -397,21 +325,11 @@ def _edge_d2(s: str, e: str) -> str:
     return f"power({sx} + ({ex}-{sx})*{t} - x, 2) + power({sy} + ({ey}-{sy})*{t} - y, 2)"
 
 
-@query(_with("pts g_tris", f"near AS (SELECT p.id, tid, CASE WHEN {_IN} THEN 0 ELSE least({_edge_d2('a', 'b')}, {_edge_d2('b', 'c')}, {_edge_d2('c', 'a')}) END AS d2 FROM pts p CROSS JOIN g_tris WHERE p.id % 20 = 0)", """
+@query(_with("pts g_tris", f"near AS (SELECT p.id, tid, CASE WHEN {_IN} THEN 0 ELSE least({_edge_d2('a', 'b')}, {_edge_d2('b', 'c')}, {_edge_d2('c', 'a')}) END AS d2 FROM pts p CROSS JOIN g_tris)", """
 SELECT id, arg_min(tid, (round(d2, 6), tid)) AS tid, round(sqrt(min(d2)), 6) AS distance FROM near GROUP BY id"""))
 def nearest_triangle(spark: SparkSession, d: str) -> DataFrame:
-    """For every 20th point (the points asked about) the nearest triangle and its distance."""
-    return _nearest(spark, d, V.points(spark, d).where("id % 20 = 0"))
-
-
-@query()
-def nearest_triangle_all(spark: SparkSession, d: str) -> DataFrame:
     """For every point the nearest triangle and its distance."""
-    return _nearest(spark, d, V.points(spark, d))
-
-
-def _nearest(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    found = spatial.nearest_triangle(asked.select("id", "x", "y"), V.tris(spark, d), 4.0)
+    found = spatial.nearest_triangle(V.points(spark, d).select("id", "x", "y"), V.tris(spark, d), 4.0)
     return found.select("id", "tid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
@@ -444,10 +362,7 @@ _STEPS = "steps AS (SELECT user_id, ts, id, x, y, sqrt(power(x - lag(x) OVER w,
 
 
 def _arcs(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "id")
-    before = G.P(F.lag("x").over(w), F.lag("y").over(w))
-    p = V.points(spark, d).withColumn("step", F.coalesce(G.point("x", "y").distance(before), F.lit(0.0)))
-    return p.withColumns({"arc": F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), "seq": F.row_number().over(w) - 1, "lx": before.x, "ly": before.y})
+    return paths.arcs(V.points(spark, d), "user_id", ["ts", "id"])
 
 
 @query(_with("pts", _STEPS, "SELECT id, user_id, round(sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 4) AS arc FROM steps"))
@@ -461,22 +376,18 @@ SELECT user_id, round(CASE WHEN step < 1e-12 THEN lx ELSE lx + (x - lx) * (s - (
 FROM (SELECT a.*, h.s, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM arcs a JOIN half h USING (user_id) WHERE a.step IS NOT NULL AND h.s <= a.arc) WHERE k = 1"""))
 def point_at_arc(spark: SparkSession, d: str) -> DataFrame:
     """The point at three eighths of each user's way."""
-    a = _arcs(spark, d)
-    total = F.max("arc").over(Window.partitionBy("user_id")) * 0.375
-    reach = a.withColumn("s", total).where("seq > 0 and s <= arc")
-    first = spatial.first_per(reach, ["user_id"], [F.col("seq")])
-    t = F.when(F.col("step") < 1e-12, 0.0).otherwise((F.col("s") - (F.col("arc") - F.col("step"))) / F.col("step"))
-    return first.select("user_id", F.round(F.col("lx") + (F.col("x") - F.col("lx")) * t, 3).alias("px"), F.round(F.col("ly") + (F.col("y") - F.col("ly")) * t, 3).alias("py"))
+    at = paths.point_at(_arcs(spark, d), "user_id", 0.375)
+    return at.select("user_id", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
 
 
 @query(V.sql("pts", """
 SELECT user_id, id, zone_from, zone_to FROM (SELECT user_id, id, lag((x // 32) * 10 + y // 24) OVER w AS zone_from, (x // 32) * 10 + y // 24 AS zone_to, row_number() OVER w AS k FROM pts
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) WHERE k > 1 AND zone_from IS DISTINCT FROM zone_to"""))
 def zone_crossings(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "id")
     zone = (F.floor(F.col("x") / 32) * 10 + F.floor(F.col("y") / 24)).cast("long")
-    z = V.points(spark, d).withColumns({"zone_to": zone, "k": F.row_number().over(w)}).withColumn("zone_from", F.lag("zone_to").over(w))
-    return z.where((F.col("k") > 1) & ~F.col("zone_from").eqNullSafe(F.col("zone_to"))).select("user_id", "id", "zone_from", "zone_to")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "id"))
+    steps = V.points(spark, d).select(F.col("user_id").alias("path"), seq.alias("seq"), F.col("id").alias("tid"), zone.alias("zone"))
+    return world.zone_crossings(steps).select(F.col("path").alias("user_id"), F.col("tid").alias("id"), F.col("from_zone").alias("zone_from"), F.col("to_zone").alias("zone_to"))
 
 
 @query(V.sql("g_tris pts", """
@@ -499,55 +410,23 @@ def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("generation", F.row_number().over(Window.orderBy("batch")))
 
 
-_AGENTS = "agents AS (SELECT id, x, y, (id % 5) - 2 AS vx, (id % 7) - 3 AS vy FROM pts WHERE id % 10 = 0)"
-_NEIGHBOURS = "near AS (SELECT a.id, b.id AS other FROM agents a JOIN agents b ON a.id <> b.id AND abs(a.x // 4 - b.x // 4) <= 1 AND abs(a.y // 4 - b.y // 4) <= 1)"
-
-
-def _all_agents(spark: SparkSession, d: str) -> DataFrame:
-    """Every point moves."""
-    return V.points(spark, d).select("id", "x", "y", (F.col("id") % 5 - 2).alias("vx"), (F.col("id") % 7 - 3).alias("vy"))
-
-
-def _agents(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth point moves (the agents of the scene)."""
-    return _all_agents(spark, d).where("id % 10 = 0")
-
-
-@query(_with("pts", f"{_AGENTS}, {_NEIGHBOURS}", "SELECT id, other FROM near"))
+@query(V.sql("agent_pairs", "SELECT id, other FROM agent_pairs"))
 def crowd_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.neighbours(_agents(spark, d).select("id", "x", "y"), 4.0)
+    return spatial.neighbours(V.agents(spark, d).select("id", "x", "y"), 4.0)
 
 
-@query()
-def crowd_neighbors_all(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours among all points."""
-    return spatial.neighbours(_all_agents(spark, d).select("id", "x", "y"), 4.0)
+_CONTACTS = """q AS (SELECT n.id, b.priority - a.priority AS above, (b.x-a.x) AS px, (b.y-a.y) AS py, (a.vx-b.vx) AS wx, (a.vy-b.vy) AS wy FROM agent_pairs n JOIN agents a ON a.id = n.id JOIN agents b ON b.id = n.other),
+ c AS (SELECT id, above, px*px+py*py-1 AS c, px*wx+py*wy AS b, wx*wx+wy*wy AS a FROM q),
+ t AS (SELECT id, CASE WHEN c < 0 THEN 1.0 WHEN a > 0 AND b > 0 AND b*b - a*c >= 0 AND (b - sqrt((b*b - a*c))) / a < 2
+               THEN (1 - (b - sqrt((b*b - a*c))) / a / 2) * power(2, greatest(least(above / 2, 2), -2)) ELSE 0 END AS p FROM c)"""
 
 
-@query(_with("pts", f"{_AGENTS}, {_NEIGHBOURS}", """
-, q AS (SELECT n.id, (b.x-a.x) AS px, (b.y-a.y) AS py, (a.vx-b.vx) AS wx, (a.vy-b.vy) AS wy FROM near n JOIN agents a ON a.id = n.id JOIN agents b ON b.id = n.other),
- s AS (SELECT id, px*px+py*py-1 AS c, px*wx+py*wy AS b, wx*wx+wy*wy AS a FROM q),
- t AS (SELECT id, CASE WHEN c < 0 THEN 1.0 WHEN a > 0 AND b > 0 AND b*b - a*c >= 0 AND (b - sqrt((b*b - a*c)::DOUBLE)) / a < 2 THEN power(1 - (b - sqrt((b*b - a*c)::DOUBLE)) / a / 2, 1) ELSE 0 END AS p FROM s)
-SELECT id, round(max(p), 6) AS penalty FROM t GROUP BY id""").replace("\n\n, q", ", q"))
+@query(_with("agent_pairs", _CONTACTS, "SELECT id, round(max(p), 6) AS penalty FROM t GROUP BY id"))
 def ttc_penalty(spark: SparkSession, d: str) -> DataFrame:
-    """Largest time-to-contact penalty among neighbours, radius 1/2 each, over two seconds."""
-    return _penalty(_agents(spark, d))
-
-
-@query()
-def ttc_penalty_all(spark: SparkSession, d: str) -> DataFrame:
-    """The penalty with every point moving."""
-    return _penalty(_all_agents(spark, d))
-
-
-def _penalty(a: DataFrame) -> DataFrame:
-    b = a.select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x", "y", "vx", "vy")])
-    near = spatial.neighbours(a.select("id", "x", "y"), 4.0).join(a, "id").join(b, "other")
-    p, w = G.point("ox", "oy") - G.point("x", "y"), G.point("vx", "vy") - G.point("ovx", "ovy")
-    c, k, q = p.length_sq() - 1, p.dot(w), w.length_sq()
-    t = F.try_divide(k - F.sqrt((k * k - q * c).cast("double")), q)
-    pen = F.when(c < 0, 1.0).when((q > 0) & (k > 0) & (k * k - q * c >= 0) & (t < 2), 1 - t / 2).otherwise(0.0)
-    return near.groupBy("id").agg(F.round(F.max(pen), 6).alias("penalty"))
+    """The largest time-to-contact penalty of each agent's own velocity among its neighbours, over two seconds."""
+    a = V.agents(spark, d)
+    own = a.select("id", F.lit(0).alias("k"), F.col("vx").alias("cx"), F.col("vy").alias("cy"))
+    return crowd.penalties(a, own, crowd.Settings(cell=4.0)).select("id", F.round("penalty", 6).alias("penalty"))
 
 
 # Graph and triangulation kernels: no SQL; tests/ holds them to their own properties

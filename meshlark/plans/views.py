@@ -59,6 +59,32 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("id", key).withColumn("mark", (F.col("ax") % 3).cast("int"))
 
 
+#: Lattices of short lines, spots and agents, wide enough that what meets grows with the rows and not their square.
+SPAN, CROWD_SPAN = 4096, 1024
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ax, ay, bx, by): distinct short segments, from 14 to 20 long at most, all places above 0."""
+    i = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("long")
+    a = i.select(((F.col("l_orderkey") * 37 + F.col("l_partkey")) % SPAN + 64).alias("ax"), ((F.col("l_orderkey") * 101 + F.col("l_suppkey") * 7) % SPAN + 64).alias("ay"), (q % 29 - 14).alias("dx"), (q * 3 % 41 - 20).alias("dy")).distinct()
+    key = ((F.col("ax") * 8192 + F.col("ay")) * 64 + F.col("dx") + 32) * 64 + F.col("dy") + 32
+    return a.select(key.alias("id"), "ax", "ay", (F.col("ax") + F.col("dx")).alias("bx"), (F.col("ay") + F.col("dy")).alias("by"))
+
+
+def spots(spark: SparkSession, sf_dir: str, span: int = SPAN) -> DataFrame:
+    """(id, user_id, x, y) of the events."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), "user_id", ((F.col("event_id") * 7919 + F.col("user_id") * 37) % span + 64).alias("x"), ((F.col("event_id") * 104729 + F.col("user_id") * 53) % span + 64).alias("y"))
+
+
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x, y, vx, vy, radius, priority): every event is an agent."""
+    s = spots(spark, sf_dir, CROWD_SPAN)
+    speed = [(F.col("id") % 5 - 2).cast("double").alias("vx"), (F.col("id") % 7 - 3).cast("double").alias("vy")]
+    return s.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *speed, F.lit(0.5).alias("radius"), (F.col("id") % 3).cast("double").alias("priority"))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x0, y0, x1, y1) on the points' lattice, one per customer."""
     c = table(spark, sf_dir, "customer")
@@ -99,6 +125,23 @@ SQL = {
   SELECT ((ax * 256 + ay) * 256 + bx) * 256 + by_ AS id, ax, ay, bx, by_, CAST(ax % 3 AS INTEGER) AS mark FROM (
     SELECT DISTINCT l_partkey % 256 AS ax, l_suppkey * 7 % 256 AS ay, (l_partkey + CAST(l_quantity AS BIGINT)) % 256 AS bx,
                     (l_suppkey * 7 + CAST(l_quantity AS BIGINT) * 3) % 256 AS by_ FROM lineitem)""",
+    "lines": f"""
+  SELECT ((ax * 8192 + ay) * 64 + dx + 32) * 64 + dy + 32 AS id, ax, ay, ax + dx AS bx, ay + dy AS by_ FROM (
+    SELECT DISTINCT (l_orderkey * 37 + l_partkey) % {SPAN} + 64 AS ax, (l_orderkey * 101 + l_suppkey * 7) % {SPAN} + 64 AS ay,
+                    CAST(l_quantity AS BIGINT) % 29 - 14 AS dx, CAST(l_quantity AS BIGINT) * 3 % 41 - 20 AS dy FROM lineitem)""",
+    "line_cells": """
+  SELECT *, unnest(range(least(ay, by_) // 32, greatest(ay, by_) // 32 + 1)) AS gy FROM (SELECT *, unnest(range(least(ax, bx) // 32, greatest(ax, bx) // 32 + 1)) AS gx FROM lines)""",
+    "line_pairs": """
+  SELECT DISTINCT a.id AS i, b.id AS j, a.ax, a.ay, a.bx, a.by_, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.by_ AS dy FROM line_cells a JOIN line_cells b ON a.gx = b.gx AND a.gy = b.gy AND a.id < b.id
+    AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.by_) <= greatest(b.ay, b.by_) AND least(b.ay, b.by_) <= greatest(a.ay, a.by_)""",
+    "spots": f"""
+  SELECT event_id AS id, user_id, (event_id * 7919 + user_id * 37) % {SPAN} + 64 AS x, (event_id * 104729 + user_id * 53) % {SPAN} + 64 AS y FROM events""",
+    "agents": f"""
+  SELECT event_id AS id, ((event_id * 7919 + user_id * 37) % {CROWD_SPAN} + 64)::DOUBLE AS x, ((event_id * 104729 + user_id * 53) % {CROWD_SPAN} + 64)::DOUBLE AS y,
+         (event_id % 5 - 2)::DOUBLE AS vx, (event_id % 7 - 3)::DOUBLE AS vy, (event_id % 3)::DOUBLE AS priority FROM events""",
+    "agent_pairs": """
+  SELECT a.id, b.id AS other FROM (SELECT id, floor(x / 4) AS gx, floor(y / 4) AS gy, u.dx, v.dy FROM agents CROSS JOIN (VALUES (-1), (0), (1)) u(dx) CROSS JOIN (VALUES (-1), (0), (1)) v(dy)) a
+    JOIN (SELECT id, floor(x / 4) AS gx, floor(y / 4) AS gy FROM agents) b ON b.gx = a.gx + a.dx AND b.gy = a.gy + a.dy AND a.id <> b.id""",
     "boxes": """
   SELECT c_custkey AS id, c_custkey * 13 % 120 AS x0, c_custkey * 7 % 90 AS y0, c_custkey * 13 % 120 + 1 + c_custkey % 7 AS x1,
          c_custkey * 7 % 90 + 1 + c_nationkey % 5 AS y1 FROM customer""",
@@ -126,7 +169,7 @@ SQL = {
 }
 
 #: What each view is made of.
-NEEDS = {"g_tris": ["g_cells"], "ring_edges": ["rings"], "t_edges": ["g_tris"], "adj": ["t_edges"], "cell_next": ["g_cells"], "cell_reach": ["cell_next"], "borders": ["g_cells"]}
+NEEDS = {"line_cells": ["lines"], "line_pairs": ["line_cells"], "agent_pairs": ["agents"], "g_tris": ["g_cells"], "ring_edges": ["rings"], "t_edges": ["g_tris"], "adj": ["t_edges"], "cell_next": ["g_cells"], "cell_reach": ["cell_next"], "borders": ["g_cells"]}
 
 
 def sql(views: str, body: str) -> str:

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from support import DATA, same_rows
 
@@ -13,58 +11,6 @@ def test_query_equals_sql(spark, duck, name):
     same_rows(catalogue.queries()[name](spark, DATA), duck.sql(SQL[name]))
 
 
-def whole(name, *cuts):
-    """The SQL of a query without its cuts."""
-    sql = SQL[name]
-    for cut in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, "")
-    return sql
-
-
-@pytest.mark.parametrize("name, cut", [
-    ("crowd_neighbors", " WHERE id % 10 = 0"), ("ttc_penalty", " WHERE id % 10 = 0"), ("ring_contains", " WHERE ring_id % 50 = 0"),
-    ("winding_numbers", " WHERE ring_id % 50 = 0"), ("nearest_triangle", " WHERE p.id % 20 = 0"),
-])
-def test_query_over_all_ids_equals_sql_without_the_subset(spark, duck, name, cut):
-    same_rows(catalogue.queries()[f"{name}_all"](spark, DATA), duck.sql(whole(name, cut)))
-
-
-@pytest.fixture(scope="module")
-def crossing_tables(spark, tmp_path_factory):
-    """A folder and a DuckDB connection with segments that cross: sf0.001 has parallel ones only."""
-    import duckdb
-
-    rng, folder = random.Random(8), tmp_path_factory.mktemp("crossing")
-    items = [(rng.randint(1, 4000), rng.randint(1, 400), float(rng.randint(1, 50))) for _ in range(300)]
-    spark.createDataFrame(items, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
-    spark.createDataFrame([(k, rng.randint(1, 50), None) for k in range(120)], "event_id long, user_id long, ts timestamp").write.parquet(f"{folder}/events.parquet")
-    con = duckdb.connect()
-    for name in ("lineitem", "events"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
-    return str(folder), con
-
-
-@pytest.mark.parametrize("name, cut", [("segment_hits", " AND a.ax = b.ay AND a.mark <= b.mark"), ("nearest_on_segment", " ON p.x = s.ax AND p.id % 16 = s.id % 16")])
-def test_all_segment_pairs_equal_sql_without_the_slice(spark, crossing_tables, name, cut):
-    folder, con = crossing_tables
-    sql = whole(name, cut).replace("pts p JOIN segs s", "pts p CROSS JOIN segs s")
-    got = catalogue.queries()[f"{name}_all"](spark, folder)
-    assert got.count() > catalogue.queries()[name](spark, folder).count()
-    keys, values = got.columns[:2], got.columns[2:]
-    ours = sorted(tuple(r) for r in got.collect())
-    theirs = sorted(con.sql(f"SELECT {', '.join(keys + values)} FROM ({sql})").fetchall())
-    assert [r[:2] for r in ours] == [r[:2] for r in theirs]
-    # a tie in the sixth place may be rounded either way
-    assert all(abs(x - y) < 2e-6 for a, b in zip(ours, theirs, strict=True) for x, y in zip(a[2:], b[2:], strict=True))
-
-
-def test_all_kinds_equal_sql_without_the_slice(spark, duck, crossing_tables):
-    sql = whole("orient_classify", " AND a.ax = b.ay AND a.mark <= b.mark")
-    for folder, con in ((DATA, duck), crossing_tables):
-        same_rows(catalogue.queries()["orient_classify_all"](spark, folder).where("kind <> 'none'"), con.sql(f"SELECT * FROM ({sql}) WHERE kind <> 'none'"))
-
-
 def test_kernels_run_over_all_questions(spark):
     q = catalogue.queries()
     paths = {r.id: r for r in q["astar_paths"](spark, DATA).collect()}
