@@ -4,14 +4,15 @@ Model.  For each id, order-2 and order-1 contexts each name the id that last fol
 them and how often they were right of late.  Those confidences choose counters whose
 mix with the block's own totals gives the odds of "order 2 right", "order 1 right" and
 "neither"; in the last case the id itself is drawn from adaptive order-0 tables of its
-high and low parts.  The three nested choices narrow one 64-bit range.
+high and low parts.  The three nested choices narrow one 64-bit range.  Contexts learn
+from every id; the odds and the order-0 tables follow at the end of short periods.
 
 Blocks.  Each block starts with empty models and carries a checksum, so it can be read
 alone.  Being independent, blocks are coded side by side: every model is an array with a
 row per block, and one array operation moves all of them one id ahead.
 
 File.  magic | block_tokens u32, low_bits u32, n_docs u64, n_tokens u64, n_blocks u32,
-index_bytes u32, index_crc u32 | index: zlib of doc ids i64 and lengths i64 |
+index_bytes u32, index_crc u32 | index: zlib of doc ids i64, lengths i64 and bits of null ids |
 per block: words u32, crc32 u32 | words u32.  All little-endian.
 """
 
@@ -25,83 +26,116 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._shared import Tables, bounded_batches, filesystem, partitions
-from .tokens import encoder
+from .tokens import CHUNK, encoder
 
 MAGIC = b"MLKTOK1\n"
 HEAD = struct.Struct("<IIQQIII")
-BLOCK_TOKENS = 4096
-LANES = 2048
+BLOCK_TOKENS = 2048
+#: Blocks that are coded side by side.
+LANES = 4096
 FILE_TOKENS = BLOCK_TOKENS * LANES
-SLOTS = 2048
+SLOTS = 1024
+#: Parts whose files are numbered together.
+NUMBERED = 1024
+#: Trust in either guess (0 to 3) and whether they agree.
+CONTEXTS = 32
+#: Steps between two makings of the mixed odds.
+PERIOD = 64
 UNIT = 1 << 10
 U32, U64 = np.uint32, np.uint64
+_SLOT_SHIFT = U32(32 - 10)
+_TRUST, _ID, _ONE, _TOP = U32(20), U32((1 << 20) - 1), U32(1 << 20), U32(3 << 20)
 _WORD = U64(32)
 _MASK = U64(0xFFFFFFFF)
 
 
 class _Models:
-    """Models of n blocks, moved ahead together; encoder and decoder hold the same state."""
+    """Models of n blocks, moved ahead together; encoder and decoder hold the same state.
+
+    What the contexts last saw changes with every id.  Mixed odds and order-0 tables are made anew at the end of each
+    period from what happened in it, so a step only looks them up.
+    """
 
     def __init__(self, n: int, low_bits: int, decoding: bool = False):
         self.n, self.low_bits, self.decoding = n, low_bits, decoding
         self.lane = np.arange(n)
-        self.guess = [np.zeros(n * SLOTS, U32) for _ in range(2)]
-        self.sure = [np.zeros(n * SLOTS, np.uint8) for _ in range(2)]
-        self.odds = np.ones(n * 96, np.int64)
-        self.total = np.ones(n * 3, np.int64)
-        self.lane3, self.lane96 = self.lane * 3, self.lane * 96
+        self.base = self.lane * SLOTS
+        self.seen_as = [np.zeros(n * SLOTS, U32) for _ in range(2)]  # trust << 20 | id
+        self.odds = np.ones((n, CONTEXTS, 3), np.int64)
         self.sizes = (256, 1 << low_bits)
-        self.seen = [np.ones(n * s, U32) for s in self.sizes]
-        self.tables = [None, None]
+        self.seen = [np.ones((n, s), np.int64) for s in self.sizes]
+        self.tables: list = [None, None]
         self.prev = np.zeros(n, U32)
-        self.slot = [self.lane * SLOTS, self.lane * SLOTS]
-        self.step = 0
+        self.slot = [self.base, self.base]
+        self.step = self.begun = 0
+        self.until = PERIOD
+        self.lane_context = self.lane * CONTEXTS
+        self.log_context = np.zeros((PERIOD, n), np.int64)
+        self.log_outcome = np.zeros((PERIOD, n), np.int8)
+        self.log_id = np.zeros((PERIOD, n), U32)
+        self._mix()
         self._rebuild()
 
+    def _mix(self) -> None:
+        """Shares of each context: its own counts and, with less weight, those of the block."""
+        weight = self.odds * 4 + self.odds.sum(1, keepdims=True) // 16 + 1
+        total = weight.sum(2)
+        f2 = 1 + weight[:, :, 0] * (UNIT - 3) // total
+        f1 = 1 + weight[:, :, 1] * (UNIT - 3) // total
+        self.shares = (f2 << 16 | f1).reshape(-1).astype(U32)
+
     def _rebuild(self) -> None:
         for k, s in enumerate(self.sizes):
-            seen = self.seen[k].reshape(self.n, s)
-            spare = UNIT - s
-            freq = (1 + seen * spare // seen.sum(1, keepdims=True)).astype(U32)
-            freq[self.lane, seen.argmax(1)] += (UNIT - freq.sum(1)).astype(U32)
-            start = np.cumsum(freq, 1, dtype=U32) - freq
-            inverse = np.repeat(np.tile(np.arange(s, dtype=np.int32), self.n), freq.reshape(-1)) if self.decoding else None
-            self.tables[k] = (start.reshape(-1).astype(U64), freq.reshape(-1).astype(U64), inverse)
-
-    def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            seen = self.seen[k]
+            freq = 1 + seen * (UNIT - s) // seen.sum(1, keepdims=True)
+            freq[self.lane, seen.argmax(1)] += UNIT - freq.sum(1)
+            start = np.cumsum(freq, 1) - freq
+            inverse = np.repeat(np.tile(np.arange(s, dtype=np.int16), self.n), freq.reshape(-1)) if self.decoding else None
+            self.tables[k] = ((start << 16 | freq).reshape(-1).astype(U32), inverse)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The two guesses and their shares of UNIT; what is left is the share of neither."""
-        (s2, s1), (a, b) = self.slot, self.guess
-        self.named = g2, g1 = a[s2], b[s1]
-        self.trust = c2, c1 = self.sure[0][s2], self.sure[1][s1]
-        c = self.context = self.lane96 + (c2.astype(np.int64) * 24 + c1.astype(np.int64) * 6 + (g2 == g1) * 3)
-        m2, m1 = self.odds[c] * 4 + self.total[self.lane3], self.odds[c + 1] * 4 + self.total[self.lane3 + 1]
-        scale = (UNIT - 3) / (m2 + m1 + self.odds[c + 2] * 4 + self.total[self.lane3 + 2])
-        return g2, g1, (1 + m2 * scale).astype(U64), (1 + m1 * scale).astype(U64)
+        self.found = a, b = self.seen_as[0][self.slot[0]], self.seen_as[1][self.slot[1]]
+        self.guess = g2, g1 = a & _ID, b & _ID
+        context = (a >> _TRUST) * U32(8) + (b >> _TRUST) * U32(2) + (g2 == g1)
+        self.context = self.lane_context + context
+        share = self.shares[self.context]
+        return g2, g1, (share >> U32(16)).astype(U64), (share & U32(0xFFFF)).astype(U64)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.odds[self.context + outcome] += 1
-        self.total[self.lane3 + outcome] += 1
+        at = self.step - self.begun
+        self.log_context[at], self.log_outcome[at], self.log_id[at] = self.context, outcome, ids
         for k in range(2):
-            slot, right, trust = self.slot[k], self.named[k] == ids, self.trust[k]
-            self.guess[k][slot] = np.where(right | (trust > 0), self.named[k], ids)
-            self.sure[k][slot] = np.where(right, np.minimum(trust + 1, 3), np.maximum(trust, 1) - 1)
-        new = (outcome == 2).astype(U32) * U32(24)
-        for k, part in enumerate((ids >> U32(self.low_bits), ids & U32(self.sizes[1] - 1))):
-            self.seen[k][self.lane * self.sizes[k] + part] += new
+            old = self.found[k]
+            up = np.minimum(old + _ONE, ids | _TOP)  # right: trusted more, up to 3
+            down = np.where(old >= _ONE, old - _ONE, ids)  # wrong: trusted less, or replaced
+            self.seen_as[k][self.slot[k]] = np.where(self.guess[k] == ids, up, down)
         mixed = ids * U32(0x9E3779B1)
-        self.slot = [self.lane * SLOTS + ((mixed ^ (self.prev * U32(0x85EBCA6B))) >> U32(21)), self.lane * SLOTS + (mixed >> U32(21))]
+        self.slot = [self.base + ((mixed ^ (self.prev * U32(0x85EBCA6B))) >> _SLOT_SHIFT), self.base + (mixed >> _SLOT_SHIFT)]
         self.prev = ids
         self.step += 1
-        if self.step & 511 == 0 or self.step in (16, 64, 256):
-            self._rebuild()
+        if self.step == self.until:
+            self._period()
+
+    def _period(self) -> None:
+        rows = self.step - self.begun
+        context, outcome, ids = self.log_context[:rows].reshape(-1), self.log_outcome[:rows].reshape(-1).astype(np.int64), self.log_id[:rows]
+        self.odds += np.bincount(context * 3 + outcome, minlength=self.n * CONTEXTS * 3).reshape(self.odds.shape)
+        self._mix()
         if self.step & 255 == 0:
             self.odds = (self.odds >> 1) + 1
-            self.total = (self.total >> 1) + 1
+        miss = np.flatnonzero(outcome == 2)
+        lane, x = miss % self.n, ids.reshape(-1)[miss]
+        for k, part in enumerate((x >> U32(self.low_bits), x & U32(self.sizes[1] - 1))):
+            self.seen[k] += 24 * np.bincount(lane * self.sizes[k] + part, minlength=self.n * self.sizes[k]).reshape(self.n, -1)
+        if self.step & 511 == 0 or self.step <= 256:
+            self._rebuild()
+        self.begun, self.until = self.step, self.step + PERIOD
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> tuple:
@@ -126,31 +160,33 @@ def encode_blocks(tokens: np.ndarray, low_bits: int) -> list[bytes]:
     columns = np.ascontiguousarray(tokens.T).astype(U32)
     m = _Models(n, low_bits)
     low, span = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
-    out, filled = np.zeros((n, 2 * steps + 8), "<u4"), np.zeros(n, np.int64)
+    out, filled = np.zeros(n * (2 * steps + 8), "<u4"), m.lane * (2 * steps + 8)
     for t in range(steps):
         ids = columns[t]
-        g2, g1, f2, f1 = m.shares()
-        outcome = np.where(g2 == ids, 0, np.where(g1 == ids, 1, 2))
-        start = np.where(outcome == 0, U64(0), np.where(outcome == 1, f2, f2 + f1))
-        share = np.where(outcome == 0, f2, np.where(outcome == 1, f1, U64(UNIT) - f2 - f1))
+        g2, g1, f2, f1 = m.predict()
+        right2, right1 = g2 == ids, g1 == ids
+        both = f2 + f1
+        start = np.where(right2, U64(0), np.where(right1, f2, both))
+        share = np.where(right2, f2, np.where(right1, f1, U64(UNIT) - both))
         start, size = start << U64(20), share << U64(20)
+        outcome = np.where(right2, 0, 2 - right1)
         miss = np.flatnonzero(outcome == 2)
         if len(miss):
-            x, lane, s = ids[miss], m.lane[miss], share[miss]
-            hi = lane * m.sizes[0] + (x >> U32(low_bits))
-            lo = lane * m.sizes[1] + (x & U32(m.sizes[1] - 1))
-            (hs, hf, _), (ls, lf, _) = m.tables
-            start[miss] += s * ((hs[hi] << U64(10)) + hf[hi] * ls[lo])
-            size[miss] = s * hf[hi] * lf[lo]
+            x, s = ids[miss], share[miss]
+            h = m.tables[0][0][miss * m.sizes[0] + (x >> U32(low_bits))]
+            k = m.tables[1][0][miss * m.sizes[1] + (x & U32(m.sizes[1] - 1))]
+            hs, hf, ls, lf = ((h >> U32(16)).astype(U64), (h & U32(0xFFFF)).astype(U64), (k >> U32(16)).astype(U64), (k & U32(0xFFFF)).astype(U64))
+            start[miss] += s * ((hs << U64(10)) + hf * ls)
+            size[miss] = s * hf * lf
         low, span, short, words = _narrow(low, span, start, size, span >> U64(30))
         if words is not None:
-            out[short, filled[short]] = words
+            out[filled[short]] = words
             filled[short] += 1
         m.learn(ids, outcome)
     for shift in (_WORD, U64(0)):
-        out[m.lane, filled] = ((low >> shift) & _MASK).astype(U32)
+        out[filled] = ((low >> shift) & _MASK).astype(U32)
         filled += 1
-    return [out[k, : filled[k]].tobytes() for k in range(n)]
+    return [out[a:b].tobytes() for a, b in zip((m.lane * (2 * steps + 8)).tolist(), filled.tolist(), strict=True)]
 
 
 def decode_blocks(blocks: list[bytes], steps: int, low_bits: int) -> np.ndarray:
@@ -168,29 +204,32 @@ def decode_blocks(blocks: list[bytes], steps: int, low_bits: int) -> np.ndarray:
     low, span = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
     out = np.zeros((steps, n), U32)
     for t in range(steps):
-        g2, g1, f2, f1 = m.shares()
+        g2, g1, f2, f1 = m.predict()
         unit = span >> U64(30)
         value = np.minimum((code - low) // unit, U64((1 << 30) - 1))
         region = value >> U64(20)
         both = f2 + f1
-        outcome = (region >= f2).astype(np.int64) + (region >= both)
-        ids = np.where(outcome == 0, g2, g1)
-        start = np.where(outcome == 0, U64(0), np.where(outcome == 1, f2, both)) << U64(20)
-        share = np.where(outcome == 0, f2, np.where(outcome == 1, f1, U64(UNIT) - both))
+        right2, right1 = region < f2, region < both
+        ids = np.where(right2, g2, g1)
+        start = np.where(right2, U64(0), np.where(right1, f2, both)) << U64(20)
+        share = np.where(right2, f2, np.where(right1, f1, U64(UNIT) - both))
         size = share << U64(20)
+        outcome = np.where(right2, 0, 2 - right1)
         miss = np.flatnonzero(outcome == 2)
         if len(miss):
-            lane, s = m.lane[miss], share[miss]
-            (hs, hf, hi_of), (ls, lf, lo_of) = m.tables
+            s = share[miss]
+            (h_of, hi_of), (l_of, lo_of) = m.tables
             q = (value[miss] - start[miss]) // s
-            hi = hi_of[lane * UNIT + (q >> U64(10)).astype(np.int64)]
-            h = lane * m.sizes[0] + hi
-            rest = (q - (hs[h] << U64(10))) // hf[h]
-            lo = lo_of[lane * UNIT + rest.astype(np.int64)]
-            k = lane * m.sizes[1] + lo
+            hi = hi_of[miss * UNIT + (q >> U64(10)).astype(np.int64)].astype(np.int64)
+            h = h_of[miss * m.sizes[0] + hi]
+            hs, hf = (h >> U32(16)).astype(U64), (h & U32(0xFFFF)).astype(U64)
+            rest = (q - (hs << U64(10))) // hf
+            lo = lo_of[miss * UNIT + rest.astype(np.int64)].astype(np.int64)
+            k = l_of[miss * m.sizes[1] + lo]
+            ls, lf = (k >> U32(16)).astype(U64), (k & U32(0xFFFF)).astype(U64)
             ids[miss] = (hi << low_bits) | lo
-            start[miss] += s * ((hs[h] << U64(10)) + hf[h] * ls[k])
-            size[miss] = s * hf[h] * lf[k]
+            start[miss] += s * ((hs << U64(10)) + hf * ls)
+            size[miss] = s * hf * lf
         low, span, short, emitted = _narrow(low, span, start, size, unit)
         if emitted is not None:
             code[short] = (code[short] << _WORD) | flat[at[short]]
@@ -200,8 +239,14 @@ def decode_blocks(blocks: list[bytes], steps: int, low_bits: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocabulary: int) -> bytes:
-    """One file.  vocabulary: ids are below it; 262,144 at most."""
+def _groups(n_blocks: int) -> list[tuple[int, int]]:
+    """Blocks that are coded side by side: as few groups as LANES allows, of one size."""
+    groups = -(-n_blocks // LANES)
+    return [(n_blocks * k // groups, n_blocks * (k + 1) // groups) for k in range(groups)]
+
+
+def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocabulary: int, null: np.ndarray | None = None) -> bytes:
+    """One file.  vocabulary: ids are below it; 131,072 at most.  null: where doc ids are null."""
     low_bits = max(8, (max(vocabulary, 2) - 1).bit_length() - 8)
     if low_bits > 9 or (len(tokens) and int(tokens.max()) >= vocabulary):
         raise ValueError("ids must be below the vocabulary, and that at most 131,072")
@@ -211,9 +256,10 @@ def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocab
     grid, blocks = padded.reshape(n_blocks, BLOCK_TOKENS), []
     if n_blocks == 1:
         grid = grid[:, : len(tokens)]
-    for k in range(0, n_blocks, LANES):
-        blocks += encode_blocks(grid[k : k + LANES], low_bits)
-    index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 6)
+    for a, b in _groups(n_blocks):
+        blocks += encode_blocks(grid[a:b], low_bits)
+    bits = np.packbits(np.zeros(len(doc_ids), bool) if null is None else null)
+    index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + bits.tobytes(), 6)
     head = HEAD.pack(BLOCK_TOKENS, low_bits, len(doc_ids), len(tokens), n_blocks, len(index), zlib.crc32(index))
     table = b"".join(struct.pack("<II", len(b) >> 2, zlib.crc32(b)) for b in blocks)
     return MAGIC + head + index + table + b"".join(blocks)
@@ -221,6 +267,11 @@ def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocab
 
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, lengths, ids of all documents); raises ValueError on a wrong checksum or magic."""
+    return parse(data)[:3]
+
+
+def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and where doc ids are null."""
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
     block_tokens, low_bits, n_docs, n_tokens, n_blocks, n_index, crc = HEAD.unpack_from(data, 8)
@@ -228,7 +279,8 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index = data[at : at + n_index]
     if zlib.crc32(index) != crc:
         raise ValueError("the document index is damaged")
-    both = np.frombuffer(zlib.decompress(index), "<i8")
+    raw = zlib.decompress(index)
+    both, null = np.frombuffer(raw[: 16 * n_docs], "<i8"), np.unpackbits(np.frombuffer(raw[16 * n_docs :], np.uint8), count=n_docs).astype(bool)
     at += n_index
     sizes = [struct.unpack_from("<II", data, at + 8 * k) for k in range(n_blocks)]
     at += 8 * n_blocks
@@ -240,15 +292,16 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blocks.append(b)
         at += 4 * words
     steps = n_tokens if n_blocks == 1 else block_tokens
-    parts = [decode_blocks(blocks[k : k + LANES], steps, low_bits).reshape(-1) for k in range(0, n_blocks, LANES)]
+    parts = [decode_blocks(blocks[a:b], steps, low_bits).reshape(-1) for a, b in _groups(n_blocks)]
     tokens = np.concatenate(parts)[:n_tokens] if parts else np.zeros(0, U32)
-    return both[:n_docs], both[n_docs:], tokens
+    return both[:n_docs], both[n_docs:], tokens, null
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int, vocabulary: int, tables: Tables) -> DataFrame:
     """Writes files in ascending doc_id order; returns (part int, file int, path, n_docs, n_tokens), one row each.
 
-    Null or empty text is end_id alone.  A file holds FILE_TOKENS ids at most and a few texts more; its name is
+    Null ids come first and stay null; rows of one id are in the order of their texts.  Null or empty text is end_id
+    alone.  Extra columns are left out; no rows make no files.  A file holds FILE_TOKENS ids at most and a few texts more; its name is
     unique to the attempt that wrote it, so a task that runs twice leaves a stray file and no wrong one.
     """
 
@@ -257,6 +310,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         ids: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
         n = made = 0
@@ -266,19 +320,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
             name = f"part-{part:06d}-{made:04d}-{uuid.uuid4().hex[:12]}.mlk"
             doc_ids, sizes, flat = np.concatenate(ids), np.concatenate(lengths), np.concatenate(tokens)
             with fs.open_output_stream(f"{root}/{name}") as f:
-                f.write(to_bytes(doc_ids, sizes, flat, vocabulary))
+                f.write(to_bytes(doc_ids, sizes, flat, vocabulary, np.concatenate(nulls)))
             row = [part], [made], [f"{folder}/{name}"], [len(doc_ids)], [len(flat)]
-            for x in (ids, lengths, tokens):
+            for x in (ids, nulls, lengths, tokens):
                 x.clear()
             n, made = 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for i, j, buf, offsets in X.text_chunks(batch.column("text")):
+            for i, j, buf, offsets in X.text_chunks(batch.column("text"), CHUNK):
                 found, bounds = enc.encode(buf, offsets)
                 sizes = np.diff(bounds)
                 ended = np.insert(found, bounds[1:], U32(end_id))
-                ids.append(batch.column("doc_id")[i:j].to_numpy(zero_copy_only=False))
+                names = batch.column("doc_id")[i:j]
+                nulls.append(names.is_null().to_numpy(zero_copy_only=False))
+                ids.append(names.fill_null(0).to_numpy(zero_copy_only=False))
                 lengths.append(sizes + 1)
                 tokens.append(ended)
                 n += len(ended)
@@ -287,37 +343,41 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
         if ids:
             yield flush()
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(bounded_batches(docs)), "doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(bounded_batches(docs)), "doc_id").sortWithinPartitions("doc_id", "text")
     return tables.save(ranged.mapInArrow(run, "part int, file int, path string, n_docs long, n_tokens long"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids binary) of every document in the files, which are read in order.
 
-    Only the list of files comes to the driver, to number their first ids.
+    The driver gets a number for every NUMBERED parts, to know the first id of each; the rest is summed by window.
     """
     spark = files.sparkSession
-    listed = sorted((r.part, r.file, r.path, r.n_tokens) for r in files.collect())
-    rows, start = [], 0
-    for _, _, path, n in listed:
-        rows.append((path, start))
+    group = F.floor(F.col("part") / NUMBERED).alias("group")
+    sums = sorted(tuple(r) for r in files.groupBy(group).agg(F.sum("n_tokens"), F.count("*")).collect())
+    starts, start = [], 0
+    for k, n, _ in sums:
+        starts.append((k, start))
         start += n
+    before = Window.partitionBy("group").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.broadcast(spark.createDataFrame(starts, "group long, base long"))
+    listed = files.withColumn("group", group).join(base, "group").select("path", (F.col("base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
-                    doc_ids, lengths, tokens = from_bytes(f.read())
+                    doc_ids, lengths, tokens, null = parse(f.read())
                 stops = np.cumsum(lengths)
                 data = tokens.astype("<u4").tobytes()
                 for k in range(0, len(doc_ids), 2048):
                     part = slice(k, k + 2048)
                     blobs = [data[4 * a : 4 * b] for a, b in zip((stops - lengths)[part].tolist(), stops[part].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[part], pa.int64()), pa.array((stops - lengths)[part] + first, pa.int64()), pa.array(lengths[part], pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
+                        [pa.array(doc_ids[part], pa.int64(), mask=null[part]), pa.array((stops - lengths)[part] + first, pa.int64()), pa.array(lengths[part], pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    frame = spark.createDataFrame(rows, "path string, first long").repartition(max(1, len(rows)))
+    frame = listed.repartition(max(1, sum(r[2] for r in sums)))
     return frame.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -15,8 +15,10 @@ import numpy as np
 
 from . import _text as X
 
-#: Distinct pieces kept between chunks in one Python worker.
-CACHE_PIECES = 600_000
+#: Distinct pieces kept between chunks in one Python worker, about 40 bytes each.
+CACHE_PIECES = 1_500_000
+#: Bytes of text that are encoded together.
+CHUNK = 4 << 20
 
 _SOLID = np.zeros(256, bool)  # bytes that surely begin a character that isn't white space
 _SOLID[0x21:0x7F] = True
@@ -26,8 +28,32 @@ _ASCII_SOLID = np.zeros(256, bool)
 _ASCII_SOLID[0x21:0x7F] = True
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
+
+def _marks_apart(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A mark at the end of a piece, behind an ASCII letter, becomes a piece of its own, as in any pre-tokenisation."""
+    last = ends - 1
+    marked = np.flatnonzero((ends - starts > 1) & _MARK[buf[last]])
+    marked = marked[_LETTER[buf[last[marked] - 1]]]
+    if not len(marked):
+        return starts, ends, rows
+    at = marked + np.arange(1, len(marked) + 1)  # places of the marks among all pieces
+    n = len(starts) + len(marked)
+    word = np.ones(n, bool)
+    word[at] = False
+    out = np.empty((3, n), np.int64)
+    out[:, word] = starts, ends, rows
+    out[:, at] = last[marked], ends[marked], rows[marked]
+    out[1, at - 1] -= 1
+    return out[0], out[1], out[2]
+
+
 def word_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return X.word_spans(buf, offsets)
+    return _marks_apart(buf, *X.word_spans(buf, offsets))
 
 
 def byte_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +77,7 @@ def byte_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     cut[offsets] = True
     starts = np.flatnonzero(cut[:n])
     ends = np.append(starts[1:], n)
-    return starts, ends, X.rows_of(starts, offsets)
+    return _marks_apart(buf, starts, ends, X.rows_of(starts, offsets))
 
 
 def _byte_names() -> list[str]:
@@ -66,7 +92,10 @@ PIECES = {"byte": byte_pieces, "word": word_pieces}
 
 
 class Encoder:
-    """encode(buf, offsets) -> (ids uint32 of all rows, bounds): row r has ids[bounds[r]:bounds[r+1]]."""
+    """encode(buf, offsets) -> (ids uint32 of all rows, bounds): row r has ids[bounds[r]:bounds[r+1]].
+
+    Pieces are known by 64-bit hashes; the ids of known ones are looked up by array operations.
+    """
 
     def __init__(self, path: str, kind: str):
         import os
@@ -76,53 +105,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.cache, self.byte = PIECES[kind], {}, kind == "byte"
+        self.pieces, self.byte = PIECES[kind], kind == "byte"
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Most pieces are a word of Latin letters, with a mark behind it at most: one pre-token each, which goes to
-        the library's BPE model directly.  Any other piece goes through the whole tokenizer."""
-        model, rest = self.tokenizer.model, []
-        for piece in missing:
-            text = piece.decode("utf-8", "replace")
-            word, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
-            letters = word[1:] if self.byte and word[:1] == " " else word
-            if not letters.isalpha() or max(letters) > "\xff":
-                rest.append((piece, text))
-                continue
-            form = word if self.byte else word.lower()
-            if not form.isascii() or self.byte:
-                form = "".join([BYTE_NAMES[c] for c in form.encode()])
-            ids = [t.id for t in model.tokenize(form)]
-            if mark:
-                ids += self.marks[mark]
-            self.cache[piece] = array("I", ids).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.heads, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, missing: list[bytes]) -> list[bytes]:
+        """Most pieces are a word of Latin letters: one pre-token each, which goes to the library's BPE model directly.
+        Any other piece goes through the whole tokenizer."""
+        tokenize, rest, out = self.tokenizer.model.tokenize, [], []
+        blank = BYTE_NAMES[32]
+        for k, piece in enumerate(missing):
+            if self.byte and piece[:1] == b" ":
+                word, form = piece[1:], blank
+            else:
+                word, form = piece, ""
+            if word.isalpha():  # ASCII letters
+                form += word.decode() if self.byte else word.lower().decode()
+            else:
+                text = piece.decode("utf-8", "replace")
+                word, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+                letters = word[1:] if self.byte and word[:1] == " " else word
+                if mark or not letters.isalpha() or max(letters) > "\xff":
+                    rest.append((k, text))
+                    out.append(b"")
+                    continue
+                form = "".join([BYTE_NAMES[c] for c in (word if self.byte else word.lower()).encode()])
+            out.append(array("I", [t.id for t in tokenize(form)]).tobytes())
         if rest:
             found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-            for (piece, _), one in zip(rest, found, strict=True):
-                self.cache[piece] = array("I", one.ids).tobytes()
+            for (k, _), one in zip(rest, found, strict=True):
+                out[k] = array("I", one.ids).tobytes()
+        return out
+
+    def _learn(self, keys: np.ndarray, missing: list[bytes]) -> None:
+        found = self._ids(missing)
+        new = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(new), np.uint32)])
+        self.flat[self.used : self.used + len(new)] = new
+        heads = self.used + np.cumsum(sizes) - sizes
+        self.used += len(new)
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.heads, self.sizes = all_keys[order], np.concatenate([self.heads, heads])[order], np.concatenate([self.sizes, sizes])[order]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, rows = self.pieces(buf, offsets)
         n_rows = len(offsets) - 1
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n_rows + 1, np.int64)
-        keys = X.hash_spans(X.prefix_hash(buf), starts, ends)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        found = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        missing = [p for p in found if p not in self.cache]
-        if missing:
-            self._learn(missing)
-        parts = [self.cache[p] for p in found]
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        heads = np.cumsum(sizes) - sizes
-        lengths = sizes[inverse]
+        keys, first, inverse = np.unique(X.hash_spans(X.prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        at = self._find(keys)
+        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(missing):
+            data = buf.tobytes()
+            self._learn(keys[missing], [data[s:e] for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
+            at = self._find(keys)
+        lengths = self.sizes[at][inverse]
         stops = np.cumsum(lengths)
-        ids = flat[np.arange(stops[-1]) + np.repeat(heads[inverse] - (stops - lengths), lengths)]
+        ids = self.flat[np.arange(stops[-1]) + np.repeat(self.heads[at][inverse] - (stops - lengths), lengths)]
         per_row = np.bincount(rows, weights=lengths, minlength=n_rows).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_row)])
 
