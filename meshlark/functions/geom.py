@@ -270,3 +270,14 @@ def winding_part(a: P, b: P, p: P) -> Column:
     """What the edge ab adds to the winding number about p."""
     side = area2(a, b, p)
     return F.when((a.y <= p.y) & (b.y > p.y) & (side > 0), 1).when((b.y <= p.y) & (a.y > p.y) & (side < 0), -1).otherwise(0)
+
+
+def holed_area(ring: Column, holes: Column) -> Column:
+    """The area of a ring less that of its holes (array of rings), 0 at least."""
+    whole = F.abs(ring_area2(ring))
+    return F.greatest(F.aggregate(holes, whole, lambda acc, h: acc - F.abs(ring_area2(h))), F.lit(0.0)) / 2
+
+
+def holed_contains(ring: Column, holes: Column, p: P) -> Column:
+    """In the ring, border included, and in no hole, where the border counts as the hole's."""
+    return ring_contains(ring, p) & ~F.exists(holes, lambda h: ring_contains(h, p))

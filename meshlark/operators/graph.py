@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import Tables
@@ -38,3 +38,27 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         return graph.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     roots = found.select(F.col("up").alias("node")).distinct().withColumn("root", F.col("node"))
     return found.select("node", F.col("up").alias("root")).unionByName(roots)
+
+
+def ranked(df: DataFrame, order: list[str], value: str | None = None) -> DataFrame:
+    """df with rank (from 0 in the order of the columns) and, with value, before: its sum over the rows in front.
+
+    Rows are sorted by ranges; windows run within a range, and only counts and sums per range meet on the driver.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = Tables(spark)
+    dealt = tables.save(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    what = F.sum(value) if value else F.lit(0)
+    sizes = sorted(tuple(r) for r in dealt.groupBy("_part").agg(F.count("*"), what).collect())  # a row per range
+    real = bool(value) and dict(df.dtypes)[value] in ("double", "float")
+    starts, rank, total = [], 0, 0.0 if real else 0
+    for part, count, add in sizes:
+        starts.append((part, rank, total))
+        rank, total = rank + count, total + (add or 0)
+    base = F.broadcast(spark.createDataFrame(starts, f"_part int, _rank long, _before {'double' if real else 'long'}"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    out = dealt.join(base, "_part").withColumn("rank", F.col("_rank") + F.row_number().over(w) - 1)
+    if value:
+        out = out.withColumn("before", F.col("_before") + F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return out.drop("_part", "_rank", "_before")

@@ -231,3 +231,26 @@ def read_pbm(spark: SparkSession, path: str) -> DataFrame:
     """(path, col, row, walkable) of every PBM file of a path that Spark can read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_pbm_rows, "path string, col long, row long, walkable boolean")
+
+
+def format_pbm(width: int, height: int, walkable: np.ndarray) -> bytes:
+    """A binary PBM (P4) of walkable[row, col] with row 0 at the bottom."""
+    return b"P4\n%d %d\n" % (width, height) + np.packbits(walkable[::-1].astype(np.uint8), axis=1).tobytes()
+
+
+def write_pbm(cells: DataFrame, folder: str) -> None:
+    """A file for each grid of cells (grid_id, col, row, walkable), by Spark's executors; a grid is one task's.
+
+    Cells that are not there are walls; the grid reaches to the largest column and row that are.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        col, row = table.column("col").to_numpy(), table.column("row").to_numpy()
+        field = np.zeros((int(row.max()) + 1, int(col.max()) + 1), bool)
+        field[row, col] = table.column("walkable").to_numpy(zero_copy_only=False)
+        data = format_pbm(field.shape[1], field.shape[0], field)
+        return pa.table({"name": pa.array([f"grid-{table.column('grid_id')[0].as_py()}.pbm"]), "content": pa.array([data], pa.binary())})
+
+    from ..sources.files import write_files
+
+    write_files(cells.select("grid_id", "col", "row", "walkable").groupBy("grid_id").applyInArrow(run, "name string, content binary"), folder)

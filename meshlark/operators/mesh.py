@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..plans.storage import Tables
-from .graph import components
+from .graph import components, ranked
 
 
 def edges(tris: DataFrame) -> DataFrame:
@@ -61,8 +61,7 @@ def regions(adj: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     free = portals(adj, wall_edges(adj, closed)).where("nbr < tid").select(F.col("tid").alias("a"), F.col("nbr").alias("b"))
     root = components(free, tables).withColumnRenamed("node", "tid")
     found = tables.save(adj.select("tid").distinct().join(root, "tid", "left").select("tid", F.coalesce("root", "tid").alias("r")))
-    # the window orders one row per region
-    names = found.select("r").distinct().withColumn("region", F.row_number().over(Window.orderBy("r")) - 1)
+    names = ranked(found.select("r").distinct(), ["r"]).withColumnRenamed("rank", "region")
     return found.join(names, "r").select("tid", F.col("region").cast("long").alias("region"))
 
 
@@ -119,18 +118,25 @@ def merge_segments(segments: DataFrame) -> DataFrame:
     )
 
 
-def sample_points(tris: DataFrame, draws: DataFrame) -> DataFrame:
+def flipped(tris: DataFrame) -> DataFrame:
+    """Triangles with their second and third corner exchanged, so of the other winding."""
+    v = F.array(F.col("v")[0], F.col("v")[2], F.col("v")[1])
+    return tris.withColumns({"v": v, **{f"{k}{x}": F.col(f"{o}{x}") for k, o in (("b", "c"), ("c", "b")) for x in "xy"}})
+
+
+def sample_points(tris: DataFrame, draws: DataFrame, among: Column | None = None) -> DataFrame:
     """draws (id, u0, u1, u2 in [0,1)) with tid, x, y: a triangle by area, then a point in it, folded from the square.
 
-    The running area is a window over triangles; draws meet it by a range of equal shares, so each pair is bucketed.
+    among: a condition on the triangles, such as a region.  The running area comes from sorted ranges; draws meet it
+    by a range of equal shares, so each pair is bucketed.
     """
     a, b, c = corners()
-    w = Window.orderBy("tid").rowsBetween(Window.unboundedPreceding, 0)
     area = F.abs(tri_area2()).cast("double")
-    run = tris.where(tri_area2() != 0).select("tid", *[f"{k}{d}" for k in "abc" for d in "xy"], area.alias("area")).withColumn("top", F.sum("area").over(w))
-    total = F.max("top").over(Window.partitionBy())
+    held = tris.where(tri_area2() != 0) if among is None else tris.where((tri_area2() != 0) & among)
+    run = ranked(held.select("tid", *[f"{k}{d}" for k in "abc" for d in "xy"], area.alias("area")), ["tid"], "area").withColumnRenamed("before", "low")
+    total = run.agg(F.max(F.col("low") + F.col("area"))).first()[0] or 0.0
     shares = 1024
-    run = run.withColumn("total", total).withColumns({"low": F.col("top") - F.col("area")})
+    run = run.withColumns({"top": F.col("low") + F.col("area"), "total": F.lit(total)})
     spread = run.withColumn("share", F.explode(F.sequence(F.floor(F.col("low") / F.col("total") * shares), F.floor(F.col("top") / F.col("total") * shares))))
     pick = draws.withColumn("share", F.floor(F.col("u0") * shares)).join(spread, "share")
     t = F.col("u0") * F.col("total")

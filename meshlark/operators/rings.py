@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
+from ..kernels import outlines
 from . import spatial
 
 
@@ -58,14 +60,41 @@ def collinear_pass(rings: DataFrame) -> DataFrame:
 def stair_middles(rings: DataFrame) -> DataFrame:
     """(ring_id, seq) of the middles of staircases: between two perpendicular unit steps, the step before
     going the same way as the step after."""
-    w = Window.partitionBy("ring_id").orderBy("seq")
-    n = F.count("*").over(Window.partitionBy("ring_id"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = rings.withColumns({"n": n, "all": F.collect_list(F.struct("x", "y")).over(whole), "i": F.row_number().over(w) - 1}).where("n >= 4")
-    at = lambda k: G.field(F.get("all", F.pmod(F.col("i") + k, F.col("n").cast("int"))))
-    before, into, out = at(-1) - at(-2), at(0) - at(-1), at(1) - at(0)
-    unit = reduce(lambda p, q: p & q, [v.length_sq() == 1 for v in (before, into, out)])
-    return r.where(unit & (into.dot(out) == 0) & before.equals(out)).select("ring_id", "seq")
+    w = Window.partitionBy("ring_id")
+    r = rings.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("seq")) - 1}).where("n >= 4")
+    # the last two points come once more in front, the first one behind, so that neighbours need no wrapping
+    turned = F.array(F.col("i"), F.when(F.col("i") >= F.col("n") - 2, F.col("i") - F.col("n")), F.when(F.col("i") == 0, F.col("n")))
+    r = r.select("ring_id", "seq", "x", "y", "n", F.explode(F.filter(turned.cast("array<long>"), lambda k: k.isNotNull())).alias("i"))
+    w = w.orderBy("i")
+    step = lambda k: G.P(F.lead("x", k).over(w) - F.lead("x", k - 1).over(w), F.lead("y", k).over(w) - F.lead("y", k - 1).over(w))
+    legs = {f"{n}{c}": v for n, k in (("a", -1), ("b", 0), ("c", 1)) for c, v in zip("xy", step(k), strict=True)}
+    r = r.withColumns(legs).where("i >= 0 and i < n")
+    before, into, out = (G.point(f"{n}x", f"{n}y") for n in "abc")
+    unit = (into.length_sq() == 1) & (out.length_sq() == 1) & (into.dot(out) == 0)
+    return r.where(unit & (before.cross(out) == 0) & (before.dot(out) > 0)).select("ring_id", "seq")
+
+
+def finish(rings: DataFrame, smooth: bool = True, offset: float = 0.0) -> DataFrame:
+    """(ring_id, points array<struct<x,y>>, inside struct<x,y>, moved array<struct<x,y>>): each ring without stairs (if
+    asked for) and straight points, a point inside, and the ring moved to its left; null where a ring has no area.
+    A ring is one task's; rings that come to fewer than three points have no row."""
+    xy = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    as_rows = lambda ring: None if ring is None else [{"x": x, "y": y} for x, y in ring]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("seq").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True))
+        ring = [(x, y) for _, x, y in rows]
+        ring = outlines.straight_out(outlines.smooth(ring) if smooth else ring)
+        held = len(ring) >= 3
+        inside = outlines.inside_point(ring) if held else None
+        return pa.table({
+            "ring_id": pa.array([table.column("ring_id")[0].as_py()] * held, pa.int64()), "points": pa.array([as_rows(ring)] * held, pa.list_(xy)),
+            "inside": pa.array([inside and {"x": inside[0], "y": inside[1]}] * held, xy), "moved": pa.array([as_rows(outlines.moved_left(ring, offset))] * held, pa.list_(xy)),
+        })
+
+    kind = "struct<x:double,y:double>"
+    picked = rings.select("ring_id", "seq", F.col("x").cast("double"), F.col("y").cast("double"))
+    return picked.groupBy("ring_id").applyInArrow(run, f"ring_id long, points array<{kind}>, inside {kind}, moved array<{kind}>")
 
 
 def parents(holes: DataFrame, rings: DataFrame, size: float) -> DataFrame:

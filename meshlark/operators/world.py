@@ -53,6 +53,11 @@ def locate(points: DataFrame, tris: DataFrame, size: float) -> DataFrame:
     return found.select(*points.columns, F.col("tid.tile").alias("tile"), F.col("tid.tid").alias("tid"))
 
 
+def metadata_at(points: DataFrame, tris: DataFrame, meta: DataFrame, size: float) -> DataFrame:
+    """points with tid and the columns that meta (tid, ...) has for it, null outside the mesh or without an entry."""
+    return spatial.locate(points, tris, size).join(meta, "tid", "left")
+
+
 class TiledMesh:
     """Meshes by tile with links between triangles of different tiles; a node is (tile, triangle)."""
 

@@ -83,3 +83,69 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     none = F.array().cast(f"array<{ring}>")
     both = [s.select("path", F.lit(h).alias("hole"), F.posexplode(c).alias("ring_id", "ring")) for h, c in ((False, F.concat(outer, F.coalesce("perimeters", none))), (True, F.coalesce("holes", none)))]
     return both[0].unionByName(both[1]).select("path", "ring_id", "hole", F.posexplode("ring").alias("seq", "p")).select("path", "ring_id", "hole", "seq", "p.x", "p.y")
+
+
+class SaveError(Exception):
+    """What kept a file from being written: kind is unmapped_vertex, empty or folder."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
+def _put(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        uri = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
+        system, root = fs.FileSystem.from_uri(uri)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content").to_pylist(), strict=True):
+                if not name or "/" in name:
+                    raise SaveError("folder", f"{name!r} is no name of a file")
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content or b"")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], ["name", "n_bytes"])
+
+    return run
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes (name, content binary) as files of the folder, by executors; returns how many.  A task that runs again
+    writes the same bytes to the same names."""
+    return rows.select("name", "content").mapInArrow(_put(folder), "name string, n_bytes long").count()
+
+
+def _text(kind: str, base: int, marks: bool):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["id"])
+        of = lambda k: [r for r in rows if r["kind"] == k]
+        place = {r["id"]: k for k, r in enumerate(of("vertex"))}
+        if kind != "node" and any(r[c] not in place for r in of("segment") + of("triangle") for c in ("a", "b")):
+            raise SaveError("unmapped_vertex", "a segment or triangle names a vertex that is not there")
+        g = formats.Graph([(r["x"], r["y"]) for r in of("vertex")], [r["mark"] or 0 for r in of("vertex")], [(place[r["a"]], place[r["b"]]) for r in of("segment")] if kind == "poly" else [], [r["mark"] or 0 for r in of("segment")] if kind == "poly" else [], [(r["x"], r["y"]) for r in of("hole")])
+        text = formats.format_node(g, base, marks) if kind == "node" else formats.format_poly(g, base, marks)
+        return pa.table({"graph_id": pa.array([rows[0]["graph_id"]], pa.int64()), "content": pa.array([text])})
+
+    return run
+
+
+def graph_text(rows: DataFrame, kind: str = "poly", base: int = 1, marks: bool = True) -> DataFrame:
+    """(graph_id, content string): the .node or .poly text of each graph (graph_id, kind, id, x, y, a, b, mark), rows
+    in the order of their ids; a graph is one task's.  SaveError where a segment names no vertex."""
+    if kind not in ("node", "poly"):
+        raise SaveError("folder", f"no text of kind {kind}")
+    return rows.groupBy("graph_id").applyInArrow(_text(kind, base, marks), "graph_id long, content string")
+
+
+def ele_text(tris: DataFrame, base: int = 1) -> DataFrame:
+    """(mesh_id, content string): the .ele text of each mesh (mesh_id, tid, v) whose corners are numbered from 0."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["tid"])
+        return pa.table({"mesh_id": pa.array([rows[0]["mesh_id"]], pa.int64()), "content": pa.array([formats.format_ele([tuple(r["v"]) for r in rows], base)])})
+
+    return tris.select("mesh_id", "tid", "v").groupBy("mesh_id").applyInArrow(run, "mesh_id long, content string")

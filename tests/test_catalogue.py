@@ -1,7 +1,7 @@
 import pytest
 from support import DATA, same_rows
 
-from meshlark.plans import catalogue
+from meshlark.plans import catalogue, geometry_queries  # noqa: F401
 
 SQL = catalogue.oracle_sql()
 
