@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..kernels.search import Mesh
+from ..plans.storage import Tables
 from . import navigation, spatial
 
 
@@ -17,7 +18,9 @@ from . import navigation, spatial
 class Settings:
     headings: int = 16
     horizon: float = 2.0
-    arrive: float = 0.3
+    arrive: float = 0.3  # of a goal
+    corner: float = 0.25  # of a corner of the route
+    hold: float = 0.5  # share of the top speed with which an agent without a way gives room
     cell: float = 2.0
     reach: int = 1
     align: float = 1.0
@@ -29,12 +32,21 @@ class Settings:
 SCHEMA = "id long, x double, y double, vx double, vy double, radius double, max_speed double, priority double, gx double, gy double, route array<struct<x:double,y:double>>, stuck int"
 
 
-def plan(agents: DataFrame, mesh: Mesh, settings: Settings) -> DataFrame:
-    """Agents that have a goal and no route, or are stuck, get one; arrived goals are cleared."""
+def plan(agents: DataFrame, mesh: Mesh, settings: Settings, tris: DataFrame | None = None) -> DataFrame:
+    """Agents that have a goal and no route (null), or are stuck, get one; arrived goals are cleared.
+
+    With tris, agents off the mesh are put on its nearest place and their route is given up first.  A route without
+    corners left leads straight to the goal; where no way is found the route stays null.
+    """
+    if tris is not None:
+        on = spatial.nearest_triangle(agents.select("id", "x", "y"), tris, max(settings.cell, 4.0)).select("id", "qx", "qy", (F.col("d2") > 0).alias("off"))
+        off = F.coalesce("off", F.lit(False))
+        moved = {"route": F.when(~off, F.col("route")), "x": F.when(off, F.col("qx")).otherwise(F.col("x")), "y": F.when(off, F.col("qy")).otherwise(F.col("y"))}
+        agents = agents.join(on, "id", "left").withColumns(moved).drop("qx", "qy", "off")
     gap = G.point("x", "y").distance(G.point("gx", "gy"))
     arrived = F.coalesce(gap <= settings.arrive, F.lit(False))
     a = agents.withColumns({c: F.when(~arrived, F.col(c)) for c in ("gx", "gy")}).withColumn("route", F.when(F.col("gx").isNotNull(), F.col("route")))
-    asks = F.col("gx").isNotNull() & ((F.coalesce(F.size("route"), F.lit(0)) < 1) | (F.col("stuck") >= settings.stuck_ticks))
+    asks = F.col("gx").isNotNull() & (F.col("route").isNull() | (F.col("stuck") >= settings.stuck_ticks))
     asked = a.where(asks).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), "gx", "gy")
     found = navigation.find_paths(asked, mesh).where("status = 'ok'").select("id", F.expr("slice(points, 2, size(points))").alias("found"))
     out = a.join(found, "id", "left")
@@ -59,35 +71,71 @@ def penalties(agents: DataFrame, choices: DataFrame, settings: Settings) -> Data
     return near.groupBy("id", "k").agg(F.max(pen).alias("penalty"))
 
 
+def _wanted(agents: DataFrame) -> DataFrame:
+    """agents with wx, wy: the unit vector to the next corner or the goal; zero for those without a way."""
+    corner = G.field(F.get("route", F.lit(0)))
+    to = G.P(F.coalesce(corner.x, F.col("gx")), F.coalesce(corner.y, F.col("gy"))) - G.point("x", "y")
+    unit, has = to.unit_or_zero(), F.col("gx").isNotNull() & F.col("route").isNotNull()
+    return agents.withColumns({"wx": F.when(has, unit.x).otherwise(0.0), "wy": F.when(has, unit.y).otherwise(0.0)})
+
+
 def choose(agents: DataFrame, settings: Settings) -> DataFrame:
     """(id, nvx, nvy): of a stop and a fan of headings about the wanted one, the best by direction less penalty;
-    the first on ties."""
-    to = G.field(F.get("route", F.lit(0))) - G.point("x", "y")
-    unit = to.unit_or_zero()
-    want = agents.withColumns({"wx": F.coalesce(unit.x, F.lit(0.0)), "wy": F.coalesce(unit.y, F.lit(0.0))})
+    the first on ties.  Agents that want nowhere hold their place and give room."""
+    want = _wanted(agents)
+    going = (F.col("wx") != 0) | (F.col("wy") != 0)
     half = settings.headings // 2
     turns = [0.0] + [s * math.pi * k / half for k in range(1, half + 1) for s in (1, -1)]
     fan = [F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))]
     for k, turn in enumerate(turns[: 2 * half], 1):
         c, s = math.cos(turn), math.sin(turn)
         fan.append(F.struct(F.lit(k).alias("k"), ((F.col("wx") * c - F.col("wy") * s) * F.col("max_speed")).alias("cx"), ((F.col("wx") * s + F.col("wy") * c) * F.col("max_speed")).alias("cy")))
-    choices = want.select("id", "wx", "wy", "max_speed", F.explode(F.array(*fan)).alias("f")).select("id", "wx", "wy", "max_speed", "f.k", "f.cx", "f.cy")
+    choices = want.where(going).select("id", "wx", "wy", "max_speed", F.explode(F.array(*fan)).alias("f")).select("id", "wx", "wy", "max_speed", "f.k", "f.cx", "f.cy")
     scored = choices.join(penalties(agents, choices.select("id", "k", "cx", "cy"), settings), ["id", "k"], "left")
     along = F.coalesce(F.try_divide(F.col("cx") * F.col("wx") + F.col("cy") * F.col("wy"), F.col("max_speed")), F.lit(0.0))
     score = settings.align * along - settings.avoid * F.coalesce("penalty", F.lit(0.0))
     best = scored.groupBy("id").agg(F.max_by(F.struct("cx", "cy"), F.struct(score, -F.col("k"))).alias("v"))
-    return best.select("id", F.col("v.cx").alias("nvx"), F.col("v.cy").alias("nvy"))
+    moving = best.select("id", F.col("v.cx").alias("nvx"), F.col("v.cy").alias("nvy"))
+    return moving.unionByName(hold(agents, want.where(~going).select("id"), settings))
+
+
+def hold(agents: DataFrame, holders: DataFrame, settings: Settings) -> DataFrame:
+    """(id, nvx, nvy) of agents (id) that hold their place: those that overlap others move out along the sum of the
+    separations, each weighted by its depth; others make the least penalised small move, none if none is better."""
+    other = agents.select(F.col("id").alias("other"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), F.col("radius").alias("o_radius"))
+    near = spatial.neighbours(agents.select("id", "x", "y"), settings.cell, settings.reach).join(holders, "id").join(agents.select("id", "x", "y", "radius"), "id").join(other, "other")
+    away = G.point("x", "y") - G.point("o_x", "o_y")
+    gap, turn = away.length(), F.col("id") * (math.pi * (3 - math.sqrt(5)))
+    apart = gap > 1e-6  # agents at one place part by the golden angle
+    deep = near.withColumn("depth", F.col("radius") + F.col("o_radius") - gap).where("depth > 0")
+    parts = [F.when(apart, F.try_divide(c, gap)).otherwise(f(turn)) * F.col("depth") for c, f in ((away.x, F.cos), (away.y, F.sin))]
+    push = deep.groupBy("id").agg(F.sum(parts[0]).alias("px"), F.sum(parts[1]).alias("py"))
+    n = max(settings.headings, 4)
+    speed = F.col("max_speed") * settings.hold
+    moves = [F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))]
+    moves += [F.struct(F.lit(k + 1).alias("k"), (speed * math.cos(2 * math.pi * k / n)).alias("cx"), (speed * math.sin(2 * math.pi * k / n)).alias("cy")) for k in range(n)]
+    held = agents.join(holders, "id").select("id", "max_speed", F.explode(F.array(*moves)).alias("m")).select("id", "max_speed", "m.k", "m.cx", "m.cy")
+    scored = held.join(penalties(agents, held.select("id", "k", "cx", "cy"), settings), ["id", "k"], "left")
+    best = scored.groupBy("id", "max_speed").agg(F.min_by(F.struct("cx", "cy"), F.struct(F.coalesce("penalty", F.lit(0.0)), "k")).alias("v"))
+    out = G.point("px", "py").unit_or_zero()
+    pressed = F.coalesce(G.point("px", "py").length_sq() > 1e-12, F.lit(False))
+    both = best.join(push, "id", "left")
+    return both.select("id", *[F.when(pressed, u * speed).otherwise(v).alias(c) for u, v, c in ((out.x, F.col("v.cx"), "nvx"), (out.y, F.col("v.cy"), "nvy"))])
 
 
 def tick(agents: DataFrame, mesh: Mesh, tris: DataFrame, dt: float, settings: Settings = Settings()) -> DataFrame:
     """The agents (SCHEMA) after dt: routes, velocities, moves; a move off the mesh ends at its nearest point."""
-    planned = plan(agents, mesh, settings)
-    moved = planned.join(choose(planned, settings), "id").withColumns({"px": F.col("x"), "py": F.col("y"), "vx": F.col("nvx"), "vy": F.col("nvy"), "x": F.col("x") + F.col("nvx") * dt, "y": F.col("y") + F.col("nvy") * dt}).drop("nvx", "nvy")
+    tables = Tables(agents.sparkSession)  # each step is read several times by the next
+    planned = tables.save(plan(tables.save(agents), mesh, settings, tris))
+    moved = planned.join(tables.save(choose(planned, settings)), "id").withColumns({"px": F.col("x"), "py": F.col("y"), "vx": F.col("nvx"), "vy": F.col("nvy"), "x": F.col("x") + F.col("nvx") * dt, "y": F.col("y") + F.col("nvy") * dt}).drop("nvx", "nvy")
+    moved = tables.save(moved)
     held = spatial.nearest_triangle(moved.select("id", "x", "y"), tris, max(settings.cell, 4.0)).select("id", "qx", "qy")
     out = moved.join(held, "id").withColumns({"x": F.coalesce("qx", "x"), "y": F.coalesce("qy", "y")}).drop("qx", "qy")
-    near = G.field(F.get("route", F.lit(0))).distance(G.point("x", "y")) <= settings.arrive
-    last = F.size("route") <= 1
-    out = out.withColumn("route", F.when(F.coalesce(near & ~last, F.lit(False)), F.expr("slice(route, 2, size(route))")).otherwise(F.col("route")))
-    still = G.point("x", "y").distance(G.P(F.col("px"), F.col("py"))) < 0.05 * F.col("max_speed") * dt
+    # all corners within reach one after another are passed
+    far = F.transform("route", lambda p: G.field(p).distance(G.point("x", "y")) > settings.corner)
+    first = F.array_position(far, True).cast("int")
+    left = F.when(first > 0, F.slice("route", F.greatest(first, F.lit(1)), F.size("route"))).otherwise(F.slice("route", 1, 0))
+    out = out.withColumn("route", F.when(F.col("route").isNotNull(), left))
+    still = G.point("x", "y").distance(G.P(F.col("px"), F.col("py"))) < 0.1 * F.col("max_speed") * dt
     out = out.withColumn("stuck", F.when(F.col("gx").isNotNull() & still, F.col("stuck") + 1).otherwise(0))
     return out.select(*[f.split()[0] for f in SCHEMA.split(", ")])

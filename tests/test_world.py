@@ -75,3 +75,23 @@ def test_mesh_utilities(spark):
     m = navigation.load(t)
     kept = navigation.keep_off_walls(spark.createDataFrame([(0, 0.1, 1.0)], "id long, x double, y double"), m, 0.5).first()
     assert abs(kept.x - 0.5) < 1e-9
+
+
+def test_agents_without_a_way_give_room(spark):
+    row = lambda i, x, y, vx=0.0, vy=0.0: (i, x, y, vx, vy, 0.5, 2.0, 0.0, None, None, None, 0)
+    agents = spark.createDataFrame([row(0, 5.0, 5.0), row(1, 5.6, 5.0), row(2, 20.0, 5.0), row(3, 22.0, 5.0, -2.0), row(4, 40.0, 5.0), row(5, 60.0, 5.0), row(6, 60.0, 5.0)], crowd.SCHEMA)
+    got = {r.id: (r.nvx, r.nvy) for r in crowd.choose(agents, crowd.Settings(cell=4.0)).collect()}
+    assert got[0][0] < 0 < got[1][0] and abs(got[0][0] + 1) < 1e-9 and abs(got[0][1]) < 1e-9  # overlapping: straight apart at half speed
+    assert abs(got[2][0] ** 2 + got[2][1] ** 2 - 1) < 1e-9  # about to be run into: a nudge
+    assert got[4] == (0.0, 0.0)
+    assert got[5] != got[6] and abs(got[5][0] ** 2 + got[5][1] ** 2 - 1) < 1e-9  # at one place: apart by their ids
+
+
+def test_all_corners_within_reach_are_passed(spark):
+    frame = spark.createDataFrame([(0, [0, 1, 2], 0.0, 0.0, 20.0, 0.0, 20.0, 20.0), (1, [0, 2, 3], 0.0, 0.0, 20.0, 20.0, 0.0, 20.0)], "tid long, v array<long>, ax double, ay double, bx double, by double, cx double, cy double")
+    m = navigation.load(frame)
+    way = [(5.0, 5.0), (5.1, 5.0), (12.0, 5.0)]
+    agents = spark.createDataFrame([(0, 5.0, 5.0, 0.0, 0.0, 0.3, 0.1, 1.0, 12.0, 5.0, way, 0), (1, 5.0, 15.0, 0.0, 0.0, 0.3, 1.0, 1.0, 5.0, 18.0, [], 0), (2, -4.0, 10.0, 0.0, 0.0, 0.3, 1.0, 1.0, None, None, None, 0)], crowd.SCHEMA)
+    out = {r.id: r for r in crowd.tick(agents, m, frame, 0.5).collect()}
+    assert [tuple(p) for p in out[0].route] == way[2:] and out[1].route == [] and out[1].y > 15.0 and out[1].stuck == 0
+    assert (out[2].x, out[2].y) == (0.0, 10.0)  # off the mesh: put on its nearest place
