@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import doors, graph, grid, mesh, navigation, paths, rings, spatial, world
+from ..operators import doors, graph, grid, mesh, navigation, paths, planar, rings, spatial, world
 from ..sources import files
 from . import views as V
-from .catalogue import _EDGE_XY, _LOCATED, _REGION, SIZE, _questions, _regions, _with, query
+from .catalogue import _EDGE_XY, _LOCATED, _REGION, SIZE, _questions, _with, query
 from .storage import Tables
 
 A, B = ("ax", "ay"), ("bx", "by")
@@ -257,7 +257,37 @@ def ring_finish(spark: SparkSession, d: str) -> DataFrame:
     return rings.finish(loops, smooth=True, offset=0.25)
 
 
-@query(_with("g_tris cell_reach", _REGION, "SELECT tid, region FROM region"))
-def regions_again(spark: SparkSession, d: str) -> DataFrame:
-    """Regions with their numbers from sorted ranges."""
-    return _regions(spark, d)
+@query(V.sql("g_cells borders", """
+SELECT 2 * (SELECT count(*) FROM g_cells WHERE walkable)::DOUBLE AS area2, (SELECT count(*) FROM borders)::DOUBLE AS outline"""))
+def build_area(spark: SparkSession, d: str) -> DataFrame:
+    """The mesh built from the grid covers its walkable cells, and its constraints are as long as their border."""
+    t = planar.build(V.cells(spark, d), V.WIDTH, V.HEIGHT)
+    a, b, c = mesh.corners()
+    sides = sum(F.when(F.col("marks")[k] != 0, p.distance(q)).otherwise(0.0) for k, (p, q) in enumerate(((b, c), (c, a), (a, b))))
+    return t.agg(F.sum(mesh.tri_area2()).alias("area2"), F.round(F.sum(sides), 6).alias("outline"))
+
+
+@query(_with("g_cells", """seeds AS (SELECT c.col, c.row, c.col IN (0, 63) OR c.row IN (0, 47) OR EXISTS (
+  SELECT 1 FROM g_cells o WHERE NOT o.walkable AND o.col BETWEEN c.col - 1 AND c.col + 1 AND o.row BETWEEN c.row - 1 AND c.row + 1) AS seed FROM g_cells c)""", "SELECT 2 * count(*)::DOUBLE AS area2 FROM seeds WHERE NOT seed"))
+def build_area_eroded(spark: SparkSession, d: str) -> DataFrame:
+    """The same with cells next to walls left out."""
+    t = planar.build(V.cells(spark, d), V.WIDTH, V.HEIGHT, planar.BuildOptions(radius=1.0))
+    return t.agg(F.coalesce(F.sum(mesh.tri_area2()), F.lit(0.0)).alias("area2"))
+
+
+@query(V.sql("g_cells borders", "SELECT (SELECT count(*) FROM g_cells WHERE walkable) AS cells, count(*) AS sides FROM borders"))
+def build_inset_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """A mesh moved inwards and smoothed lies within the walkable cells and loses no more than a strip along the border."""
+    c = V.cells(spark, d)
+    t = planar.build(c, V.WIDTH, V.HEIGHT, planar.BuildOptions(inset=0.125, max_ear=0.01)).agg((F.sum(mesh.tri_area2()) / 2).alias("area"))
+    n, sides = c.where("walkable").agg(F.count("*").alias("cells")), grid.border_edges(c).agg(F.count("*").alias("sides"))
+    return t.join(n, F.lit(True)).join(sides, F.lit(True)).where("area < cells and area >= cells - 0.2 * sides").select("cells", "sides")
+
+
+@query()
+def planar_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each 64th of the lattice split where they meet, and the triangles of the graphs that come of it."""
+    s = V.lines(spark, d).withColumn("graph_id", F.floor(F.col("ax") / 64))
+    g = planar.planarize(s.select("graph_id", "ax", "ay", "bx", "by", (F.col("id") % 3).alias("mark")), 1 / 256)
+    t = planar.triangulate(g, convex=True)
+    return t.groupBy("graph_id").agg(F.count("*").alias("n"), F.round(F.sum(mesh.tri_area2()), 3).alias("area2"))
