@@ -159,23 +159,3 @@ def triangulate(outer: list[Point], holes: list[list[Point]]) -> tuple[list[Poin
     for k, hole in enumerate(inner):
         ring = _bridge(points, ring, hole, inner[k + 1 :])
     return points, _delaunay(points, _ears(points, ring), sides), sides
-
-
-def clip_small_ears(tris: list[Tri], points: list[Point], walls: dict[frozenset[int], int], max_area: float) -> list[Tri]:
-    """Drops, again and again, triangles under max_area with two walls and one open edge, smallest first; the open
-    edge becomes a wall with the smallest mark of the two that isn't 0 (or 1)."""
-    tris = list(tris)
-    area = lambda t: abs((points[t[1]][0] - points[t[0]][0]) * (points[t[2]][1] - points[t[0]][1]) - (points[t[1]][1] - points[t[0]][1]) * (points[t[2]][0] - points[t[0]][0])) / 2
-    while True:
-        found = []
-        for t in tris:
-            edges = [frozenset((t[i], t[i - 1])) for i in range(3)]
-            shut = [e for e in edges if e in walls]
-            if len(shut) == 2 and area(t) < max_area:
-                found.append((area(t), t, shut, next(e for e in edges if e not in walls)))
-        if not found:
-            return tris
-        _, t, shut, free = min(found, key=lambda f: (f[0], f[1]))
-        tris.remove(t)
-        marks = [walls.pop(e) for e in shut]
-        walls[free] = min((m for m in marks if m), default=1)

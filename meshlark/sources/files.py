@@ -32,8 +32,8 @@ def _mesh_rows(data: bytes) -> Iterator[dict]:
 
 
 def _graph_rows(vertices_only: bool):
-    def parse(data: bytes) -> Iterator[dict]:
-        g = formats.parse_poly(data.decode(), vertices_only)
+    def parse(data: bytes, companion: bytes | None = None) -> Iterator[dict]:
+        g = formats.parse_poly(data.decode(), vertices_only, companion and companion.decode())
         for k, ((x, y), m) in enumerate(zip(g.vertices, g.vertex_marks, strict=True)):
             yield {"kind": "vertex", "id": k, "x": x, "y": y, "mark": m}
         for k, ((a, b), m) in enumerate(zip(g.segments, g.segment_marks, strict=True)):
@@ -54,8 +54,22 @@ def read_navmesh(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_poly(spark: SparkSession, path: str, vertices_only: bool = False) -> DataFrame:
-    """(path, kind, id, x, y, a, b, mark): vertices, segments and holes of .poly (or .node) files."""
-    return _files(spark, path).mapInArrow(_rows(_graph_rows(vertices_only), _GRAPH), "path string, kind string, id long, x double, y double, a long, b long, mark int")
+    """(path, kind, id, x, y, a, b, mark): vertices, segments and holes of .poly (or, with vertices_only, .node) files.
+
+    A .poly file without vertices takes those of the .node file of its name, if that is in the path too.
+    """
+    parse, sql = _graph_rows(vertices_only), "path string, kind string, id long, x double, y double, a long, b long, mark int"
+    if vertices_only:
+        return _files(spark, path).mapInArrow(_rows(parse, _GRAPH), sql)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = dict(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True))
+        nodes = next((data for name, data in held.items() if name.endswith(".node")), None)
+        rows = [{"path": name, **r} for name, data in held.items() if not name.endswith(".node") for r in parse(data, nodes)]
+        return pa.Table.from_pylist(rows, _GRAPH)
+
+    stem = F.regexp_replace("path", r"\.(poly|node)$", "")
+    return _files(spark, path).groupBy(stem.alias("stem")).applyInArrow(lambda t: run(t.select(["path", "content"])), sql)
 
 
 def _pack(table: pa.Table) -> pa.Table:

@@ -74,3 +74,26 @@ def test_newest_snapshot_of_a_batch_wins(spark, tmp_path):
     s = worker.stats().first()
     assert (s.submitted, s.coalesced, s.completed, s.failed, s.generation) == (3, 1, 1, 1, 0)
     assert worker.current().select("seq").first()[0] == 2
+
+
+def test_poly_without_vertices_takes_them_from_its_node_file(spark, tmp_path):
+    (tmp_path / "a.node").write_text("3 2 0 1\n1 0 0 4\n2 1 0 5\n3 0 1 6\n")
+    (tmp_path / "a.poly").write_text("0 2 0 0\n1 1\n1 1 3 9\n0\n")
+    (tmp_path / "b.poly").write_text("2 2 0 0\n0 0 0\n1 5 5\n1 0\n0 0 1\n0\n")
+    got = sorted((r.path[-6:], r.kind, r.id, r.x, r.a, r.b, r.mark) for r in files.read_poly(spark, str(tmp_path)).collect())
+    assert [g for g in got if g[0] == "a.poly"] == [("a.poly", "segment", 0, None, 0, 2, 9), ("a.poly", "vertex", 0, 0.0, None, None, 4), ("a.poly", "vertex", 1, 1.0, None, None, 5), ("a.poly", "vertex", 2, 0.0, None, None, 6)]
+    assert len([g for g in got if g[0] == "b.poly"]) == 3 and len(got) == 7
+
+
+def test_files_are_written_by_executors(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "vertex", 0, 0.5, 1.0, None, None, 3), (1, "vertex", 1, 2.0, 1.0, None, None, 0), (1, "segment", 0, None, None, 0, 1, 2)], "graph_id long, kind string, id long, x double, y double, a long, b long, mark int")
+    from pyspark.sql import functions as F
+
+    text = files.graph_text(rows).select(F.lit("g.poly").alias("name"), F.encode("content", "utf-8").alias("content"))
+    assert files.write_files(text, str(tmp_path / "out")) == 1
+    back = sorted((r.kind, r.id, r.x, r.a, r.b, r.mark) for r in files.read_poly(spark, str(tmp_path / "out")).collect())
+    assert back == [("segment", 0, None, 0, 1, 2), ("vertex", 0, 0.5, None, None, 3), ("vertex", 1, 2.0, None, None, 0)]
+    tris = spark.createDataFrame([(1, 0, [0, 1, 2])], "mesh_id long, tid long, v array<long>")
+    assert files.ele_text(tris).first().content.split()[:3] == ["1", "3", "0"]
+    with pytest.raises(Exception, match="not there"):
+        files.graph_text(rows.where("id = 0")).collect()

@@ -68,13 +68,6 @@ def test_exact_signs():
     assert predicates.in_circle((0, 0), (1, 0), (1, 1), (0, 1)) == 0
 
 
-def test_small_ears_are_clipped_and_pass_on_their_mark():
-    p = [(0, 0), (4, 0), (4, 4), (0, 4), (4.1, 2)]
-    tris, walls = [(0, 1, 2), (0, 2, 3), (1, 4, 2)], {frozenset(e): m for e, m in (((0, 1), 5), ((2, 3), 5), ((3, 0), 5), ((1, 4), 7), ((4, 2), 6))}
-    assert triangulate.clip_small_ears(tris, p, walls, 1.0) == tris[:2]
-    assert walls[frozenset((1, 2))] == 6
-
-
 def test_sight_and_clearance_in_a_room():
     p, t, _ = triangulate.triangulate([(0, 0), (4, 0), (4, 4), (0, 4)], [[(1.5, 1.5), (2.5, 1.5), (2.5, 2.5), (1.5, 2.5)]])
     m = search.Mesh(dict(enumerate(p)), dict(enumerate(t)))
