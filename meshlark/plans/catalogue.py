@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import crowd, doors, grid, mesh, navigation, paths, rings, spatial, world
+from ..operators import crowd, doors, graph, grid, mesh, navigation, paths, rings, spatial, world
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,7 +407,7 @@ def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Per batch (an hour) the newest snapshot is built and the others are passed over."""
     e = V.table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("batch"))
     b = e.groupBy("batch").agg(F.count("*").alias("submitted"), (F.count("*") - 1).alias("coalesced"), F.max("event_id").alias("latest"))
-    return b.withColumn("generation", F.row_number().over(Window.orderBy("batch")))
+    return graph.ranked(b, ["batch"]).select(*b.columns, (F.col("rank") + 1).alias("generation"))
 
 
 @query(V.sql("agent_pairs", "SELECT id, other FROM agent_pairs"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -11,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
+    """A new folder below spark.checkpoint.dir; where that is unset, one of our own in local mode, as in tests, and else
+    a ValueError: executors on other machines would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meshlark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/meshlark-{uuid.uuid4().hex}"
