@@ -31,6 +31,26 @@ def test_empty_tables(spark, no_docs, k):
     assert corpus_pipeline.STAGES[k][1](spark, no_docs, DATA).count() == 0
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, ties and columns whose names clash."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    rows = [(1, text, "en", "s1", 10), (1, text, "en", "s1", 10), (2, text + " more", None, None, None), (None, text, None, "s2", None), (None, None, None, None, None), (3, "", "en", "s1", 0), (4, None, "en", "s1", None), (5, (text[::-1] + " ") * 3000, "en", "s3", 1)]
+    names = ("_row", "_text", "_id", "n_removed", "component_id", "fail_bits")
+    frame = spark.createDataFrame([(*r, *range(6)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, DATA)
+        assert out.columns == frame.columns, name
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    usual = [(False, 1), (False, 1), (False, 2)]
+    assert kept["quality_rules"] == [*usual, (True, 0)]  # the long text repeats itself
+    assert kept["line_dedup"] == kept["decontamination"] == [*usual, (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+    assert kept["ngram_join"] == [(False, 1), (False, 1), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, DATA).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and len({r.ids_crc32 for r in packed if r.doc_id == 1}) == 1
+
+
 def brute_quality(text):
     w = words(text)
     chars, letters = sum(map(len, w)), sum(bool(re.match("[A-Za-z]", c)) or ord(c) > 127 for c in text or "")
