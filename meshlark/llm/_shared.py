@@ -9,7 +9,7 @@ from ..plans.storage import Tables
 
 __all__ = ["Tables", "bounded_batches", "components", "filesystem", "partitions"]
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> SparkSession:

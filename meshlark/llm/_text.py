@@ -26,6 +26,22 @@ _INV = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    _trim(0)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
@@ -65,7 +81,8 @@ def hash_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, end row, bytes, offsets from 0) with whole texts; null counts as empty.
 
-    A chunk holds max_bytes at most, or one longer text.
+    A chunk holds max_bytes at most, or one longer text.  After the last one, memory that is free goes back to the
+    system: workers are many and live long, and the allocator would keep the largest chunk's worth in each.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -84,6 +101,7 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
         j = min(max(j, i + 1), n)
         yield i, j, bytes_[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    give_back()
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ BUCKET_BYTES = 8 << 20
 LIST = 100_000
 #: Up to so many sets, a list of those whose texts are wanted (8 bytes each) is sent to all tasks; beyond it, texts are joined.
 BROADCAST_NODES = 2_000_000
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BLOCK = 64
 
 

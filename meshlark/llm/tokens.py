@@ -15,10 +15,10 @@ import numpy as np
 
 from . import _text as X
 
-#: Distinct pieces kept between chunks in one Python worker, about 40 bytes each.
-CACHE_PIECES = 1_500_000
+#: Distinct pieces kept between chunks in one Python worker, about 30 bytes each.
+CACHE_PIECES = 400_000
 #: Bytes of text that are encoded together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _SOLID = np.zeros(256, bool)  # bytes that surely begin a character that isn't white space
 _SOLID[0x21:0x7F] = True
@@ -110,7 +110,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.heads, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.heads, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _ids(self, missing: list[bytes]) -> list[bytes]:
@@ -152,7 +152,7 @@ class Encoder:
         self.used += len(new)
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
-        self.keys, self.heads, self.sizes = all_keys[order], np.concatenate([self.heads, heads])[order], np.concatenate([self.sizes, sizes])[order]
+        self.keys, self.heads, self.sizes = all_keys[order], np.concatenate([self.heads, heads])[order], np.concatenate([self.sizes, sizes.astype(np.int32)])[order]
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -171,7 +171,7 @@ class Encoder:
             data = buf.tobytes()
             self._learn(keys[missing], [data[s:e] for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
             at = self._find(keys)
-        lengths = self.sizes[at][inverse]
+        lengths = self.sizes[at][inverse].astype(np.int64)
         stops = np.cumsum(lengths)
         ids = self.flat[np.arange(stops[-1]) + np.repeat(self.heads[at][inverse] - (stops - lengths), lengths)]
         per_row = np.bincount(rows, weights=lengths, minlength=n_rows).astype(np.int64)
