@@ -36,17 +36,21 @@ def point_at(arced: DataFrame, key: str, share: float) -> DataFrame:
 
 def turns(points: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, seq, x, y, arc, cos, side, ox, oy) of inner points: the cosine of the turn, 1 left, -1 right or 0, and
-    the unit vector to the outside of the corner (0, 0 where a leg has no length or the way turns right back)."""
+    the unit vector to the outside of the corner (0, 0 where a leg has no length or the way turns right back).  cos is
+    null where a leg has no length.  Products come before the roots, so on a lattice straight ways have side 0."""
     w = Window.partitionBy(key).orderBy(*order)
     a = arcs(points, key, order).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("seq > 0 and nx is not null")
-    into, out = (G.point("x", "y") - G.point("lx", "ly")).unit_or_zero(), (G.point("nx", "ny") - G.point("x", "y")).unit_or_zero()
+    into, out = G.point("x", "y") - G.point("lx", "ly"), G.point("nx", "ny") - G.point("x", "y")
     rows = a.withColumns({"ix": into.x, "iy": into.y, "ux": out.x, "uy": out.y})
     into, out = G.point("ix", "iy"), G.point("ux", "uy")
-    along, side = (into + out).unit_or_zero(), F.signum(into.cross(out)).cast("int")
+    side = F.signum(into.cross(out)).cast("int")
     flat = (into.length_sq() == 0) | (out.length_sq() == 0)
+    back = (side == 0) & (into.dot(out) < 0)
+    along = (into.unit_or_zero() + out.unit_or_zero()).unit_or_zero()
     turn = F.when(side > 0, 1.0).otherwise(-1.0)
-    away = G.P(F.when(flat, 0.0).otherwise(along.y * turn), F.when(flat, 0.0).otherwise(-along.x * turn))
-    return rows.select(key, "seq", "x", "y", "arc", F.least(F.greatest(into.dot(out), F.lit(-1.0)), F.lit(1.0)).alias("cos"), side.alias("side"), away.x.alias("ox"), away.y.alias("oy"))
+    away = G.P(F.when(flat | back, 0.0).otherwise(along.y * turn), F.when(flat | back, 0.0).otherwise(-along.x * turn))
+    cos = F.when(~flat, F.least(F.greatest(F.try_divide(into.dot(out), into.length() * out.length()), F.lit(-1.0)), F.lit(1.0)))
+    return rows.select(key, "seq", "x", "y", "arc", cos.alias("cos"), side.alias("side"), away.x.alias("ox"), away.y.alias("oy"))
 
 
 class Follower:

@@ -64,3 +64,13 @@ def test_followers_never_go_back(spark):
     ways = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0)]), (2, [])], "id long, points array<struct<x:double,y:double>>")
     seen = spark.createDataFrame([(1, 1, 2.0, 5.0), (1, 0, 4.0, 1.0), (2, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)], "id long, seq long, x double, y double")
     assert sorted(tuple(r) for r in paths.follow(ways, seen, lookahead=1.0).collect()) == [(1, 0, 4.0, 0.4, False, 5.0, 0.0), (1, 1, 4.0, 0.4, False, 5.0, 0.0)]
+
+
+def test_turns_are_exact_on_a_lattice(spark):
+    # straight legs of odd lengths turn to no side, and legs without length have no cosine
+    ways = {1: [(0, 0), (49, 7), (147, 21), (98, 14)], 2: [(5, 5), (5, 5), (8, 9), (4, 12)], 3: [(0, 0), (3, 1), (2, 4)]}
+    rows = [(k, n, float(x), float(y)) for k, way in ways.items() for n, (x, y) in enumerate(way)]
+    t = paths.turns(spark.createDataFrame(rows, "way long, n long, x double, y double"), "way", ["n"])
+    got = sorted((r.way, r.seq, r.cos if r.cos is None else round(r.cos, 12), r.side, round(r.ox, 6) + 0.0, round(r.oy, 6) + 0.0) for r in t.collect())
+    assert [r[:4] for r in got] == [(1, 1, 1.0, 0), (1, 2, -1.0, 0), (2, 1, None, 0), (2, 2, 0.0, 1), (3, 1, 0.0, 1)]
+    assert got[1][4:] == got[2][4:] == (0.0, 0.0)
