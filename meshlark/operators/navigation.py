@@ -74,16 +74,56 @@ def _xy(points) -> list[dict] | None:
     return None if points is None else [{"x": x, "y": y} for x, y in points]
 
 
+_ASKED = ("sx", "sy", "gx", "gy")
+
+
+def _once(questions: DataFrame, mesh: Mesh, ask: Callable[[Mesh, dict], dict], schema: pa.Schema, ddl: str) -> DataFrame:
+    """(id, *schema) of questions (id, sx, sy, gx, gy): equal ones are brought together and asked once, and the answer
+    goes on with a list of their ids that is unfolded there."""
+    most = 256  # ids of a list, so that an answer with a long way is not held too often
+    out = pa.schema([("ids", pa.list_(pa.int64())), *schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, answer = None, None
+        for batch in batches:
+            rows: list[dict] = []
+            for r in batch.to_pylist():
+                asked = tuple(r[c] for c in _ASKED)
+                if asked != last:
+                    last, answer = asked, ask(mesh, r)
+                if rows and rows[-1]["_of"] is answer and len(rows[-1]["ids"]) < most:
+                    rows[-1]["ids"].append(r["id"])
+                else:
+                    rows.append({"ids": [r["id"]], "_of": answer})
+            yield from pa.Table.from_pylist([{"ids": r["ids"], **r["_of"]} for r in rows], out).to_batches()
+
+    rows = questions.select("id", *[F.col(c).cast("double") for c in _ASKED])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = rows.repartition(n, *_ASKED).sortWithinPartitions(*_ASKED).mapInArrow(run, f"ids array<long>, {ddl}")
+    return told.select(F.explode("ids").alias("id"), *schema.names)
+
+
 def find_paths(questions: DataFrame, mesh: Mesh, clearance: float = 0.0) -> DataFrame:
     """questions (id, sx, sy, gx, gy) -> (id, status, points array<struct<x,y>>, triangles array<long>)."""
 
     def ask(m: Mesh, r: dict) -> dict:
         status, points, way = m.path((r["sx"], r["sy"]), (r["gx"], r["gy"]), clearance)
-        return {"id": r["id"], "status": status, "points": _xy(points), "triangles": way}
+        return {"status": status, "points": _xy(points), "triangles": way}
 
-    schema = pa.schema([("id", pa.int64()), ("status", pa.string()), ("points", _POINTS), ("triangles", pa.list_(pa.int64()))])
-    rows = questions.select("id", *[F.col(c).cast("double") for c in ("sx", "sy", "gx", "gy")])
-    return spatial.dealt(rows).mapInArrow(_each(mesh, ask, schema), "id long, status string, points array<struct<x:double,y:double>>, triangles array<long>")
+    schema = pa.schema([("status", pa.string()), ("points", _POINTS), ("triangles", pa.list_(pa.int64()))])
+    return _once(questions, mesh, ask, schema, "status string, points array<struct<x:double,y:double>>, triangles array<long>")
+
+
+def path_statuses(questions: DataFrame, mesh: Mesh) -> DataFrame:
+    """(id, status) as find_paths has them without clearance, by regions: the ways themselves are not searched."""
+    ask = lambda m, r: {"status": m.status((r["sx"], r["sy"]), (r["gx"], r["gy"]))}
+    return _once(questions, mesh, ask, pa.schema([("status", pa.string())]), "status string")
+
+
+def ways_clear(questions: DataFrame, mesh: Mesh, clearance: float = 0.0) -> DataFrame:
+    """(id, clear boolean): paths_clear of find_paths, without the paths in between."""
+    ask = lambda m, r: {"clear": m.path_clear(m.path((r["sx"], r["sy"]), (r["gx"], r["gy"]), clearance)[1])}
+    return _once(questions, mesh, ask, pa.schema([("clear", pa.bool_())]), "clear boolean")
 
 
 def sight(questions: DataFrame, mesh: Mesh) -> DataFrame:
