@@ -41,3 +41,20 @@ def test_a_status_is_that_of_the_search_where_edges_have_three_triangles():
         for p in [(2.0, 1.0), (2.0, -1.0), (5.0, 2.0), (20.0, 0.0)]:
             for q in [(2.0, 1.0), (2.0, -1.0), (5.0, 2.0), (20.0, 0.0)]:
                 assert m.status(p, q) == m.path(p, q)[0]
+
+
+def test_signs_on_a_lattice_need_no_rationals(monkeypatch):
+    from fractions import Fraction
+
+    from meshlark.kernels import predicates
+
+    def none(*_):
+        raise AssertionError("rationals on a lattice")
+
+    thirds = (0.1, 0.1), (0.7, 0.7), (0.4, 0.4)
+    want = [(Fraction(b[0]) - Fraction(a[0])) * (Fraction(c[1]) - Fraction(a[1])) - (Fraction(b[1]) - Fraction(a[1])) * (Fraction(c[0]) - Fraction(a[0])) for a, b, c in (thirds,)]
+    assert predicates.orient(*thirds) == (want[0] > 0) - (want[0] < 0)
+    monkeypatch.setattr(predicates, "Fraction", none)
+    assert predicates.orient((0.0, 0.0), (2.0**40, 2.0**40), (3.0, 3.0)) == 0
+    assert predicates.orient((1 / 256, 0.0), (3 / 256, 2 / 256), (5 / 256, 4 / 256)) == 0
+    assert predicates.in_circle((0.0, 0.0), (2.5, 0.0), (2.5, 2.5), (0.0, 2.5)) == 0
