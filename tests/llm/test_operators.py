@@ -11,6 +11,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -648,6 +649,15 @@ def test_repeats_equal_brute_force(spark, first):
     assert {r[0]: tuple(r[1:5]) for r in got.collect()} == brute_repeats(rows, 400, first)
 
 
+def test_runs_spread_over_the_buckets():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 6000))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(suffix_dedup._runs(400, 128, 16)([batch])).filter(pc.field("runs").is_valid())
+    held = {b: len(x) for b, x in zip(out["bucket"].to_pylist(), out["runs"].to_pylist(), strict=True)}
+    assert len(held) == 16 and max(held.values()) < 2 * sum(held.values()) / 16
+
+
 def test_previous_factors_equal_brute_force(no_docs):
     rng = random.Random(8)
     for _ in range(100):
