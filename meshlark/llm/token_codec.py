@@ -1,19 +1,20 @@
-"""Token-id files: an adaptive context-mixing range coder over independent blocks.
+"""Token-id files: an adaptive context-mixing range coder over blocks that are coded side by side.
 
 Model.  For each id, order-2 and order-1 contexts each name the id that last followed
-them and how often they were right of late.  Those confidences choose counters whose
-mix with the block's own totals gives the odds of "order 2 right", "order 1 right" and
-"neither"; in the last case the id itself is drawn from adaptive order-0 tables of its
-high and low parts.  The three nested choices narrow one 64-bit range.  Contexts learn
-from every id; the odds and the order-0 tables follow at the end of short periods.
-
-Blocks.  Each block starts with empty models and carries a checksum, so it can be read
-alone.  Being independent, blocks are coded side by side: every model is an array with a
-row per block, and one array operation moves all of them one id ahead.
-
-File.  magic | block_tokens u32, low_bits u32, n_docs u64, n_tokens u64, n_blocks u32,
-index_bytes u32, index_crc u32 | index: zlib of doc ids i64, lengths i64 and bits of null ids |
-per block: words u32, crc32 u32 | words u32.  All little-endian.
+them and how often in a row they were right.  Those trusts choose counters whose mix with
+the totals gives the odds of "order 2 right", "order 1 right" and "neither"; in the last
+case the id is drawn from the file's order-0 table.  The nested choices narrow one range.
+Contexts are a block's own and learn from every id; the counters are those of all blocks
+side by side and follow at the end of short periods.
+
+Speed.  Blocks move one id ahead together, by array operations.  The range has 48 bits, so
+all its arithmetic is exact in 64-bit floats.  What the contexts of a block name depends on
+its ids alone, so the encoder finds it for all ids at once, by sorting them by context.
+
+File.  magic | block_tokens u32, table_bits u32, n_docs u64, n_tokens u64, n_blocks u32,
+index_bytes u32, index_crc u32, table_bytes u32, table_crc u32 | index: zlib of doc ids i64, lengths i64 and
+bits of null ids | order-0 table: zlib of ids u32 and shares u32 | per block: words u32, crc32 u32 | words u16.
+All little-endian.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from . import _text as X
 from ._shared import Tables, bounded_batches, filesystem, partitions
 from .tokens import CHUNK, encoder
 
-MAGIC = b"MLKTOK1\n"
-HEAD = struct.Struct("<IIQQIII")
+MAGIC = b"MLKTOK2\n"
+HEAD = struct.Struct("<IIQQIIIII")
 BLOCK_TOKENS = 2048
 #: Blocks that are coded side by side.
 LANES = 4096
@@ -47,195 +48,220 @@ CONTEXTS = 32
 #: Steps between two makings of the mixed odds.
 PERIOD = 64
 UNIT = 1 << 10
-U32, U64 = np.uint32, np.uint64
+#: Blocks whose guesses the encoder finds together.
+GUESSED = 64
+U32 = np.uint32
 _SLOT_SHIFT = U32(32 - 10)
-_TRUST, _ID, _ONE, _TOP = U32(20), U32((1 << 20) - 1), U32(1 << 20), U32(3 << 20)
-_WORD = U64(32)
-_MASK = U64(0xFFFFFFFF)
+#: A guess is trust << 20 | id, and ids are below 1 << 17: shifts of it give its trust times 8 or 2.
+_ID, _ONE, _TOP, _TIMES_8, _TIMES_2 = U32((1 << 20) - 1), U32(1 << 20), U32(3 << 20), U32(17), U32(19)
+_FIRST, _SECOND = U32(0x9E3779B1), U32(0x85EBCA6B)
+#: The range lies between these after each id; a word has 16 bits.
+_LEAST, _WHOLE, _WORD = float(1 << 32), float(1 << 48), float(1 << 16)
 
 
-class _Models:
-    """Models of n blocks, moved ahead together; encoder and decoder hold the same state.
+class _Odds:
+    """Shares of UNIT for each context and outcome, from its own counts and, with less weight, those of all."""
 
-    What the contexts last saw changes with every id.  Mixed odds and order-0 tables are made anew at the end of each
-    period from what happened in it, so a step only looks them up.
-    """
-
-    def __init__(self, n: int, low_bits: int, decoding: bool = False):
-        self.n, self.low_bits, self.decoding = n, low_bits, decoding
-        self.lane = np.arange(n)
-        self.base = self.lane * SLOTS
-        self.seen_as = [np.zeros(n * SLOTS, U32) for _ in range(2)]  # trust << 20 | id
-        self.odds = np.ones((n, CONTEXTS, 3), np.int64)
-        self.sizes = (256, 1 << low_bits)
-        self.seen = [np.ones((n, s), np.int64) for s in self.sizes]
-        self.tables: list = [None, None]
-        self.prev = np.zeros(n, U32)
-        self.slot = [self.base, self.base]
-        self.step = self.begun = 0
-        self.until = PERIOD
-        self.lane_context = self.lane * CONTEXTS
-        self.log_context = np.zeros((PERIOD, n), np.int64)
-        self.log_outcome = np.zeros((PERIOD, n), np.int8)
-        self.log_id = np.zeros((PERIOD, n), U32)
+    def __init__(self):
+        self.counts = np.ones((CONTEXTS, 3), np.int64)
         self._mix()
-        self._rebuild()
 
     def _mix(self) -> None:
-        """Shares of each context: its own counts and, with less weight, those of the block."""
-        weight = self.odds * 4 + self.odds.sum(1, keepdims=True) // 16 + 1
-        total = weight.sum(2)
-        f2 = 1 + weight[:, :, 0] * (UNIT - 3) // total
-        f1 = 1 + weight[:, :, 1] * (UNIT - 3) // total
-        self.shares = (f2 << 16 | f1).reshape(-1).astype(U32)
-
-    def _rebuild(self) -> None:
-        for k, s in enumerate(self.sizes):
-            seen = self.seen[k]
-            freq = 1 + seen * (UNIT - s) // seen.sum(1, keepdims=True)
-            freq[self.lane, seen.argmax(1)] += UNIT - freq.sum(1)
-            start = np.cumsum(freq, 1) - freq
-            inverse = np.repeat(np.tile(np.arange(s, dtype=np.int16), self.n), freq.reshape(-1)) if self.decoding else None
-            self.tables[k] = ((start << 16 | freq).reshape(-1).astype(U32), inverse)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The two guesses and their shares of UNIT; what is left is the share of neither."""
-        self.found = a, b = self.seen_as[0][self.slot[0]], self.seen_as[1][self.slot[1]]
-        self.guess = g2, g1 = a & _ID, b & _ID
-        context = (a >> _TRUST) * U32(8) + (b >> _TRUST) * U32(2) + (g2 == g1)
-        self.context = self.lane_context + context
-        share = self.shares[self.context]
-        return g2, g1, (share >> U32(16)).astype(U64), (share & U32(0xFFFF)).astype(U64)
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        at = self.step - self.begun
-        self.log_context[at], self.log_outcome[at], self.log_id[at] = self.context, outcome, ids
-        for k in range(2):
-            old = self.found[k]
-            up = np.minimum(old + _ONE, ids | _TOP)  # right: trusted more, up to 3
-            down = np.where(old >= _ONE, old - _ONE, ids)  # wrong: trusted less, or replaced
-            self.seen_as[k][self.slot[k]] = np.where(self.guess[k] == ids, up, down)
-        mixed = ids * U32(0x9E3779B1)
-        self.slot = [self.base + ((mixed ^ (self.prev * U32(0x85EBCA6B))) >> _SLOT_SHIFT), self.base + (mixed >> _SLOT_SHIFT)]
-        self.prev = ids
-        self.step += 1
-        if self.step == self.until:
-            self._period()
-
-    def _period(self) -> None:
-        rows = self.step - self.begun
-        context, outcome, ids = self.log_context[:rows].reshape(-1), self.log_outcome[:rows].reshape(-1).astype(np.int64), self.log_id[:rows]
-        self.odds += np.bincount(context * 3 + outcome, minlength=self.n * CONTEXTS * 3).reshape(self.odds.shape)
+        weight = self.counts * 4 + self.counts.sum(0) // 16 + 1
+        total = weight.sum(1)
+        f2 = 1 + weight[:, 0] * (UNIT - 3) // total
+        f1 = 1 + weight[:, 1] * (UNIT - 3) // total
+        share = np.stack([f2, f1, UNIT - f2 - f1], 1)
+        self.share, self.start = share.reshape(-1).astype(float), (np.cumsum(share, 1) - share).reshape(-1).astype(float)
+
+    def learn(self, choices: np.ndarray) -> None:
+        """choices: context * 3 + outcome of a period."""
+        self.counts = (self.counts >> 1) + np.bincount(choices.reshape(-1), minlength=CONTEXTS * 3).reshape(CONTEXTS, 3)
         self._mix()
-        if self.step & 255 == 0:
-            self.odds = (self.odds >> 1) + 1
-        miss = np.flatnonzero(outcome == 2)
-        lane, x = miss % self.n, ids.reshape(-1)[miss]
-        for k, part in enumerate((x >> U32(self.low_bits), x & U32(self.sizes[1] - 1))):
-            self.seen[k] += 24 * np.bincount(lane * self.sizes[k] + part, minlength=self.n * self.sizes[k]).reshape(self.n, -1)
-        if self.step & 511 == 0 or self.step <= 256:
-            self._rebuild()
-        self.begun, self.until = self.step, self.step + PERIOD
-
-
-def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> tuple:
-    low = low + start * unit
-    span = size * unit
-    short = np.flatnonzero(span <= _MASK)
-    if len(short):
-        lo, sp = low[short], span[short]
-        split = (lo >> _WORD) != ((lo + sp - U64(1)) >> _WORD)
-        sp = np.where(split, (~lo + U64(1)) & _MASK, sp)
-        words = (lo >> _WORD).astype(U32)
-        low[short] = lo << _WORD
-        span[short] = sp << _WORD
-    else:
-        words = None
-    return low, span, short, words
-
-
-def encode_blocks(tokens: np.ndarray, low_bits: int) -> list[bytes]:
-    """tokens (n_blocks, block_tokens) uint32 -> the words of each block."""
+
+
+def _periods(steps: int) -> list[tuple[int, int]]:
+    ends = [e for e in (8, 16, 32) if e < steps] + [*range(PERIOD, steps, PERIOD), steps]
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+class Table:
+    """Order-0 shares of 1 << bits for the ids that occur; the last number stands for an id that a context named."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray, bits: int):
+        self.ids, self.share, self.bits = ids.astype(U32), share, bits
+        self.starts = np.append(np.cumsum(share) - share, 0).astype(float)
+        self.shares = np.append(share, 1 << bits).astype(float)
+
+    @staticmethod
+    def of(tokens: np.ndarray) -> Table:
+        top = int(tokens.max(initial=0)) + 1
+        seen = sum((np.bincount(tokens[k : k + (1 << 20)], minlength=top) for k in range(0, len(tokens), 1 << 20)), np.zeros(top, np.int64))
+        ids = np.flatnonzero(seen)
+        bits = max(16, len(ids).bit_length() + 2)
+        share = 1 + seen[ids] * ((1 << bits) - len(ids)) // max(len(tokens), 1)
+        if len(ids):
+            share[seen[ids].argmax()] += (1 << bits) - share.sum()
+        return Table(ids, share, bits)
+
+    def pack(self) -> bytes:
+        return zlib.compress(self.ids.astype("<u4").tobytes() + self.share.astype("<u4").tobytes(), 6)
+
+    @staticmethod
+    def unpack(data: bytes, bits: int) -> Table:
+        both = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+        return Table(both[0], both[1].astype(np.int64), bits)
+
+
+def _named(slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """trust << 20 | id that a context (by its slot) names at each place of each row, as the decoder will have it."""
+    rows, steps = ids.shape
+    order = np.argsort(slots, 1, kind="stable")
+    order += (np.arange(rows) * steps)[:, None]
+    order = order.reshape(-1)
+    slot, after = slots.reshape(-1)[order], ids.reshape(-1)[order]
+    same = np.zeros(len(slot), bool)
+    np.equal(slot[1:], slot[:-1], out=same[1:])
+    same[::steps] = False
+    guess = np.zeros(len(slot), U32)
+    np.multiply(after[:-1], same[1:], out=guess[1:])
+    right = guess == after
+    one = same.copy()
+    one[1:] &= right[:-1]
+    two, three = one.copy(), one.copy()
+    two[1:] &= one[:-1]
+    three[1:] &= two[:-1]
+    trust = one.view(np.uint8) + two.view(np.uint8) + three.view(np.uint8)
+    guess |= trust.astype(U32) << U32(20)
+    out = np.empty(len(slot), U32)
+    out[order] = guess
+    return out.reshape(rows, steps)
+
+
+def _choices(tokens: np.ndarray, names: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """By step and block: context * 3 + outcome, and the number of the id in the order-0 table (none: not drawn)."""
     n, steps = tokens.shape
-    columns = np.ascontiguousarray(tokens.T).astype(U32)
-    m = _Models(n, low_bits)
-    low, span = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
-    out, filled = np.zeros(n * (2 * steps + 8), "<u4"), m.lane * (2 * steps + 8)
-    for t in range(steps):
-        ids = columns[t]
-        g2, g1, f2, f1 = m.predict()
+    choice, number = np.empty((steps, n), np.uint8), np.empty((steps, n), names.dtype)
+    for k in range(0, n, GUESSED):
+        ids = tokens[k : k + GUESSED]
+        before = np.zeros((2, *ids.shape), U32)
+        before[0, :, 1:], before[1, :, 2:] = ids[:, :-1], ids[:, :-2]
+        mixed = before[0] * _FIRST
+        a = _named(((mixed ^ (before[1] * _SECOND)) >> _SLOT_SHIFT).astype(np.uint16), ids)
+        b = _named((mixed >> _SLOT_SHIFT).astype(np.uint16), ids)
+        g2, g1 = a & _ID, b & _ID
+        context = ((a >> _TIMES_8) + (b >> _TIMES_2)).astype(np.uint8) + (g2 == g1)
         right2, right1 = g2 == ids, g1 == ids
-        both = f2 + f1
-        start = np.where(right2, U64(0), np.where(right1, f2, both))
-        share = np.where(right2, f2, np.where(right1, f1, U64(UNIT) - both))
-        start, size = start << U64(20), share << U64(20)
-        outcome = np.where(right2, 0, 2 - right1)
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            x, s = ids[miss], share[miss]
-            h = m.tables[0][0][miss * m.sizes[0] + (x >> U32(low_bits))]
-            k = m.tables[1][0][miss * m.sizes[1] + (x & U32(m.sizes[1] - 1))]
-            hs, hf, ls, lf = ((h >> U32(16)).astype(U64), (h & U32(0xFFFF)).astype(U64), (k >> U32(16)).astype(U64), (k & U32(0xFFFF)).astype(U64))
-            start[miss] += s * ((hs << U64(10)) + hf * ls)
-            size[miss] = s * hf * lf
-        low, span, short, words = _narrow(low, span, start, size, span >> U64(30))
-        if words is not None:
-            out[filled[short]] = words
-            filled[short] += 1
-        m.learn(ids, outcome)
-    for shift in (_WORD, U64(0)):
-        out[filled] = ((low >> shift) & _MASK).astype(U32)
+        either = right2 | right1
+        choice[:, k : k + GUESSED] = (context * np.uint8(3) + np.uint8(2) - right2 - either).T
+        number[:, k : k + GUESSED] = np.where(either, names.dtype.type(none), names[ids]).T
+    return choice, number
+
+
+def encode_blocks(tokens: np.ndarray, table: Table) -> list[bytes]:
+    """tokens (n_blocks, block_tokens) uint32 -> the words of each block."""
+    n, steps = tokens.shape
+    none = len(table.ids)
+    names = np.zeros(int(table.ids[-1]) + 1, np.uint16 if none < 1 << 16 else U32)
+    names[table.ids] = np.arange(none)
+    choice, number = _choices(tokens, names, none)
+    odds, unit_of, drawn = _Odds(), 1.0 / (UNIT << table.bits), float(1 << table.bits)
+    low, span, unit, step = np.zeros(n), np.full(n, _WHOLE), np.empty(n), np.empty(n)
+    width = 2 * steps + 8
+    out, filled = np.zeros(n * width, U32), np.arange(n) * width
+    for a, b in _periods(steps):
+        chosen, drawn_as = choice[a:b], number[a:b]
+        scale = odds.share[chosen]
+        size = scale * table.shares[drawn_as]
+        start = odds.start[chosen] * drawn + scale * table.starts[drawn_as]
+        for t in range(b - a):
+            np.floor(np.multiply(span, unit_of, out=unit), out=unit)
+            low += np.multiply(start[t], unit, out=step)
+            np.multiply(size[t], unit, out=span)
+            short = np.flatnonzero(span < _LEAST)
+            while len(short):
+                l, s, at = low[short], span[short] * _WORD, filled[short]
+                word = np.floor(l * (1 / _LEAST))
+                out[at] = word  # with the carry into the word before, if any
+                filled[short] = at + 1
+                low[short], span[short] = (l - word * _LEAST) * _WORD, s
+                short = short[s < _LEAST]
+        odds.learn(chosen)
+    for _ in range(3):
+        word = np.floor(low * (1 / _LEAST))
+        out[filled] = word
         filled += 1
-    return [out[a:b].tobytes() for a, b in zip((m.lane * (2 * steps + 8)).tolist(), filled.tolist(), strict=True)]
+        low = (low - word * _LEAST) * _WORD
+    sizes = filled - np.arange(n) * width
+    words = out.reshape(n, width)[:, : sizes.max()]
+    while (carry := words >> U32(16)).any():
+        words &= U32(0xFFFF)
+        words[:, :-1] += carry[:, 1:]
+    return [w[:k].astype("<u2").tobytes() for w, k in zip(words, sizes.tolist(), strict=True)]
 
 
-def decode_blocks(blocks: list[bytes], steps: int, low_bits: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], steps: int, table: Table) -> np.ndarray:
     """The inverse of encode_blocks: (n_blocks, steps) uint32."""
-    n = len(blocks)
-    width = max(len(b) for b in blocks) // 4 + 2
-    words = np.zeros((n, width), "<u4")
+    n, none = len(blocks), len(table.ids)
+    width = max(len(b) for b in blocks) // 2 + 3
+    words = np.zeros((n, width), "<u2")
     for k, b in enumerate(blocks):
-        words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-    flat = words.reshape(-1).astype(U64)
-    m = _Models(n, low_bits, decoding=True)
-    at = m.lane * width
-    code = (flat[at] << _WORD) | flat[at + 1]
-    at = at + 2
-    low, span = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
-    out = np.zeros((steps, n), U32)
-    for t in range(steps):
-        g2, g1, f2, f1 = m.predict()
-        unit = span >> U64(30)
-        value = np.minimum((code - low) // unit, U64((1 << 30) - 1))
-        region = value >> U64(20)
-        both = f2 + f1
-        right2, right1 = region < f2, region < both
-        ids = np.where(right2, g2, g1)
-        start = np.where(right2, U64(0), np.where(right1, f2, both)) << U64(20)
-        share = np.where(right2, f2, np.where(right1, f1, U64(UNIT) - both))
-        size = share << U64(20)
-        outcome = np.where(right2, 0, 2 - right1)
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            s = share[miss]
-            (h_of, hi_of), (l_of, lo_of) = m.tables
-            q = (value[miss] - start[miss]) // s
-            hi = hi_of[miss * UNIT + (q >> U64(10)).astype(np.int64)].astype(np.int64)
-            h = h_of[miss * m.sizes[0] + hi]
-            hs, hf = (h >> U32(16)).astype(U64), (h & U32(0xFFFF)).astype(U64)
-            rest = (q - (hs << U64(10))) // hf
-            lo = lo_of[miss * UNIT + rest.astype(np.int64)].astype(np.int64)
-            k = l_of[miss * m.sizes[1] + lo]
-            ls, lf = (k >> U32(16)).astype(U64), (k & U32(0xFFFF)).astype(U64)
-            ids[miss] = (hi << low_bits) | lo
-            start[miss] += s * ((hs << U64(10)) + hf * ls)
-            size[miss] = s * hf * lf
-        low, span, short, emitted = _narrow(low, span, start, size, unit)
-        if emitted is not None:
-            code[short] = (code[short] << _WORD) | flat[at[short]]
-            at[short] += 1
-        out[t] = ids
-        m.learn(ids, outcome)
+        words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
+    flat, at = words.reshape(-1), np.arange(n) * width
+    number_of = np.repeat(np.arange(none, dtype=np.uint16 if none < 1 << 16 else U32), table.share)
+    ids_of = np.append(table.ids, U32(0))
+    odds, unit_of, drawn = _Odds(), 1.0 / (UNIT << table.bits), float(1 << table.bits)
+    code, span, unit = np.zeros(n), np.full(n, _WHOLE), np.empty(n)
+    for _ in range(3):
+        code = code * _WORD + flat[at]
+        at += 1
+    base = (np.arange(n) * SLOTS).astype(U32)
+    seen2, seen1 = np.zeros(n * SLOTS, U32), np.zeros(n * SLOTS, U32)
+    slot2 = slot1 = base.astype(np.int64)
+    prev, out = np.zeros(n, U32), np.empty((steps, n), U32)
+    for first, end in _periods(steps):
+        log = np.empty((end - first, n), np.int64)
+        in_first, in_both = odds.start[1::3] * drawn, odds.start[2::3] * drawn
+        starts = odds.start * drawn
+        for t in range(first, end):
+            a, b = seen2.take(slot2), seen1.take(slot1)
+            g2, g1 = a & _ID, b & _ID
+            context = ((a >> _TIMES_8) + (b >> _TIMES_2) + (g2 == g1)).astype(np.int64)
+            np.floor(np.multiply(span, unit_of, out=unit), out=unit)
+            value = np.floor(code / unit)
+            right2, either = value < in_first.take(context), value < in_both.take(context)
+            choice = log[t - first]
+            np.multiply(context, 3, out=choice)
+            choice += 2
+            choice -= right2
+            choice -= either
+            begin, scale = starts.take(choice), odds.share.take(choice)
+            value -= begin
+            value /= scale
+            number = number_of.take(value.astype(np.int64), mode="clip")
+            number[either] = none
+            ids = ids_of.take(number)
+            np.copyto(ids, g1, where=either)
+            np.copyto(ids, g2, where=right2)
+            begin += scale * table.starts.take(number)
+            begin *= unit
+            code -= begin
+            scale *= table.shares.take(number)
+            np.multiply(scale, unit, out=span)
+            short = np.flatnonzero(span < _LEAST)
+            while len(short):
+                s, place = span[short] * _WORD, at[short]
+                code[short] = code[short] * _WORD + flat.take(place)
+                span[short], at[short] = s, place + 1
+                short = short[s < _LEAST]
+            out[t] = ids
+            top = ids | _TOP
+            seen2[slot2] = np.where(g2 == ids, np.minimum(a + _ONE, top), ids)
+            seen1[slot1] = np.where(g1 == ids, np.minimum(b + _ONE, top), ids)
+            mixed = ids * _FIRST
+            slot2, slot1 = (((mixed ^ prev) >> _SLOT_SHIFT) + base).astype(np.int64), ((mixed >> _SLOT_SHIFT) + base).astype(np.int64)
+            prev = ids * _SECOND
+        odds.learn(log)
     return np.ascontiguousarray(out.T)
 
 
@@ -247,8 +273,7 @@ def _groups(n_blocks: int) -> list[tuple[int, int]]:
 
 def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocabulary: int, null: np.ndarray | None = None) -> bytes:
     """One file.  vocabulary: ids are below it; 131,072 at most.  null: where doc ids are null."""
-    low_bits = max(8, (max(vocabulary, 2) - 1).bit_length() - 8)
-    if low_bits > 9 or (len(tokens) and int(tokens.max()) >= vocabulary):
+    if vocabulary > 1 << 17 or (len(tokens) and int(tokens.max()) >= vocabulary):
         raise ValueError("ids must be below the vocabulary, and that at most 131,072")
     n_blocks = -(-len(tokens) // BLOCK_TOKENS)
     padded = np.zeros(n_blocks * BLOCK_TOKENS, U32)
@@ -256,13 +281,15 @@ def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, vocab
     grid, blocks = padded.reshape(n_blocks, BLOCK_TOKENS), []
     if n_blocks == 1:
         grid = grid[:, : len(tokens)]
+    table = Table.of(grid.reshape(-1))
     for a, b in _groups(n_blocks):
-        blocks += encode_blocks(grid[a:b], low_bits)
+        blocks += encode_blocks(grid[a:b], table)
     bits = np.packbits(np.zeros(len(doc_ids), bool) if null is None else null)
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + bits.tobytes(), 6)
-    head = HEAD.pack(BLOCK_TOKENS, low_bits, len(doc_ids), len(tokens), n_blocks, len(index), zlib.crc32(index))
-    table = b"".join(struct.pack("<II", len(b) >> 2, zlib.crc32(b)) for b in blocks)
-    return MAGIC + head + index + table + b"".join(blocks)
+    shares = table.pack()
+    head = HEAD.pack(BLOCK_TOKENS, table.bits, len(doc_ids), len(tokens), n_blocks, len(index), zlib.crc32(index), len(shares), zlib.crc32(shares))
+    sizes = b"".join(struct.pack("<II", len(b) >> 1, zlib.crc32(b)) for b in blocks)
+    return MAGIC + head + index + shares + sizes + b"".join(blocks)
 
 
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +301,7 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same, and where doc ids are null."""
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
-    block_tokens, low_bits, n_docs, n_tokens, n_blocks, n_index, crc = HEAD.unpack_from(data, 8)
+    block_tokens, bits, n_docs, n_tokens, n_blocks, n_index, crc, n_shares, shares_crc = HEAD.unpack_from(data, 8)
     at = 8 + HEAD.size
     index = data[at : at + n_index]
     if zlib.crc32(index) != crc:
@@ -282,17 +309,22 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = zlib.decompress(index)
     both, null = np.frombuffer(raw[: 16 * n_docs], "<i8"), np.unpackbits(np.frombuffer(raw[16 * n_docs :], np.uint8), count=n_docs).astype(bool)
     at += n_index
+    shares = data[at : at + n_shares]
+    if zlib.crc32(shares) != shares_crc:
+        raise ValueError("the order-0 table is damaged")
+    at += n_shares
     sizes = [struct.unpack_from("<II", data, at + 8 * k) for k in range(n_blocks)]
     at += 8 * n_blocks
     blocks = []
     for k, (words, crc) in enumerate(sizes):
-        b = data[at : at + 4 * words]
-        if len(b) != 4 * words or zlib.crc32(b) != crc:
+        b = data[at : at + 2 * words]
+        if len(b) != 2 * words or zlib.crc32(b) != crc:
             raise ValueError(f"block {k} is damaged")
         blocks.append(b)
-        at += 4 * words
+        at += 2 * words
     steps = n_tokens if n_blocks == 1 else block_tokens
-    parts = [decode_blocks(blocks[a:b], steps, low_bits).reshape(-1) for a, b in _groups(n_blocks)]
+    table = Table.unpack(shares, bits)
+    parts = [decode_blocks(blocks[a:b], steps, table).reshape(-1) for a, b in _groups(n_blocks)]
     tokens = np.concatenate(parts)[:n_tokens] if parts else np.zeros(0, U32)
     return both[:n_docs], both[n_docs:], tokens, null
 

@@ -9,14 +9,14 @@ kinds are known: "byte" (byte-level BPE, a blank belongs to the word after it) a
 
 from __future__ import annotations
 
-from array import array
+from itertools import chain
 
 import numpy as np
 
 from . import _text as X
 
-#: Distinct pieces kept between chunks in one Python worker, about 30 bytes each.
-CACHE_PIECES = 400_000
+#: Distinct pieces kept between chunks in one Python worker, about 40 bytes each.
+CACHE_PIECES = 1_000_000
 #: Bytes of text that are encoded together.
 CHUNK = 1 << 20
 
@@ -31,14 +31,29 @@ _ASCII_SOLID[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+_MARK[0x21:0x7F] = True
+_MARK[0x30:0x3A] = _MARK[65:91] = _MARK[97:123] = False
+#: Bytes that make a letter of U+00C0 to U+00FF behind 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: Marks behind a word that are looked at.
+MARKS = 8
 
 
 def _marks_apart(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A mark at the end of a piece, behind an ASCII letter, becomes a piece of its own, as in any pre-tokenisation."""
-    last = ends - 1
-    marked = np.flatnonzero((ends - starts > 1) & _MARK[buf[last]])
-    marked = marked[_LETTER[buf[last[marked] - 1]]]
+    """ASCII marks at the end of a piece, behind a Latin letter, become a piece of their own, as in any pre-tokenisation."""
+    marked = np.flatnonzero((ends - starts > 1) & _MARK[buf[ends - 1]])
+    first = ends[marked] - 1
+    more = np.arange(len(marked))
+    for _ in range(MARKS):
+        more = more[_MARK[buf[first[more] - 1]] & (first[more] - 1 > starts[marked[more]])]
+        if not len(more):
+            break
+        first[more] -= 1
+    before = buf[first - 1]
+    letter = _LETTER[before] | (_LATIN[before] & (first - 2 >= starts[marked]) & (buf[np.maximum(first - 2, 0)] == 0xC3))
+    marked, first = marked[letter], first[letter]
     if not len(marked):
         return starts, ends, rows
     at = marked + np.arange(1, len(marked) + 1)  # places of the marks among all pieces
@@ -47,8 +62,8 @@ def _marks_apart(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np
     word[at] = False
     out = np.empty((3, n), np.int64)
     out[:, word] = starts, ends, rows
-    out[:, at] = last[marked], ends[marked], rows[marked]
-    out[1, at - 1] -= 1
+    out[:, at] = first, ends[marked], rows[marked]
+    out[1, at - 1] = first
     return out[0], out[1], out[2]
 
 
@@ -87,7 +102,7 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
 
 
-BYTE_NAMES = _byte_names()
+BYTE_NAMES = np.array([ord(c) for c in _byte_names()], "<u4")
 PIECES = {"byte": byte_pieces, "word": word_pieces}
 
 
@@ -106,49 +121,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces, self.byte = PIECES[kind], kind == "byte"
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.heads, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _ids(self, missing: list[bytes]) -> list[bytes]:
-        """Most pieces are a word of Latin letters: one pre-token each, which goes to the library's BPE model directly.
-        Any other piece goes through the whole tokenizer."""
-        tokenize, rest, out = self.tokenizer.model.tokenize, [], []
-        blank = BYTE_NAMES[32]
-        for k, piece in enumerate(missing):
-            if self.byte and piece[:1] == b" ":
-                word, form = piece[1:], blank
-            else:
-                word, form = piece, ""
-            if word.isalpha():  # ASCII letters
-                form += word.decode() if self.byte else word.lower().decode()
-            else:
-                text = piece.decode("utf-8", "replace")
-                word, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
-                letters = word[1:] if self.byte and word[:1] == " " else word
-                if mark or not letters.isalpha() or max(letters) > "\xff":
-                    rest.append((k, text))
-                    out.append(b"")
-                    continue
-                form = "".join([BYTE_NAMES[c] for c in (word if self.byte else word.lower()).encode()])
-            out.append(array("I", [t.id for t in tokenize(form)]).tobytes())
-        if rest:
-            found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-            for (k, _), one in zip(rest, found, strict=True):
-                out[k] = array("I", one.ids).tobytes()
-        return out
+    def _forms(self, missing: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Which pieces are a word of Latin letters, one pre-token each, and what the library's BPE model takes for them."""
+        buf = np.frombuffer(b"".join(missing), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, missing), np.int64, len(missing)))])
+        first = bounds[:-1]
+        second = np.zeros(len(buf), bool)  # of the two bytes of a Latin letter
+        second[1:] = (buf[:-1] == 0xC3) & _LATIN[buf[1:]]
+        fits = _LETTER[buf] | second
+        fits[:-1] |= second[1:]
+        if self.byte:
+            fits[first] |= (buf[first] == 0x20) & (np.diff(bounds) > 1)
+        else:
+            buf = X.LOWER[buf] + 0x20 * (second & (buf < 0x9F)).view(np.uint8)
+        simple = np.logical_and.reduceat(fits, first)
+        text = BYTE_NAMES[buf].tobytes().decode("utf-32-le")
+        return simple, [text[a:b] for a, b in zip(first[simple].tolist(), bounds[1:][simple].tolist(), strict=True)]
 
     def _learn(self, keys: np.ndarray, missing: list[bytes]) -> None:
-        found = self._ids(missing)
-        new = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        """Most pieces are a word of Latin letters, which goes to the library's BPE model directly.  Any other piece goes
+        through the whole tokenizer."""
+        tokenize = self.tokenizer.model.tokenize
+        simple, forms = self._forms(missing)
+        found = [[t.id for t in tokenize(form)] for form in forms]
+        if rest := np.flatnonzero(~simple).tolist():
+            found += [one.ids for one in self.tokenizer.encode_batch_fast([missing[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)]
+        placed = np.concatenate([np.flatnonzero(simple), np.array(rest, np.int64)])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        new = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        sizes, heads = np.empty(len(missing), np.int64), np.empty(len(missing), np.int64)
+        sizes[placed], heads[placed] = lengths, self.used + np.cumsum(lengths) - lengths
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(new), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
-        heads = self.used + np.cumsum(sizes) - sizes
         self.used += len(new)
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")

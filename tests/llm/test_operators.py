@@ -168,6 +168,32 @@ def test_encoder_equals_the_library(tokenizers, kind, docs):
             assert ids[bounds[r - i] : bounds[r - i + 1]].tolist() == tokenizers[kind].encode(texts[r], add_special_tokens=False).ids, texts[r][:80]
 
 
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_encoder_equals_the_library_on_words_with_marks(tokenizers, kind):
+    rng = random.Random(10)
+    enc = Encoder(tokenizer_file({"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}[kind]), kind)
+    parts = ["a", "Word", "\u00e9", "\u00c8", "\u00dfa", "\u00d7", "\u00f7", "\u00ff", "\u00b5", "\u00c3", "\u0130", "1", "'", "'s", "!", "###", "%%", "_", "<|", "=", "\u0338", "\u0301", " ", " ", " ", "\n", "\t", "\u4e1c"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(6000)] + ["end" + "!" * n for n in range(1, 30)] + ["!" * n for n in range(1, 12)]
+    for i, j, buf, offsets in X.text_chunks(pa.array(texts)):
+        ids, bounds = enc.encode(buf, offsets)
+        for r in range(i, j):
+            assert ids[bounds[r - i] : bounds[r - i + 1]].tolist() == tokenizers[kind].encode(texts[r], add_special_tokens=False).ids, texts[r]
+    one = Encoder(tokenizer_file("byte_bpe_50k.json"), "byte")
+    text = "".join(f" {w}{m}" for w in ("onreti", "desion", "thhe") for m in ("###", "!!", "%%%")).encode()
+    one.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(one.keys) == 6  # a word is encoded once, whatever marks are behind
+
+
+def test_codec_of_wide_vocabularies_and_many_groups(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(token_codec, "LANES", 3)
+    for tokens in (rng.integers(0, 1 << 17, 40_000), np.arange(1 << 17), np.full(9000, (1 << 17) - 1), np.tile([0, 0, 1], 5000), rng.zipf(1.1, 30_000).clip(0, (1 << 17) - 1)):
+        data = token_codec.to_bytes(np.array([1]), np.array([len(tokens)]), tokens.astype(np.uint32), 1 << 17)
+        assert (token_codec.from_bytes(data)[2] == tokens).all()
+    tokens = rng.choice(rng.integers(0, 50257, 4000), 60_000).astype(np.uint32)  # 12 bits an id, and 8 KB for which these are
+    assert len(token_codec.to_bytes(np.array([1]), np.array([60_000]), tokens, 50257)) < 60_000 * 12.5 / 8 + 10_000
+
+
 def test_codec_round_trip_and_damage():
     rng = np.random.default_rng(3)
     cases = [np.zeros(0, np.uint32), np.array([0], np.uint32), rng.integers(0, 50257, 9000).astype(np.uint32), np.tile(rng.integers(0, 300, 77), 200).astype(np.uint32), np.full(12289, 50256, np.uint32), rng.zipf(1.3, 20000).clip(0, 50256).astype(np.uint32)]
